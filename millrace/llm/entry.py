@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from millrace.llm import mixing, sharding
+from millrace.llm import decontamination, mixing, sharding
 
 QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op10_decontamination": decontamination.op10_decontamination,
 }
 
 SQL = {
     "op8_mixing": mixing.SQL,
+    "op10_decontamination": decontamination.SQL,
 }
