@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, mixing, sharding
+from millrace.llm import decontamination, mixing, quality, sharding
 
 QUERIES = {
     "op6_sharding": sharding.op6_sharding,
     "op8_mixing": mixing.op8_mixing,
+    "op9_quality": quality.op9_quality,
     "op10_decontamination": decontamination.op10_decontamination,
 }
 
