@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, mixing, quality, sharding
+from millrace.llm import decontamination, mixing, quality, secrets, sharding
 
 QUERIES = {
+    "op3_secrets": secrets.op3_secrets,
     "op6_sharding": sharding.op6_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
