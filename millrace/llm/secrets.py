@@ -127,6 +127,6 @@ def find_secrets(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
 def op3_secrets(spark, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"), ["doc_id"])
     joined = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    counts = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in LEAST]
+    counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in LEAST]
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_entropy")
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), added)
