@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import decontamination, mixing, quality, secrets, sharding
+from millrace.llm import chat, decontamination, mixing, quality, secrets, sharding
 
 QUERIES = {
     "op3_secrets": secrets.op3_secrets,
+    "op4_chat": chat.op4_chat,
     "op6_sharding": sharding.op6_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
@@ -13,6 +14,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op4_chat": chat.SQL,
     "op8_mixing": mixing.SQL,
     "op10_decontamination": decontamination.SQL,
 }
