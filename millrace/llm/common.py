@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,17 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS
         start = stop
 
 
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    """A 64-bit hash of each window of width words."""
+    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    out = h[: max(0, len(h) - width + 1)].copy()
+    for j in range(1, width):
+        out ^= out >> np.uint64(31)
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += h[j : j + len(out)]
+    return out
+
+
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[str]], Sequence], fields: Sequence[tuple[str, str]], carry: Sequence[str], text: str = "text") -> DataFrame:
     """df's columns carry, and fields as work makes them from each slice of
     rows: one sequence a field. Fields replace columns of the same names."""

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontamination, mixing, quality, secrets, sharding
+from millrace.llm import chat, decontamination, jaccard, mixing, quality, secrets, sharding
 
 QUERIES = {
+    "op1_jaccard": jaccard.op1_jaccard,
     "op3_secrets": secrets.op3_secrets,
     "op4_chat": chat.op4_chat,
     "op6_sharding": sharding.op6_sharding,
@@ -14,6 +15,7 @@ QUERIES = {
 }
 
 SQL = {
+    "op1_jaccard": jaccard.SQL,
     "op4_chat": chat.SQL,
     "op8_mixing": mixing.SQL,
     "op10_decontamination": decontamination.SQL,

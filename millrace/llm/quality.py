@@ -15,11 +15,10 @@ import math
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, map_texts, table, without
+from millrace.llm.common import Scratch, map_texts, shingle_hashes, table, without
 
 #: What counts as a symbol.
 SYMBOLS = "#*$%&|<>"
@@ -41,17 +40,6 @@ MOST_LOST, ERROR = 0.02, 0.05
 REPEAT_WINDOW = 3
 
 
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """A 64-bit hash of each window of width words."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    out = h[: len(h) - width + 1].copy()
-    for j in range(1, width):
-        out ^= out >> np.uint64(31)
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += h[j : j + len(out)]
-    return out
-
-
 def repeat_words(words: list[bytes], width: int = REPEAT_WINDOW) -> int:
     """Words inside windows that occur twice or more, first occurrences included."""
     if len(words) <= width:
