@@ -49,9 +49,12 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS
         start = stop
 
 
-def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
-    """A 64-bit hash of each window of width words."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
+    """A 64-bit hash of each window of width word hashes."""
     out = h[: max(0, len(h) - width + 1)].copy()
     for j in range(1, width):
         out ^= out >> np.uint64(31)
@@ -60,6 +63,10 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return out
 
 
+def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
+    return window_hashes(word_hashes(words), width)
+
+
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[str]], Sequence], fields: Sequence[tuple[str, str]], carry: Sequence[str], text: str = "text") -> DataFrame:
     """df's columns carry, and fields as work makes them from each slice of
     rows: one sequence a field. Fields replace columns of the same names."""

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontamination, jaccard, mixing, quality, secrets, sharding
+from millrace.llm import chat, decontamination, jaccard, mixing, quality, scoring, secrets, sharding
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
     "op3_secrets": secrets.op3_secrets,
     "op4_chat": chat.op4_chat,
+    "op5_scoring": scoring.op5_scoring,
     "op6_sharding": sharding.op6_sharding,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
@@ -17,6 +18,7 @@ QUERIES = {
 SQL = {
     "op1_jaccard": jaccard.SQL,
     "op4_chat": chat.SQL,
+    "op5_scoring": scoring.SQL,
     "op8_mixing": mixing.SQL,
     "op10_decontamination": decontamination.SQL,
 }
