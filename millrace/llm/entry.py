@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontamination, jaccard, mixing, quality, scoring, secrets, sharding
+from millrace.llm import chat, decontamination, jaccard, mixing, quality, scoring, secrets, sharding, substrings
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
+    "op2_substrings": substrings.op2_substrings,
     "op3_secrets": secrets.op3_secrets,
     "op4_chat": chat.op4_chat,
     "op5_scoring": scoring.op5_scoring,
