@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, decontamination, jaccard, mixing, quality, scoring, secrets, sharding, substrings
+from millrace.llm import chat, cotraining, decontamination, jaccard, mixing, quality, scoring, secrets, sharding, substrings
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_chat": chat.op4_chat,
     "op5_scoring": scoring.op5_scoring,
     "op6_sharding": sharding.op6_sharding,
+    "op7_cotraining": cotraining.op7_cotraining,
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": decontamination.op10_decontamination,
