@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import table, without, word_count
+from millrace.llm.common import Scratch, table, without, word_count
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
@@ -39,7 +39,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     return per.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(most)), F.coalesce(F.col("level") * F.col("weight"), F.lit(float("inf")))).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix") -> DataFrame:
+def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", scratch: Scratch | None = None) -> DataFrame:
     """docs with size, source_size, target and copies.
 
     A null or empty text has size 0 and is copied like others of its source; a
@@ -48,7 +48,9 @@ def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float =
     of docs named like these four are replaced. An empty table gives none.
     """
     docs = docs.select(*without(docs, "size", "source_size", "target", "copies"), word_count(F.col("text")).alias("size"))
-    targets = source_targets(docs.select("source", "size"), weights, share, most).withColumnRenamed("source", "of_source")
+    # A written table has a known size: if it is small, the texts aren't shuffled to meet it.
+    scratch = scratch or Scratch(docs.sparkSession)
+    targets = scratch.keep(source_targets(docs.select("source", "size"), weights, share, most)).withColumnRenamed("source", "of_source")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
     draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
     joined = docs.join(targets, docs["source"].eqNullSafe(targets["of_source"])).drop("of_source")

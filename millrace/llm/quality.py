@@ -132,13 +132,16 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str = "
     named = [*MEASURES, "n_lines", "base_failed", "kept", "__stratum"]
     carry = [c for c in carry if c in without(docs, *named)]
     source = docs.select(*dict.fromkeys([*carry, "doc_id", "text"]), F.col(stratum).cast("string").alias("__stratum"))
-    measured = scratch.keep(measures(source, [*dict.fromkeys([*carry, "doc_id"]), "__stratum"]))
+    measured = scratch.keep(measures(source, ["doc_id", "__stratum"]))
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").where("doc_id is not null").distinct()
     cutoffs = scratch.keep(certified(measured, good, "__stratum", scratch, most_lost, error))
     over = F.lit(False)
     for rule, sql in RULES.items():
         over = over | F.coalesce(F.expr(f"({sql}) > __cut_{rule}"), F.lit(False))
     chosen = cutoffs.select(F.col("stratum").alias("__of"), *[F.col(r).alias(f"__cut_{r}") for r in RULES])
+    if carry != ["doc_id"]:
+        # Texts are measured again rather than written to the shared folder.
+        measured = measures(source, [*carry, "__stratum"])
     joined = measured.join(chosen, measured["__stratum"].eqNullSafe(chosen["__of"]), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & ~over).select(*carry, *named[:-1])
 

@@ -92,6 +92,13 @@ def place(rows: DataFrame, looks: list[tuple[int, DataFrame]], limit: int) -> Da
     return out.select(*without(rows, "__h", "bytes"), "bytes", "shard", "page", "shard_bytes")
 
 
+def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
+    """Writes each shard of docs as one Parquet file (a page of an overflowing
+    shard as one), in a folder named by its bits."""
+    placed = shard(docs, limit)
+    placed.repartition("shard", "page").sortWithinPartitions("shard", "page").write.partitionBy("shard", "page").parquet(path)
+
+
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scratch = Scratch(spark)
