@@ -161,28 +161,25 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     fields = [("n_words", "long"), ("hits", "array<struct<start:long,end:long>>"), ("items", "array<string>")]
     taken = {n for n, _ in fields}
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
-    out = docs.select(*dict.fromkeys([*carry, "text"]))
+    out, had = docs.select(*dict.fromkeys([*carry, "text"])), None
     for k in range(passes):
         part = patterns.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         searcher = Searcher([(r["item"], r["text"]) for r in part.sort("item", "text").toLocalIterator()], window)
         shared = docs.sparkSession.sparkContext.broadcast(searcher)
-        last = k == passes - 1
+        before = [out.columns.index(n) for n in had] if had else []
 
-        def work(rows: pa.RecordBatch, texts: list[str], shared=shared, names=tuple(out.columns), first=k == 0):
+        def work(rows: pa.RecordBatch, texts: list[str], shared=shared, before=before) -> list:
             got = shared.value.search(texts)
-            if not first:
-                had_spans, had_items = (rows.column(names.index(n)).to_pylist() for n in ("__hits", "__items"))
-                got = [(n, merge([(s["start"], s["end"]) for s in hs], spans), sorted({*hi, *items})) for (n, spans, items), hs, hi in zip(got, had_spans, had_items, strict=True)]
-            return [x[0] for x in got], [[{"start": a, "end": b} for a, b in x[1]] for x in got], [x[2] for x in got]
-
-        made = fields if last else [(f"__{n}", kind) for n, kind in fields]
-        keep = carry if last else list(dict.fromkeys([*carry, "text"]))
-        if k and last:
-            # The state of earlier passes must reach the task, and goes then.
-            out = map_texts(out, work, fields, list(out.columns)).select(*keep, *[n for n, _ in fields])
-        else:
-            out = map_texts(out, work, made, list(out.columns) if k else keep if last else list(out.columns))
-    return out.select(*carry, *[n for n, _ in fields])
+            if before:
+                spans, items = (rows.column(i).to_pylist() for i in before)
+                got = [(n, merge([(s["start"], s["end"]) for s in hs], own), sorted({*hi, *names})) for (n, own, names), hs, hi in zip(got, spans, items, strict=True)]
+            return [[x[0] for x in got], [[{"start": a, "end": b} for a, b in x[1]] for x in got], [x[2] for x in got]]
+
+        # What earlier passes found goes along as columns, and goes with the next pass.
+        made = [(f"__{n}_{k}", kind) for n, kind in fields]
+        found = map_texts(out, work, made, out.columns if had or k < passes - 1 else carry)
+        out, had = found.drop(f"__n_words_{k - 1}", f"__hits_{k - 1}", f"__items_{k - 1}"), [n for n, _ in made[1:]]
+    return out.select(*carry, *[F.col(f"__{n}_{passes - 1}").alias(n) for n, _ in fields])
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -94,8 +94,8 @@ def place(rows: DataFrame, looks: list[tuple[int, DataFrame]], limit: int) -> Da
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
     """Writes each shard of docs as one Parquet file (a page of an overflowing
-    shard as one), in a folder named by its bits."""
-    placed = shard(docs, limit)
+    shard as one), in a folder named b and its bits."""
+    placed = shard(docs, limit).withColumn("shard", F.concat(F.lit("b"), "shard"))
     placed.repartition("shard", "page").sortWithinPartitions("shard", "page").write.partitionBy("shard", "page").parquet(path)
 
 
