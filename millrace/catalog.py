@@ -2,5 +2,99 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-SQL: dict[str, str] = {}
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from millrace.functions import outcome
+from millrace.operators import asof_join, bin_rates, brier_parts, cluster_error, line_fit
+from millrace.sources import event_times, scored_lines, table
+from millrace.streaming import running_rates
+
+
+def rounded(df: DataFrame, places: int = 9) -> DataFrame:
+    """Doubles rounded: engines add them in other orders."""
+    return df.select(*[F.round(c, places).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
+
+
+def calibration_table(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(bin_rates(scored_lines(spark, folder)).select("bin", "n", "hits", "mean_score", "rate"))
+
+
+def calibration_intervals(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(bin_rates(scored_lines(spark, folder), width=2).select("bin", "n", "hits", "low", "high"))
+
+
+def mean_payoffs(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(bin_rates(scored_lines(spark, folder)).select("bin", "n", "mean_payoff"))
+
+
+def calibration_line(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(line_fit(scored_lines(spark, folder)))
+
+
+def brier_score(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(brier_parts(scored_lines(spark, folder)))
+
+
+def clustered_error(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(cluster_error(scored_lines(spark, folder)))
+
+
+def last_view(spark: SparkSession, folder: str) -> DataFrame:
+    """Each purchase with its user's last view before or at its time."""
+    events = table(spark, folder, "events").select("event_id", "ts", "user_id", "event_type", "value")
+    bought = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+    viewed = events.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("view_value"))
+    return asof_join(bought, viewed, "user_id", "ts", ["view_value"]).withColumnRenamed("ts_right", "view_ts")
+
+
+def daily_rates(spark: SparkSession, folder: str) -> DataFrame:
+    return running_rates(event_times(spark, folder), "ts", outcome(F.col("event_type") == "purchase")).select(F.to_date("start").alias("day"), "n", "hits")
+
+
+def daily_rates_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """daily_rates over the events as a stream, read to its end."""
+    batch = table(spark, folder, "events")
+    stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/events.parquet*")
+    stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    name = f"rates_{uuid.uuid4().hex}"
+    rates = running_rates(stream, "ts", outcome(F.col("event_type") == "purchase"))
+    rates.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).select(F.to_date("start").alias("day"), "n", "hits")
+
+
+QUERIES = {
+    "calibration_table": calibration_table,
+    "calibration_intervals": calibration_intervals,
+    "calibration_line": calibration_line,
+    "mean_payoffs": mean_payoffs,
+    "brier_score": brier_score,
+    "clustered_error": clustered_error,
+    "last_view": last_view,
+    "daily_rates": daily_rates,
+    "daily_rates_stream": daily_rates_stream,
+}
+
+ROWS = "WITH s AS (SELECT CAST(round(l_discount * 100) AS BIGINT) AS u, CAST(l_returnflag = 'R' AS INT)::BIGINT AS y, l_suppkey AS g FROM lineitem)"
+DAYS = "SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(count(*) FILTER (event_type = 'purchase') AS BIGINT) AS hits FROM events GROUP BY 1"
+
+SQL = {
+    "calibration_table": f"{ROWS} SELECT CAST(u AS INT) AS bin, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, round(sum(u)::DOUBLE / (count(*) * 100.0::DOUBLE), 9) AS mean_score, round(sum(y)::DOUBLE / count(*), 9) AS rate FROM s GROUP BY u",
+    "calibration_intervals": f"""{ROWS}, b AS (SELECT CAST(u // 2 AS INT) AS bin, count(*)::DOUBLE AS m, sum(y)::DOUBLE AS k, 1.96::DOUBLE AS z FROM s GROUP BY 1)
+        SELECT bin, CAST(m AS BIGINT) AS n, CAST(k AS BIGINT) AS hits,
+        round(greatest(0.0::DOUBLE, (k / m + z * z / (2 * m) - z * sqrt(k / m * (1 - k / m) / m + z * z / (4 * m * m))) / (1 + z * z / m)), 9) AS low,
+        round(least(1.0::DOUBLE, (k / m + z * z / (2 * m) + z * sqrt(k / m * (1 - k / m) / m + z * z / (4 * m * m))) / (1 + z * z / m)), 9) AS high FROM b""",
+    "calibration_line": f"""{ROWS} SELECT count(*) AS n, round(regr_slope(y, u / 100.0::DOUBLE), 9) AS slope, round(regr_intercept(y, u / 100.0::DOUBLE), 9) AS intercept, round(regr_r2(y, u / 100.0::DOUBLE), 9) AS r2,
+        round(sqrt((regr_syy(y, u / 100.0::DOUBLE) - regr_sxy(y, u / 100.0::DOUBLE) ** 2 / regr_sxx(y, u / 100.0::DOUBLE)) / ((count(*) - 2) * regr_sxx(y, u / 100.0::DOUBLE))), 9) AS slope_error FROM s""",
+    "mean_payoffs": f"{ROWS} SELECT CAST(u AS INT) AS bin, count(*) AS n, round((sum(y)::DOUBLE / count(*) - u / 100.0::DOUBLE) / nullif(u / 100.0::DOUBLE, 0), 9) AS mean_payoff FROM s GROUP BY u",
+    "brier_score": f"""{ROWS}, b AS (SELECT u / 100.0::DOUBLE AS p, count(*)::DOUBLE AS m, sum(y)::DOUBLE AS k FROM s GROUP BY u), t AS (SELECT avg(y)::DOUBLE AS r, count(*) AS n, avg((u / 100.0::DOUBLE - y) ** 2) AS brier FROM s)
+        SELECT any_value(n) AS n, round(any_value(brier), 9) AS brier, round(sum(m * (p - k / m) ** 2) / any_value(n), 9) AS reliability, round(sum(m * (k / m - r) ** 2) / any_value(n), 9) AS resolution, round(any_value(r * (1 - r)), 9) AS uncertainty FROM b, t""",
+    "clustered_error": f"""{ROWS}, e AS (SELECT g, y - u / 100.0::DOUBLE AS e FROM s), t AS (SELECT avg(e) AS m, count(*) AS n FROM e), c AS (SELECT g, sum(e - m) AS d FROM e, t GROUP BY g)
+        SELECT any_value(t.n) AS n, count(*) AS clusters, round(any_value(m), 9) AS mean_error, round((SELECT sqrt(sum((e - m) ** 2)) / count(*) FROM e, t), 9) AS plain_error, round(sqrt(sum(d * d)) / any_value(t.n), 9) AS robust_error FROM c, t""",
+    "last_view": """SELECT p.event_id, p.user_id, p.ts, v.ts AS view_ts, v.value AS view_value
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
+    "daily_rates": DAYS,
+    "daily_rates_stream": DAYS,
+}
