@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +68,18 @@ def shingle_hashes(words: list[bytes], width: int) -> np.ndarray:
     return window_hashes(word_hashes(words), width)
 
 
+def squeezed(values: np.ndarray) -> bytes:
+    """Numbers, compressed byte plane by byte plane: small ones cost little."""
+    planes = values.reshape(-1, 1).view(np.uint8).T.tobytes()
+    return zstandard.ZstdCompressor(level=3).compress(planes)
+
+
+def spread(data: bytes, kind: str) -> np.ndarray:
+    """What squeezed has compressed."""
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(planes.reshape(np.dtype(kind).itemsize, -1).T).view(kind).reshape(-1)
+
+
 def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[str]], Sequence], fields: Sequence[tuple[str, str]], carry: Sequence[str], text: str = "text") -> DataFrame:
     """df's columns carry, and fields as work makes them from each slice of
     rows: one sequence a field. Fields replace columns of the same names."""

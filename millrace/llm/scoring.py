@@ -15,11 +15,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, table, window_hashes, word_count, word_hashes
+from millrace.llm.common import slices, spread, squeezed, table, window_hashes, word_count, word_hashes
 
 #: What a step to a shorter n-gram costs.
 BACKOFF = 0.4
@@ -31,14 +30,6 @@ def words(text: str) -> list[bytes]:
     return text.encode("utf-8").lower().split()
 
 
-def squeezed(values: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(values.tobytes())
-
-
-def spread(data: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data), kind)
-
-
 def grams(h: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """A document's n-grams of one order: distinct hashes ascending, the place
     of each position's n-gram among them, and their counts."""
