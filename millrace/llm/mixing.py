@@ -16,6 +16,10 @@ from pyspark.sql.window import Window
 from millrace.llm.common import Scratch, table, without, word_count
 
 
+#: Draws of a document among which its source chooses.
+SEEDS = 16
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
     """(source, source_size, target) of (source, size).
 
@@ -39,22 +43,48 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     return per.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(most)), F.coalesce(F.col("level") * F.col("weight"), F.lit(float("inf")))).alias("target"))
 
 
+def draw(doc_id, k: int, seed: str) -> F.Column:
+    """The k-th of a document's draws, uniform in [0, 1): 32 bits of a digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{k // 4}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    return F.conv(F.substring(digest, k % 4 * 8 + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
+
+
+def with_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
+    """sizes with its source's columns of targets, and the rate's whole part and fraction."""
+    named = targets.withColumnRenamed("source", "__of")
+    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
+    joined = sizes.join(named, sizes["source"].eqNullSafe(named["__of"])).drop("__of")
+    return joined.withColumn("__whole", F.floor(rate)).withColumn("__part", rate - F.floor(rate))
+
+
+def source_seeds(sizes: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
+    """targets with k: which of SEEDS draws brings the source's taken words
+    nearest to its target. One long document else moves a small source far."""
+    drawn = with_rates(sizes, targets)
+    taken = [F.sum(F.col("size") * (F.col("__whole") + (draw(F.col("doc_id"), k, seed) < F.col("__part")).cast("long"))) for k in range(SEEDS)]
+    sums = drawn.groupBy("source", "source_size", "target").agg(*[t.alias(f"t{k}") for k, t in enumerate(taken)])
+    off = [F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(SEEDS)]
+    return sums.select("source", "source_size", "target", F.least(*off)["k"].alias("k"))
+
+
 def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", scratch: Scratch | None = None) -> DataFrame:
     """docs with size, source_size, target and copies.
 
     A null or empty text has size 0 and is copied like others of its source; a
     null source is a source. Repeated rows of an id get the same number of
-    copies, and reruns agree, as the draw is md5(seed, doc_id) alone. Columns
-    of docs named like these four are replaced. An empty table gives none.
+    copies, and reruns agree, as the draws are digests of seed and doc_id. Each
+    source uses the one of SEEDS draws whose total is nearest to its target.
+    Columns of docs named like these four are replaced. An empty table gives none.
     """
+    scratch = scratch or Scratch(docs.sparkSession)
     docs = docs.select(*without(docs, "size", "source_size", "target", "copies"), word_count(F.col("text")).alias("size"))
+    sizes = scratch.keep(docs.select("doc_id", "source", "size"))
+    targets = scratch.keep(source_targets(sizes, weights, share, most))
     # A written table has a known size: if it is small, the texts aren't shuffled to meet it.
-    scratch = scratch or Scratch(docs.sparkSession)
-    targets = scratch.keep(source_targets(docs.select("source", "size"), weights, share, most)).withColumnRenamed("source", "of_source")
-    rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    draw = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
-    joined = docs.join(targets, docs["source"].eqNullSafe(targets["of_source"])).drop("of_source")
-    return joined.withColumn("copies", (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("long"))
+    seeds = scratch.keep(source_seeds(sizes, targets, seed))
+    chosen = F.coalesce(*[F.when(F.col("k") == k, draw(F.col("doc_id"), k, seed)) for k in range(SEEDS)])
+    planned = with_rates(docs, seeds).withColumn("copies", (F.col("__whole") + (chosen < F.col("__part")).cast("long")).cast("long"))
+    return planned.drop("__whole", "__part", "k")
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -88,14 +118,17 @@ WITH docs AS (
   SELECT source, source_size,
     least(source_size * 2.0::DOUBLE, (SELECT arg_min(level, full_at) FROM levels WHERE level <= full_at) * weight) AS target
   FROM levels
-), drawn AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target,
-    coalesce(t.target / nullif(t.source_size, 0), 0.0::DOUBLE) AS rate,
-    CAST('0x' || substr(md5('mix:' || coalesce(CAST(d.doc_id AS VARCHAR), 'null')), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS draw
+), rated AS (
+  SELECT d.doc_id, d.source, d.size, t.source_size, t.target, coalesce(t.target / nullif(t.source_size, 0), 0.0::DOUBLE) AS rate
   FROM docs d JOIN targets t ON d.source IS NOT DISTINCT FROM t.source
+), drawn AS (
+  SELECT *, CAST(floor(rate) + CASE WHEN CAST('0x' || substr(md5('mix:' || (k // 4) || ':' || coalesce(CAST(doc_id AS VARCHAR), 'null')), k % 4 * 8 + 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
+  FROM rated, (SELECT unnest(range(16)) AS k)
+), sums AS (
+  SELECT source, k, abs(sum(size * copies)::DOUBLE - any_value(target)) AS off FROM drawn GROUP BY source, k
+), seeds AS (
+  SELECT source, arg_min(k, (off, k)) AS k FROM sums GROUP BY source
 )
-SELECT doc_id, size, source_size, target,
-  CAST(size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END) AS BIGINT) AS taken,
-  CAST(floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END AS BIGINT) AS copies
-FROM drawn
+SELECT doc_id, size, source_size, target, size * copies AS taken, copies
+FROM drawn d JOIN seeds s ON d.source IS NOT DISTINCT FROM s.source AND d.k = s.k
 """

@@ -48,11 +48,17 @@ def test_mix_plan(spark):
     assert len(rows) == len(ROWS)
     by = {(r["doc_id"], r["source"]): r for r in rows}
     assert by[(5, "B")]["size"] == 2 and by[(3, "y")]["size"] == 0
-    for r in rows:
+
+    def copies(r, k):
         rate = r["target"] / r["source_size"] if r["source_size"] else 0.0
-        draw = int(hashlib.md5(f"mix:{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()[:8], 16) / 2**32
-        assert r["copies"] == int(rate) + (draw < rate - int(rate))
-        assert r["copies"] <= 2
+        digest = hashlib.md5(f"mix:{k // 4}:{'null' if r['doc_id'] is None else r['doc_id']}".encode()).hexdigest()
+        return int(rate) + (int(digest[k % 4 * 8 :][:8], 16) / 2**32 < rate - int(rate))
+
+    for source in {r["source"] for r in rows}:
+        own = [r for r in rows if r["source"] == source]
+        best = min(range(mixing.SEEDS), key=lambda k: (abs(sum(r["size"] * copies(r, k) for r in own) - own[0]["target"]), k))
+        assert [r["copies"] for r in own] == [copies(r, best) for r in own]
+        assert all(r["copies"] <= 2 for r in own)
 
 
 def test_mix_repeats_whole_rows(spark):
