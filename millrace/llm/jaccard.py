@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, map_texts, shingle_hashes, slices, table
+from millrace.llm.common import Scratch, map_texts, shingle_hashes, slices, spread, squeezed, table
 from millrace.llm.components import components
 
 WIDTH = 5
@@ -90,22 +90,38 @@ def dealt(docs: DataFrame, width: int, ranges: int) -> DataFrame:
                     part = order[edges[r] : edges[r + 1]]
                     if len(part):
                         who, counts = np.unique(of[part], return_counts=True)
-                        rows.append((r, keys[who].tobytes(), sizes[who].tobytes(), counts.astype(np.uint32).tobytes(), flat[part].tobytes()))
+                        rows.append((r, keys[who].tobytes(), squeezed(sizes[who]), squeezed(counts.astype(np.uint32)), low_bytes(flat[part])))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate([pa.int32()] + [pa.binary()] * 4)], names=["range", "sets", "sizes", "counts", "hashes"])
 
     return docs.select("text").mapInArrow(run, "range int, sets binary, sizes binary, counts binary, hashes binary")
 
 
-def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Packed arrays of several rows, joined: sets, sizes, counts, hashes."""
-    return tuple(np.frombuffer(b"".join(rows[c]), kind) for c, kind in (("sets", "V16"), ("sizes", np.uint32), ("counts", np.uint32), ("hashes", np.uint64)))
+def low_bytes(h: np.ndarray) -> bytes:
+    """The seven low bytes of hashes; a range implies the eighth, or most of it."""
+    return h.reshape(-1, 1).view(np.uint8)[:, :7].tobytes()
+
+
+def from_low(data: bytes, top: np.ndarray | int) -> np.ndarray:
+    """Hashes of low_bytes, with a number below 256 for their range on top."""
+    seven = np.frombuffer(data, np.uint8).reshape(-1, 7)
+    out = np.zeros((len(seven), 8), np.uint8)
+    out[:, :7] = seven
+    out[:, 7] = top
+    return out.view(np.uint64).reshape(-1)
+
+
+def unpacked(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Packed arrays of several rows, joined: sets, sizes, counts."""
+    sizes, counts = (np.concatenate([spread(x, "u4") for x in rows[c]]) for c in ("sizes", "counts"))
+    return np.frombuffer(b"".join(rows["sets"]), "V16"), sizes, counts
 
 
 def shared_of_range(buckets: int):
     """What a range knows of its sets' shared shingles, packed for the buckets of sets."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, counts, hashes = unpacked(rows)
+        keys, sizes, counts = unpacked(rows)
+        hashes = from_low(b"".join(rows["hashes"]), int(rows["range"].iloc[0]) % 256)
         _, first = np.unique(keys.view(PAIR), return_index=True)
         single = np.zeros(len(keys), bool)
         single[first] = True
@@ -127,7 +143,7 @@ def shared_of_range(buckets: int):
             part = order[edges[b] : edges[b + 1]]
             if len(part):
                 who, n = np.unique(of[part], return_counts=True)
-                out.append((b, keys[who].tobytes(), sizes[who].tobytes(), n.astype(np.uint32).tobytes(), hashes[part].tobytes(), found[part].tobytes()))
+                out.append((b, keys[who].tobytes(), squeezed(sizes[who]), squeezed(n.astype(np.uint32)), hashes[part].tobytes(), squeezed(found[part])))
         return pd.DataFrame(out, columns=["bucket", "sets", "sizes", "counts", "hashes", "found"])
 
     return run
@@ -137,8 +153,9 @@ def candidates_of_bucket(percent: int):
     """The sets that share enough shingles: (set, n, prefix, shared)."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        keys, sizes, counts, hashes = unpacked(rows)
-        found = np.frombuffer(b"".join(rows["found"]), np.uint16)
+        keys, sizes, counts = unpacked(rows)
+        hashes = np.frombuffer(b"".join(rows["hashes"]), np.uint64)
+        found = np.concatenate([spread(x, "u2") for x in rows["found"]])
         kinds, first, kind = np.unique(keys.view(PAIR), return_index=True, return_inverse=True)
         n = sizes[first].astype(np.int64)
         of = np.repeat(kind, counts)
@@ -291,7 +308,8 @@ def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, sc
 
     Nothing is cut: a range has the shingles of a share of the hashes, a bucket
     the sets of a share of the keys, both as many as there are shuffle
-    partitions, and a cluster is compared in blocks.
+    partitions, and a cluster is compared in blocks. From 256 ranges on, hashes
+    are whole; below, up to 8 of their 64 bits are those of the range.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
