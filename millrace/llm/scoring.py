@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import slices, spread, squeezed, table, window_hashes, word_count, word_hashes
+from millrace.llm.common import packed_texts, slices, spread, squeezed, table, unpacked_text, window_hashes, word_count, word_hashes
 
 #: What a step to a shorter n-gram costs.
 BACKOFF = 0.4
@@ -138,7 +138,7 @@ def backed_off(h: np.ndarray, rests: list[np.ndarray], total: int, backoff: floa
 
 
 def scored(orders: int, total: int, backoff: float):
-    """Documents (key, doc_id, text) of a bucket with the rows of their counts."""
+    """Documents (key, doc_id, packed) of a bucket with the rows of their counts."""
 
     def run(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("range", kind="stable")
@@ -151,8 +151,8 @@ def scored(orders: int, total: int, backoff: float):
             by = np.argsort(of, kind="stable")
             found.append((of[by], rest[by]))
         out = []
-        for key, doc_id, text in zip(docs["key"], docs["doc_id"], docs["text"], strict=True):
-            h = word_hashes(words(text or ""))
+        for key, doc_id, packed in zip(docs["key"], docs["doc_id"], docs["packed"], strict=True):
+            h = word_hashes(words(unpacked_text(packed)))
             rests = []
             for n, (of, rest) in enumerate(found, 1):
                 a, z = np.searchsorted(of, key, "left"), np.searchsorted(of, key, "right")
@@ -185,7 +185,7 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF) -> Data
     total = docs.agg(F.sum(word_count(F.col("text")))).first()[0] or 0
     made = [f"{p}{n} binary" for n in range(1, order + 1) for p in ("lengths", "rest")]
     counts = dealt(keyed, order, parts).groupBy("range").applyInPandas(others_counts(order, parts), "bucket long, range int, keys binary, " + ", ".join(made))
-    bucketed = keyed.withColumn("bucket", F.pmod("key", F.lit(parts).cast("long")))
+    bucketed = packed_texts(keyed, ["key", "doc_id"]).withColumn("bucket", F.pmod("key", F.lit(parts).cast("long")))
     kind = docs.schema["doc_id"].dataType.simpleString()
     return bucketed.groupBy("bucket").cogroup(counts.groupBy("bucket")).applyInPandas(scored(order, total, backoff), f"doc_id {kind}, n_words long, log_score double")
 
