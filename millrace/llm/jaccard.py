@@ -31,6 +31,8 @@ WIDTH = 5
 PERCENT = 75
 #: Bits of a signature, and children of a node.
 SIGNATURE, FAN = 2048, 16
+#: Sets that are compared one by one: their bitmaps would cost more.
+LEAF = 4
 #: Sets, and bytes of their shingles, that one task compares with each other.
 BLOCK, BLOCK_BYTES = 1000, 16 << 20
 #: Sets of a large cluster that each of its blocks gets besides its own.
@@ -178,9 +180,8 @@ class Forest:
     """Which sets are connected already."""
 
     def __init__(self, labels: np.ndarray):
-        _, self.parent = np.unique(labels, return_inverse=True)
-        first = {}
-        self.parent = [first.setdefault(x, i) for i, x in enumerate(self.parent.tolist())]
+        first: dict[int, int] = {}
+        self.parent = [first.setdefault(x, i) for i, x in enumerate(labels.tolist())]
 
     def find(self, x: int) -> int:
         while self.parent[x] != x:
@@ -205,6 +206,21 @@ def tree_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, pe
     """
     order = np.argsort(sizes, kind="stable")
     sizes, sets, labels = sizes[order], [sets[i] for i in order], labels[order]
+    forest, links = Forest(labels), []
+
+    def compare(i: int, j: int) -> None:
+        x, y = forest.find(i), forest.find(j)
+        if x != y:
+            both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+            if both * (100 + percent) >= percent * int(sizes[i] + sizes[j]):
+                forest.parent[x] = y
+                links.append((int(order[i]), int(order[j])))
+
+    if len(sets) <= LEAF:
+        for j in range(len(sets)):
+            for i in range(j):
+                compare(i, j)
+        return links
     bits = np.zeros((len(sets), SIGNATURE), bool)
     for i, s in enumerate(sets):
         bits[i, (s & np.uint64(SIGNATURE - 1)).astype(np.int64)] = True
@@ -216,7 +232,6 @@ def tree_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, pe
         sign, low, high, most, loose = levels[-1]
         cuts = np.arange(0, len(sign), FAN)
         levels.append((np.bitwise_or.reduceat(sign, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts), np.maximum.reduceat(most, cuts), np.maximum.reduceat(loose, cuts)))
-    forest, links = Forest(labels), []
 
     def visit(level: int, a: range, b: range) -> None:
         """Children a against children b of that level; both may be the same."""
@@ -237,31 +252,52 @@ def tree_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, pe
                 if not forest.all_one(i * span, ends[0], j * span, ends[1]):
                     below = len(levels[level - 1][0])
                     visit(level - 1, range(i * FAN, min((i + 1) * FAN, below)), range(j * FAN, min((j + 1) * FAN, below)))
-            elif (x := forest.find(i)) != (y := forest.find(j)):
-                both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                if both * (100 + percent) >= percent * int(sizes[i] + sizes[j]):
-                    forest.parent[x] = y
-                    links.append((int(order[i]), int(order[j])))
+            else:
+                compare(i, j)
 
     whole = range(len(levels[-1][0]))
     visit(len(levels) - 1, whole, whole)
     return links
 
 
-def joined_block(percent: int):
-    """The links of one block: rows (id, n, shared, label) of sets."""
+def joined_units(percent: int, kind: str):
+    """The links of some clusters, or of a block of one: rows (id, n, shared,
+    label, component) of sets."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.drop_duplicates(["id", "n", "shared"])
-        ids = rows["id"].to_numpy()
-        found = tree_links(rows["n"].to_numpy(), [np.frombuffer(s, np.uint64) for s in rows["shared"]], rows["label"].to_numpy(), percent)
-        return pd.DataFrame({"a": [ids[i] for i, _ in found], "b": [ids[j] for _, j in found]}, dtype=np.int64)
+        ids, sizes, labels = (rows[c].to_numpy() for c in ("id", "n", "label"))
+        shared, a, b = rows["shared"].to_numpy(), [], []
+        of = rows["component"].to_numpy()
+        order = np.argsort(of, kind="stable")
+        for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            for i, j in tree_links(sizes[own], [np.frombuffer(shared[k], kind) for k in own], labels[own], percent):
+                a.append(ids[own[i]])
+                b.append(ids[own[j]])
+        return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
 
     return run
 
 
-def links_of(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Links (a, b) that connect what is connected, over sets (id, n, prefix, shared).
+#: Tasks' worth of small clusters for each shuffle partition.
+UNITS = 4
+
+
+def joined(members: DataFrame, percent: int, kind: str, part=None) -> DataFrame:
+    """Links inside units of members: a block (and part) of a large cluster is
+    one, and so are many small clusters."""
+    many = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * UNITS
+    alone = F.col("blocks") > 1
+    unit = [
+        F.when(alone, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(many).cast("long"))).alias("unit"),
+        F.when(alone, F.col("block")).otherwise(F.lit(-1).cast("long")).alias("of"),
+        (F.lit(0) if part is None else part).cast("long").alias("part"),
+    ]
+    return members.select("component", "id", "n", "shared", "label", *unit).groupBy("unit", "of", "part").applyInPandas(joined_units(percent, kind), "a long, b long")
+
+
+def links_of(sets: DataFrame, percent: int, scratch: Scratch, kind: str = "u8") -> DataFrame:
+    """Links (a, b) that connect what is connected, over sets (id, n, prefix, shared),
+    shared being sorted numbers of that kind.
 
     A large cluster is parted into blocks, each joined with itself and some hubs
     of the cluster. That leaves few sets that aren't connected with the cluster's
@@ -271,16 +307,16 @@ def links_of(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     least = tokens.groupBy("token").agg(F.min("id").alias("m"))
     edges = tokens.join(least, "token").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
     clusters = scratch.keep(components(edges, scratch))
-    members = scratch.keep(sets.drop("prefix").join(clusters, sets["id"] == clusters["node"]).drop("node"))
-    weights = members.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.octet_length("shared")).alias("bytes"))
+    sizes = sets.select("id", F.octet_length("shared").alias("size")).join(clusters, F.col("id") == F.col("node")).select("id", "component", "size")
+    weights = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("bytes"))
     weights = weights.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long"))
-    spread = F.xxhash64("id", F.lit("block"))
-    members = scratch.keep(members.join(weights, "component").withColumn("block", F.pmod(spread, F.col("blocks"))).withColumn("label", F.col("id")))
+    by_id = F.xxhash64("id", F.lit("block"))
+    placed = sizes.join(weights, "component").select("id", "component", "sets", "blocks")
+    members = scratch.keep(sets.drop("prefix").join(placed, "id").withColumn("block", F.pmod(by_id, F.col("blocks"))).withColumn("label", F.col("id")))
     every = ["component", "id", "n", "shared", "label", "blocks"]
     large = members.where("blocks > 1")
     hubs = large.where(F.pmod(F.xxhash64("id", F.lit("hub")), F.col("sets")) < HUBS).select(*every, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    first = members.select(*every, "block").unionByName(hubs).groupBy("component", "block").applyInPandas(joined_block(percent), "a long, b long")
-    links = scratch.keep(first)
+    links = scratch.keep(joined(members.select(*every, "block").unionByName(hubs), percent, kind))
     if large.isEmpty():
         return links
     labels = components(links, scratch)
@@ -291,8 +327,7 @@ def links_of(sets: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
     todo = scratch.keep(now.join(tops.where("parts > 0"), "component"))
     rest = todo.where("label <> top").select(*every, F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
     whole = todo.select(*every, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block")
-    second = whole.unionByName(rest).groupBy("component", "block", "part").applyInPandas(joined_block(percent), "a long, b long")
-    return scratch.keep(links.unionByName(second))
+    return scratch.keep(links.unionByName(joined(whole.unionByName(rest), percent, kind, F.col("part"))))
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
