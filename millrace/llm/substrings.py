@@ -1,12 +1,13 @@
 """Substring deduplication by MinHash banding of paragraphs.
 
-Repeated passages begin and end anywhere in a line, so a paragraph here is a
-passage of LENGTH words that begins at an anchor: a word position whose hash is
-the least of some SPACING neighbours. Anchors follow from nearby words alone, so
-a passage of SPACING - 1 + LENGTH words has a paragraph in common with any other
-place where it stands. MinHashes over a paragraph's shingles are banded together
-with its anchor, or else each paragraph would collide with those that begin some
-words later. Band hashes that several documents have make their paragraphs
+Paragraphs are the text's own units, its lines and its blocks of lines, whatever
+their lengths. Repeated passages also begin and end anywhere in a line, so any
+passage of LENGTH words that begins at an anchor is a paragraph too: a word
+position whose hash is the least of some SPACING neighbours. Anchors follow from
+nearby words alone, so a passage of SPACING - 1 + LENGTH words has a paragraph in
+common with any other place where it stands. MinHashes over a unit's shingles are
+banded as they are; those of an anchored passage together with its anchor, or else
+each would collide with those that begin some words later. Band hashes that several documents have make their paragraphs
 candidates. These are compared exactly, and components of equal and similar paragraphs give the
 clusters, of which one paragraph stays.
 """
@@ -26,8 +27,8 @@ from millrace.llm.components import components
 from millrace.llm.jaccard import links_of
 from millrace.llm.scoring import words
 
-#: Words of a paragraph, positions of which one is an anchor. Together they make
-#: sure that a repeated passage of 50 words is seen.
+#: Words of an anchored passage, positions of which one is an anchor. Together they
+#: make sure that a passage of 50 words that repeats inside lines is seen.
 LENGTH, SPACING = 27, 24
 WIDTH = 5
 PERCENT = 75
@@ -36,52 +37,141 @@ PERCENT = 75
 BANDS, ROWS = 4, 1
 #: Odd multipliers of the hash functions.
 FACTORS = (np.random.default_rng(7).integers(0, 2**63, BANDS * ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: The same for lines and blocks, without an anchor: at a similarity of 0.75 a
+#: chance of 1 - (1 - 0.75 ** 2) ** 6 = 0.993, at 0.8 of 0.998.
+UNIT_BANDS, UNIT_ROWS = 6, 2
+UNIT_FACTORS = (np.random.default_rng(8).integers(0, 2**63, UNIT_BANDS * UNIT_ROWS, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
+#: Words of the shortest unit: a single word is no paragraph.
+LEAST = 2
 #: Bits of a band hash that are sent, besides those that its range implies.
 LOW = (1 << 48) - 1
 
 
 class Paragraphs:
-    """The paragraphs of some texts: of (text), start (word), content (hash of
-    the words), bands (hashes), and shingles of those that are asked for. A text
-    has a content once, where it first stands."""
+    """The paragraphs of some texts: of (text), start and end (words), content
+    (hash of the words), band hashes (flat) with their paragraphs (unit), and
+    shingles of those that are asked for. A text has a content once, where it
+    first stands."""
 
     def __init__(self, texts: list[str]):
-        hashes = [word_hashes(words(t)) for t in texts]
-        starts = [anchors(h) for h in hashes]
-        self.of = np.repeat(np.arange(len(texts)), [len(s) for s in starts])
-        self.start = np.concatenate([*starts, np.zeros(0, np.int64)])
+        split = [unit_words(t) for t in texts]
+        hashes = [word_hashes(w) for w, _ in split]
         ends = np.cumsum([0, *[len(h) for h in hashes]])
         flat = np.concatenate([*hashes, np.zeros(LENGTH, np.uint64)])
-        at = self.start + ends[self.of]
         self.grams = window_hashes(flat, WIDTH)
+        windows = self.anchored(hashes, ends, flat)
+        units = self.own_units([u for _, u in split], ends, flat)
+        # Windows before units, in the order of texts.
+        of, start, end, content, at = (np.concatenate(x) for x in zip(windows[:5], units[:5], strict=True))
+        by = np.argsort(of, kind="stable")
+        self.of, self.start, self.end, self.content, self.at = of[by], start[by], end[by], content[by], at[by]
+        place = np.empty(len(by), np.int64)
+        place[by] = np.arange(len(by))
+        unit = place[np.concatenate([windows[5], units[5] + len(windows[0])])]
+        bands = np.concatenate([windows[6], units[6]])
+        by = np.argsort(unit, kind="stable")
+        self.unit, self.flat = unit[by], bands[by]
+
+    def anchored(self, hashes: list[np.ndarray], ends: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        starts = [anchors(h) for h in hashes]
+        of = np.repeat(np.arange(len(hashes)), [len(s) for s in starts])
+        start = np.concatenate([*starts, np.zeros(0, np.int64)])
+        at = start + ends[of]
         inside = LENGTH - WIDTH + 1
         # Contents: the shingles' hashes summed by position, so order counts.
         places = FACTORS[0] ** np.arange(1, inside + 1, dtype=np.uint64)
-        self.windows = np.lib.stride_tricks.sliding_window_view(self.grams, inside)
-        self.content = np.zeros(len(at), np.uint64)
+        content = np.zeros(len(at), np.uint64)
         for j in range(inside):
-            self.content += self.grams[at + j] * places[j]
-        pair = np.stack([self.of.astype(np.uint64), self.content], axis=1)
-        first = np.sort(np.unique(pair, axis=0, return_index=True)[1])
-        self.of, self.start, self.content, self.at = self.of[first], self.start[first], self.content[first], at[first]
+            content += self.grams[at + j] * places[j]
+        first = firsts(of, content)
+        of, start, content, at = of[first], start[first], content[first], at[first]
         least = []
         for f in FACTORS:
-            mixed = self.grams * f
-            mixed ^= mixed >> np.uint64(32)
-            windows = np.lib.stride_tricks.sliding_window_view(mixed * f, inside)
-            least.append(windows[self.at].min(axis=1) if len(self.at) else np.zeros(0, np.uint64))
-        self.bands = np.zeros((len(self.at), BANDS), np.uint64)
-        anchor = window_hashes(flat, 3)[self.at]
-        for b in range(BANDS):
-            h = anchor + np.uint64(b + 1)
-            for m in least[b * ROWS : (b + 1) * ROWS]:
-                h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + m
-            self.bands[:, b] = h * np.uint64(0xC2B2AE3D27D4EB4F)
+            mixed = np.lib.stride_tricks.sliding_window_view(remixed(self.grams, f), inside)
+            least.append(mixed[at].min(axis=1) if len(at) else np.zeros(0, np.uint64))
+        bands = banded(least, window_hashes(flat, 3)[at], BANDS, ROWS)
+        return of, start, start + LENGTH, content, at, np.repeat(np.arange(len(at)), BANDS), bands.reshape(-1)
+
+    def own_units(self, units: list[np.ndarray], ends: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        of = np.repeat(np.arange(len(units)), [len(u) for u in units])
+        start, end = np.concatenate([*units, np.zeros((0, 2), np.int64)]).T
+        at, n = start + ends[of], end - start
+        # Contents as above, for any length: each place counts from the unit's start.
+        factor = UNIT_FACTORS[0]
+        size = np.ones(len(self.grams), np.uint64)
+        size[1:] = factor
+        back = size.copy()
+        back[1:] = np.uint64(pow(int(factor), -1, 1 << 64))
+        size, back = np.cumprod(size), np.cumprod(back)
+        content = n.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+        long = np.flatnonzero(n >= WIDTH)
+        if len(long):
+            content[long] += reduced(np.add, self.grams * size, at[long], at[long] + n[long] - WIDTH + 1) * back[at[long]]
+        for k in range(LEAST, WIDTH):
+            short = np.flatnonzero(n == k)
+            content[short] += window_hashes(flat, k)[at[short]]
+        first = firsts(of, content)
+        of, start, end, content, at = of[first], start[first], end[first], content[first], at[first]
+        long, short = np.flatnonzero(end - start >= WIDTH), np.flatnonzero(end - start < WIDTH)
+        last = at[long] + (end - start)[long] - WIDTH + 1
+        least = [reduced(np.minimum, remixed(self.grams, f), at[long], last) for f in UNIT_FACTORS]
+        bands = banded(least, np.full(len(long), 1 << 40, np.uint64), UNIT_BANDS, UNIT_ROWS)
+        whole = banded([content[short]], np.full(len(short), 1 << 41, np.uint64), 1, 1)
+        return of, start, end, content, at, np.concatenate([np.repeat(long, UNIT_BANDS), short]), np.concatenate([bands.reshape(-1), whole.reshape(-1)])
 
     def shingles(self, i: int) -> np.ndarray:
         """32 bits tell the few shingles of two paragraphs apart, but for a
-        chance of about one in ten million."""
-        return np.unique((self.windows[self.at[i]] >> np.uint64(32)).astype(np.uint32))
+        chance of about one in ten million. A unit of fewer words than a shingle
+        is one as a whole."""
+        n = int(self.end[i] - self.start[i])
+        own = self.grams[self.at[i] : self.at[i] + n - WIDTH + 1] if n >= WIDTH else self.content[i : i + 1]
+        return np.unique((own >> np.uint64(32)).astype(np.uint32))
+
+
+def unit_words(text: str) -> tuple[list[bytes], np.ndarray]:
+    """The words of a text, and (start, end) of its units of LEAST words: its
+    lines, and blocks of several lines between blank ones."""
+    lines = [line.split() for line in text.encode("utf-8").lower().split(b"\n")]
+    found, at, block, filled = [], 0, 0, 0
+    for line in [*lines, []]:
+        if line:
+            found.append((at, at + len(line)))
+            filled += 1
+        else:
+            if filled > 1:
+                found.append((block, at))
+            block, filled = at, 0
+        at += len(line)
+    spans = np.array(found, np.int64).reshape(-1, 2)
+    return [w for line in lines for w in line], spans[spans[:, 1] - spans[:, 0] >= LEAST]
+
+
+def firsts(of: np.ndarray, content: np.ndarray) -> np.ndarray:
+    """Where each text's contents stand first."""
+    pair = np.stack([of.astype(np.uint64), content], axis=1)
+    return np.sort(np.unique(pair, axis=0, return_index=True)[1])
+
+
+def remixed(grams: np.ndarray, factor: np.uint64) -> np.ndarray:
+    mixed = grams * factor
+    mixed ^= mixed >> np.uint64(32)
+    return mixed * factor
+
+
+def reduced(by: np.ufunc, values: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """by over values of each stretch from start to end, exclusive and less than all."""
+    return by.reduceat(values, np.stack([start, end], axis=1).reshape(-1))[::2] if len(start) else np.zeros(0, values.dtype)
+
+
+def banded(least: list[np.ndarray], seed: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band hashes of MinHashes, bands for each paragraph."""
+    out = np.zeros((len(seed), bands), np.uint64)
+    for b in range(bands):
+        h = seed + np.uint64(b + 1)
+        for m in least[b * rows : (b + 1) * rows]:
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + m
+        out[:, b] = h * np.uint64(0xC2B2AE3D27D4EB4F)
+    return out
 
 
 def anchors(h: np.ndarray) -> np.ndarray:
@@ -105,8 +195,8 @@ def dealt(docs: DataFrame, ranges: int) -> DataFrame:
             for part, texts in slices(batch):
                 keys = part.column(0).to_numpy(zero_copy_only=False)
                 found = Paragraphs(texts)
-                flat, of = found.bands.reshape(-1), np.repeat(found.of, BANDS)
-                prints = np.repeat(found.content >> np.uint64(48), BANDS).astype(np.uint16)
+                flat, of = found.flat, found.of[found.unit]
+                prints = (found.content >> np.uint64(48)).astype(np.uint16)[found.unit]
                 where = (((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
                 by = np.argsort(where, kind="stable")
                 edges = np.searchsorted(where[by], np.arange(ranges + 1))
@@ -168,15 +258,16 @@ def repeated(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
                 a, z = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
                 own = bands[a:z]
                 shared, near = np.unique(own & np.uint64(LOW)), np.unique(own[own >> np.uint64(63) > 0] & np.uint64(LOW))
-                mine = found.bands[edges[i] : edges[i + 1]]
+                first, last = np.searchsorted(found.unit, edges[i : i + 2])
+                mine, unit = found.flat[first:last], found.unit[first:last]
                 low = mine & np.uint64(LOW)
-                hit, differs = np.isin(low, shared).any(axis=1), np.isin(low, near)
-                for j in np.flatnonzero(hit).tolist():
-                    k = edges[i] + j
-                    meets = mine[j][differs[j]].view(np.int64).tolist() or None
+                hit, differs = np.isin(low, shared), np.isin(low, near)
+                for k in np.unique(unit[hit]).tolist():
+                    x, y = np.searchsorted(unit, [k, k + 1])
+                    meets = mine[x:y][differs[x:y]].view(np.int64).tolist() or None
                     sh = found.shingles(k) if meets else None
-                    out.append((doc_id, int(found.start[k]), int(found.content[k].view(np.int64)), meets, None if sh is None else len(sh), None if sh is None else sh.tobytes()))
-    return pd.DataFrame(out, columns=["doc_id", "start", "content", "bands", "n", "shingles"]).astype({"start": "int64", "content": "int64"})
+                    out.append((doc_id, int(found.start[k]), int(found.end[k]), int(found.content[k].view(np.int64)), meets, None if sh is None else len(sh), None if sh is None else sh.tobytes()))
+    return pd.DataFrame(out, columns=["doc_id", "start", "end", "content", "bands", "n", "shingles"]).astype({"start": "int64", "end": "int64", "content": "int64"})
 
 
 def dedup_substrings(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -186,8 +277,10 @@ def dedup_substrings(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     A cluster is a component of paragraphs with equal words or a Jaccard
     similarity of percent. The smallest doc_id of a cluster is its keeper, whose
     paragraphs aren't removed. Words are lower-cased runs without ASCII white space.
-    Texts of fewer than LENGTH words, null texts and rows without doc_id have no
-    paragraphs; a paragraph that only its own document repeats is none of these,
+    Lines and blocks of one word, null texts and rows without doc_id have no
+    paragraphs; paragraphs of fewer than WIDTH words are alike only if equal, and
+    passages inside lines are surely found from SPACING - 1 + LENGTH words on.
+    Paragraphs may overlap. A paragraph that only its own document repeats is none of these,
     and a document has a paragraph's content once. Rows of equal id and text are
     one document. Other columns don't matter. An empty table gives none.
     """
@@ -197,14 +290,14 @@ def dedup_substrings(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     bands = dealt(keyed, parts).groupBy("range").applyInPandas(shared_bands(parts), "bucket long, keys binary, bands binary")
     bucketed = packed_texts(keyed, ["key", "doc_id"]).withColumn("bucket", F.pmod("key", F.lit(parts).cast("long")))
-    found = bucketed.groupBy("bucket").cogroup(bands.groupBy("bucket")).applyInPandas(repeated, "doc_id long, start long, content long, bands array<long>, n long, shingles binary")
+    found = bucketed.groupBy("bucket").cogroup(bands.groupBy("bucket")).applyInPandas(repeated, "doc_id long, start long, end long, content long, bands array<long>, n long, shingles binary")
     found = scratch.keep(found)
     sets = found.where("bands is not null").groupBy("content").agg(F.first("n").alias("n"), F.flatten(F.collect_set("bands")).alias("prefix"), F.first("shingles").alias("shared")).withColumnRenamed("content", "id")
     tops = components(links_of(scratch.keep(sets), percent, scratch, "u4"), scratch)
-    placed = found.join(tops, found["content"] == tops["node"], "left").select("doc_id", "start", F.coalesce("component", "content").alias("cluster")).distinct()
+    placed = found.join(tops, found["content"] == tops["node"], "left").select("doc_id", "start", "end", F.coalesce("component", "content").alias("cluster")).distinct()
     placed = scratch.keep(placed)
     of = placed.groupBy("cluster").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last")
-    return placed.join(of, "cluster").select("doc_id", "start", (F.col("start") + LENGTH).alias("end"), "cluster", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
+    return placed.join(of, "cluster").select("doc_id", "start", "end", "cluster", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
 
 
 def joined_spans(spans) -> F.Column:

@@ -254,6 +254,45 @@ def test_repeated_passages_are_found(spark):
     assert substrings.dedup_substrings(source.limit(0)).count() == 0
 
 
+def test_short_lines_and_near_paragraphs_are_found(spark):
+    """Against brute force: lines and texts of any length from two words on, and
+    near copies of paragraphs between 0.75 and 0.9."""
+    rng = random.Random(13)
+    plain = lambda n: ["".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n)]
+    rows, owners, line_at = [], set(), {}
+    for k, n in enumerate((2, 4, 5, 9, 12, 26, 27, 30, 40, 49)):
+        line = " ".join(plain(n))
+        for j in range(2):
+            i = 2 * k + j
+            line_at[i] = (30, 30 + n)
+            rows.append((i, "\n".join([" ".join(plain(30)), line, " ".join(plain(30))])))
+            owners.add(i)
+    near = {}
+    for k in range(100):
+        n, changes = rng.choice([(60, 1), (50, 1), (80, 1), (100, 2), (110, 2)])
+        own = plain(n)
+        other = list(own)
+        for c in range(changes):
+            other[(c + 1) * n // (changes + 1)] = plain(1)[0]
+        sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (own, other)]
+        near[100 + 2 * k] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        for j, w in enumerate((own, other)):
+            rows.append((100 + 2 * k + j, "\n".join([" ".join(plain(40)), " ".join(w)])))
+            line_at[100 + 2 * k + j] = (40, 40 + n)
+    rows += [(900, "short text"), (901, "Short\tText"), (902, "word"), (903, "word"), (904, "all\nby\nlines\n\nrest one"), (905, "all by\nlines\n\nrest two")]
+    found = substrings.dedup_substrings(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    spans = {(r["doc_id"], r["start"], r["end"]) for r in found}
+    assert all((i, *line_at[i]) in spans for i in owners)
+    assert {r["doc_id"] for r in found if r["doc_id"] >= 900} == {900, 901, 904, 905}
+    assert (904, 0, 3) in spans and (905, 0, 3) in spans
+    similar = [i for i, s in near.items() if 0.75 <= s <= 0.9]
+    assert len(similar) > 50
+    seen = [i for i in similar if {(i, *line_at[i]), (i + 1, *line_at[i + 1])} <= spans]
+    print(f"{len(seen)} of {len(similar)} near copies found")
+    assert len(seen) >= 0.97 * len(similar)
+    assert not {r["doc_id"] for r in found} & {i for i, s in near.items() if s < 0.75}
+
+
 # Classifier
 
 def test_classifier_on_held_out_documents(spark):
