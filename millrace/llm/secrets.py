@@ -27,13 +27,15 @@ HEX = re.compile(rf"[0-9a-f]{{{LEAST['hex']},}}")
 #: The order in which spans of the same start stand.
 KINDS = ("assign", "access", "hex", "entropy_hex", "entropy_base64")
 
-#: Characters in a window.
-WINDOW = 24
-#: By class: a candidate's pattern, and bits of entropy from which a window is
-#: suspect. 24 characters can have 4 bits over 16 letters and 4.58 bits over more.
+#: Characters in a window, and in the window of runs that are shorter.
+WINDOW, SHORT = 24, 16
+#: By class: a candidate's pattern, and bits of entropy from which a window and a
+#: short window are suspect. 24 characters can have 4 bits over 16 letters and 4.58
+#: bits over more, 16 characters 4 bits. A sign = before a run parts it from a name;
+#: after it, it is padding unless a value follows.
 CLASSES = {
-    "entropy_hex": (re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{24,}(?![0-9A-Za-z])"), 3.0),
-    "entropy_base64": (re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{24,}={0,2}"), 3.9),
+    "entropy_hex": (re.compile(r"(?<![0-9A-Za-z])[0-9A-Fa-f]{16,}(?![0-9A-Za-z])"), 3.0, 2.7),
+    "entropy_base64": (re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:={1,2}(?![A-Za-z0-9+/_=-]))?"), 3.9, 3.4),
 }
 #: What a suspect stretch may be instead of a secret: words joined by a sign,
 #: a version-4 identifier, a path, letters only or digits only, one case only
@@ -44,8 +46,8 @@ ALLOWED = (
     re.compile(r"/?(?:[A-Za-z]+[0-9]{0,4}[/_-])+[A-Za-z]*[0-9]{0,4}"),
     re.compile(r".*(?:abcdefgh|ABCDEFGH|01234567|EXAMPLE|example).*"),
 )
-#: A run as long as any candidate; texts without one aren't looked at closer.
-LONG = re.compile(rf"[A-Za-z0-9+/_-]{{{WINDOW}}}")
+#: A run as short as any candidate; texts without one aren't looked at closer.
+LONG = re.compile(rf"[A-Za-z0-9+/_-]{{{SHORT}}}")
 #: N * log2(n), for entropies from counts.
 NLOGN = [0.0] + [n * math.log2(n) for n in range(1, WINDOW + 1)]
 
@@ -93,11 +95,12 @@ def hot_windows(run: str, threshold: float, width: int = WINDOW) -> list[tuple[i
 def entropy_spans(text: str) -> list[tuple[int, str, int]]:
     spans = []
     if LONG.search(text):
-        for kind, (pattern, threshold) in CLASSES.items():
+        for kind, (pattern, threshold, short) in CLASSES.items():
             for m in pattern.finditer(text):
-                if not any(a.fullmatch(m[0]) for a in ALLOWED):
-                    for a, b in hot_windows(m[0], threshold):
-                        if not any(x.fullmatch(m[0], a, b) for x in ALLOWED):
+                bare = len(m[0].rstrip("="))
+                if not any(a.fullmatch(m[0], 0, bare) for a in ALLOWED):
+                    for a, b in hot_windows(m[0], threshold) if bare >= WINDOW else hot_windows(m[0], short, SHORT):
+                        if not any(x.fullmatch(m[0], a, min(b, bare)) for x in ALLOWED):
                             spans.append((m.start() + a, kind, m.start() + b))
     return spans
 

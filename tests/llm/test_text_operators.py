@@ -74,6 +74,19 @@ def test_secrets_on_spark(spark):
     assert secrets.find_secrets(frame(spark, [])).count() == 0
 
 
+def test_entropy_of_values_after_names_and_of_short_runs():
+    key = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzt9Qw3Er7T"
+    for text in (f"AWS_KEY={key}", f"aws_secret_access_key={key}", f"https://x.org/a?sig={key}==", f"a=b={key}", f"x: {key}"):
+        spans = secrets.entropy_spans(text)
+        assert [s[1] for s in spans] == ["entropy_base64"]
+        assert text.index(key) <= spans[0][0] and text.index(key) + len(key) - 8 <= spans[0][2]
+    for n in range(16, 24):
+        for text, value in ((f"id {key[20:20 + n]} x", key[20:20 + n]), (f"NAME={HEX40[:n]}", HEX40[:n])):
+            assert any(text[a:b] in value for a, _, b in secrets.entropy_spans(text))
+    for text in ("configuration_key=a", "configuration_key= a", "2024-01-15T10-30-00", "internationalization", "1234567890123456", "some-words/of_a/path"):
+        assert secrets.entropy_spans(text) == []
+
+
 # Chat
 
 TURNS = [
