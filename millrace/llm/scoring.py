@@ -22,8 +22,8 @@ from millrace.llm.common import packed_texts, slices, spread, squeezed, table, u
 
 #: What a step to a shorter n-gram costs.
 BACKOFF = 0.4
-#: Words of the longest n-gram.
-ORDER = 2
+#: Words of the longest n-gram, by default and in the query of trigrams.
+ORDER, TRIGRAMS = 2, 3
 
 
 def words(text: str) -> list[bytes]:
@@ -194,6 +194,10 @@ def op5_scoring(spark, sf_dir: str) -> DataFrame:
     return score(table(spark, sf_dir, "documents")).withColumn("log_score", F.round("log_score", 4))
 
 
+def op5_trigrams(spark, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"), TRIGRAMS).withColumn("log_score", F.round("log_score", 4))
+
+
 SQL = r"""
 WITH w AS (
   SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
@@ -222,3 +226,41 @@ WITH w AS (
 )
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(per.s, 0.0)::DOUBLE, 4) AS log_score FROM w LEFT JOIN per USING (r)
 """
+
+#: The same with one more step.
+SQL_TRIGRAMS = r"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS ws FROM documents
+), total AS (
+  SELECT sum(len(ws)) AS n FROM w
+), t AS (
+  SELECT r, len(ws) AS n, i, ws[i] AS w, CASE WHEN i > 1 THEN ws[i - 1] END AS p, CASE WHEN i > 2 THEN ws[i - 2] END AS q FROM (SELECT r, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)
+), c1 AS (
+  SELECT w, count(*) AS c FROM t GROUP BY w
+), o1 AS (
+  SELECT r, w, count(*) AS c FROM t GROUP BY r, w
+), c2 AS (
+  SELECT p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY p, w
+), o2 AS (
+  SELECT r, p, w, count(*) AS c FROM t WHERE p IS NOT NULL GROUP BY r, p, w
+), c3 AS (
+  SELECT q, p, w, count(*) AS c FROM t WHERE q IS NOT NULL GROUP BY q, p, w
+), o3 AS (
+  SELECT r, q, p, w, count(*) AS c FROM t WHERE q IS NOT NULL GROUP BY r, q, p, w
+), u AS (
+  SELECT r, o1.w, c1.c - o1.c AS a FROM o1 JOIN c1 USING (w)
+), b AS (
+  SELECT r, o2.p, o2.w, c2.c - o2.c AS a FROM o2 JOIN c2 ON o2.p = c2.p AND o2.w = c2.w
+), d AS (
+  SELECT r, o3.q, o3.p, o3.w, c3.c - o3.c AS a FROM o3 JOIN c3 ON o3.q = c3.q AND o3.p = c3.p AND o3.w = c3.w
+), s AS (
+  SELECT t.r, CASE WHEN coalesce(d.a, 0) > 0 THEN ln(d.a) - ln(y.a)
+    ELSE CASE WHEN i > 2 THEN ln(0.4) ELSE 0 END + CASE WHEN coalesce(b.a, 0) > 0 THEN ln(b.a) - ln(x.a)
+    ELSE CASE WHEN i > 1 THEN ln(0.4) ELSE 0 END + CASE WHEN u.a > 0 THEN ln(u.a) - ln(greatest(total.n - t.n, 1)) ELSE ln(0.4) - ln(total.n - t.n + 1) END END END AS s
+  FROM t JOIN u ON u.r = t.r AND u.w = t.w LEFT JOIN b ON b.r = t.r AND b.p = t.p AND b.w = t.w LEFT JOIN u x ON x.r = t.r AND x.w = t.p
+    LEFT JOIN d ON d.r = t.r AND d.q = t.q AND d.p = t.p AND d.w = t.w LEFT JOIN b y ON y.r = t.r AND y.p = t.q AND y.w = t.p, total
+), per AS (
+  SELECT r, sum(s) AS s FROM s GROUP BY r
+)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, round(coalesce(per.s, 0.0)::DOUBLE, 4) AS log_score FROM w LEFT JOIN per USING (r)
+"""

@@ -191,6 +191,18 @@ def test_scores_of_repeated_rows(spark):
     assert scoring.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def test_registered_trigrams(spark, tmp_path):
+    """A query scores with contexts of two words: texts of the same pairs in
+    another order differ."""
+    from millrace.llm import entry
+
+    texts = ["a b c a d", "a d a b c", "x a b c y", "c a d", "b c a b"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r["doc_id"]: r["log_score"] for r in entry.QUERIES["op5_trigrams"](spark, str(tmp_path)).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx(score_by_hand(texts, 3), abs=1e-4)
+    assert "op5_trigrams" in entry.SQL
+
+
 # Quality rules
 
 def measured_by_hand(text):
