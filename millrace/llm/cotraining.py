@@ -2,18 +2,20 @@
 
 One view is a document's text, the other what its page says of it: source,
 language and length. Each has a logistic regression over binary features. In
-rounds, each view labels those documents of an unlabelled pool of which it is
-confident by its calibrated score, and the other view learns from them. The
-calibrated views are then combined, and all documents are scored.
+rounds, each view labels those of all unlabelled documents of which it is most
+confident by its calibrated score and that it hasn't labelled yet, and the other
+view learns from them. The calibrated views are then combined, and all documents
+are scored.
 
-The models are fitted on the driver, on samples of fixed size; all else is done
-where the documents are.
+The models are fitted on the driver, on samples of labelled and pseudo-labelled
+documents of fixed size; all else is done where the documents are.
 """
 
 from __future__ import annotations
 
 import math
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,14 +23,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_texts, table, without
+from millrace.llm.common import Scratch, map_texts, table, without
 from millrace.llm.decontamination import words as letters
 
-#: Bounds of the fit: labelled documents, and documents of the unlabelled pool,
-#: both taken by a hash of their ids.
+#: Bounds of a fit: labelled documents, and pseudo-labelled ones of all that the
+#: other view has handed over, both taken by a hash of their ids.
 LABELLED, POOL = 8000, 8000
-#: Rounds, the confidence that a pseudo-label needs, and the share of the pool
-#: that a view may label for the other in a round.
+#: Rounds, the confidence that a pseudo-label needs, and the share of the documents
+#: of a class without one that a view labels for the other in a round. Documents as
+#: confident as the last of them are labelled too.
 ROUNDS, CONFIDENT, SHARE = 3, 0.97, 0.1
 #: The share of good documents of the holdout that the cutoff may cost.
 MOST_LOST = 0.005
@@ -145,43 +148,93 @@ class Judge:
     views: dict[str, Linear]
     mix: np.ndarray
     cutoff: float
+    #: How many documents each view had handed over after each round.
+    handed: dict[str, list[int]] = field(default_factory=lambda: {v: [] for v in SIZE})
 
     def scores(self, text: list[np.ndarray], page: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         logits = [self.views["text"].logits(text), self.views["page"].logits(page)]
         return sigmoid(logits[0]), sigmoid(logits[1]), sigmoid(np.column_stack([*logits, np.ones(len(text))]) @ self.mix)
 
 
-def cotrain(rows: list[tuple[np.ndarray, np.ndarray, int | None]]) -> Judge:
-    """Over (text features, page features, 1 for good, 0 for bad, None).
+def handing(features: DataFrame, known: DataFrame, rounds: list[tuple[dict[str, Linear], dict | None]]) -> DataFrame:
+    """(doc_id, and for each view p and given) of the unlabelled documents: the
+    last models' chances, and the pseudo-labels of the rounds before. These follow
+    from the rounds' models and limits, so no state is joined to documents."""
+    shared = features.sparkSession.sparkContext.broadcast(rounds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            given = {v: np.full(batch.num_rows, np.nan) for v in SIZE}
+            for models, limits in shared.value:
+                p = {}
+                for i, v in enumerate(SIZE, 1):
+                    column = batch.column(i)
+                    offsets = column.offsets.to_numpy()
+                    values = column.values.to_numpy()[: offsets[-1]]
+                    p[v] = sigmoid(models[v].slope * (np.add.reduceat(models[v].weights[values].astype(float), offsets[:-1]) + models[v].bias) + models[v].shift)
+                    if limits is not None:
+                        now = np.isnan(given[v]) & (np.maximum(p[v], 1 - p[v]) >= np.where(p[v] > 0.5, limits[v][1], limits[v][0]))
+                        given[v][now] = p[v][now] > 0.5
+            made = [x for v in SIZE for x in (pa.array(p[v]), pa.array(given[v], from_pandas=True))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], names=["doc_id", *[f"{v}_{x}" for v in SIZE for x in ("p", "given")]])
+
+    kind = features.schema["doc_id"].dataType.simpleString()
+    found = features.select("doc_id", *[f"{v}_features" for v in SIZE]).mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{v}_p double, {v}_given double" for v in SIZE))
+    return found.join(known, "doc_id", "left_anti")
+
+
+def limits_of(scores: DataFrame) -> dict[str, list[float]]:
+    """For each view the confidence from which it hands over bad and good documents."""
+    out = {}
+    for v in SIZE:
+        p = F.col(f"{v}_p")
+        rest = scores.where(F.col(f"{v}_given").isNull()).groupBy((p > 0.5).cast("int").alias("good"))
+        found = {r["good"]: r["limit"] for r in rest.agg(F.percentile_approx(F.greatest(p, 1 - p), 1 - SHARE, 10_000).alias("limit")).collect()}
+        out[v] = [max(CONFIDENT, found.get(good, 1.0)) for good in (0, 1)]
+    return out
+
+
+def cotrain(rows: list[tuple[np.ndarray, np.ndarray, int]], features: Callable[[], DataFrame], known: DataFrame, pool: int, scratch: Scratch) -> Judge:
+    """Over labelled rows (text features, page features, 1 for good, 0 for bad), and
+    the features of all documents, of which those in known have labels.
 
     Of five labelled rows three teach, one calibrates the views and one their
     combination. Without labels of both kinds everything is good.
     """
-    known = [r for r in rows if r[2] is not None]
-    pool = [r for r in rows if r[2] is None]
-    folds = [[r for i, r in enumerate(known) if i % 5 in own] for own in ((0, 1, 2), (3,), (4,))]
+    folds = [[r for i, r in enumerate(rows) if i % 5 in own] for own in ((0, 1, 2), (3,), (4,))]
     if any(len({r[2] for r in f}) < 2 for f in folds):
         return Judge({v: Linear(np.zeros(SIZE[v], np.float32), 0.0) for v in SIZE}, np.array([0.0, 0.0, 4.0]), 0.5)
     teach, tune, last = folds
     truth = lambda fold: np.array([r[2] for r in fold], float)
     views = {"text": 0, "page": 1}
-    given: dict[str, dict[int, float]] = {v: {} for v in views}
-    models: dict[str, Linear] = {}
+    every = scratch.keep(features())
+    given: dict[str, list] = {v: [] for v in views}
+    rounds: list[tuple[dict[str, Linear], dict | None]] = []
+    handed: dict[str, list[int]] = {v: [] for v in views}
     for turn in range(ROUNDS + 1):
+        models = {}
         for v, k in views.items():
-            own = [r[k] for r in teach] + [pool[i][k] for i in given[v]]
-            models[v] = calibrate(fit(own, np.concatenate([truth(teach), np.array(list(given[v].values()))]), SIZE[v]), [r[k] for r in tune], truth(tune))
-        if turn == ROUNDS or not pool:
+            own = [r[k] for r in teach] + [x for x, _ in given[v]]
+            models[v] = calibrate(fit(own, np.concatenate([truth(teach), np.array([g for _, g in given[v]], float)]), SIZE[v]), [r[k] for r in tune], truth(tune))
+        if turn == ROUNDS:
             break
-        for v, k in views.items():
-            other = next(o for o in views if o != v)
-            p = sigmoid(models[v].logits([r[k] for r in pool]))
-            sure = np.argsort(-np.abs(p - 0.5), kind="stable")[: int(SHARE * len(pool))]
-            for i in sure.tolist():
-                if max(p[i], 1 - p[i]) >= CONFIDENT:
-                    given[other].setdefault(i, float(p[i] > 0.5))
+        scores = scratch.keep(handing(every, known, [*rounds, (models, None)]))
+        limits = limits_of(scores)
+        rounds.append((models, limits))
+        for v in views:
+            other, p = next(o for o in views if o != v), F.col(f"{v}_p")
+            now = F.when(F.greatest(p, 1 - p) >= F.when(p > 0.5, limits[v][1]).otherwise(limits[v][0]), (p > 0.5).cast("double"))
+            labelled = scores.select("doc_id", F.coalesce(f"{v}_given", now).alias("good")).where("good is not null")
+            handed[v].append(labelled.count())
+            order = F.xxhash64(F.lit("sample"), "doc_id")
+            # At most pool ids and labels: a bounded broadcast.
+            chosen = F.broadcast(labelled.dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(pool))
+            found = every.select("doc_id", F.col(f"{other}_features").alias("x")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).sort(order, "doc_id").collect()
+            given[other] = [(np.array(r["x"], np.int32), r["good"]) for r in found]
     mix = line(np.column_stack([models[v].logits([r[k] for r in last]) for v, k in views.items()]), truth(last))
-    judge = Judge(models, mix, 0.5)
+    judge = Judge(models, mix, 0.5, handed)
     score = judge.scores([r[0] for r in last], [r[1] for r in last])[2]
     judge.cutoff = float(np.quantile(score[truth(last) == 1], MOST_LOST))
     return judge
@@ -201,17 +254,17 @@ def described(docs: DataFrame, carry: list[str]) -> DataFrame:
     return map_texts(source, work, fields, [*carry, "__p0", "__p1", "__p2"]).select(*carry, "text_features", "page_features")
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, labelled: int, pool: int) -> list:
-    """The bounded samples, by a hash of the ids: labelled documents and others."""
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, scratch: Scratch | None = None) -> Judge:
+    """The judge that a bounded sample of labelled documents, by a hash of the ids,
+    and all unlabelled documents make."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("cast(quality = 1 and coalesce(toxic, 0) = 0 as int)")).alias("good"))
     order = F.xxhash64(F.lit("sample"), "doc_id")
-    taught = known.orderBy(order, "doc_id").limit(labelled)
-    others = docs.select("doc_id").where("doc_id is not null").join(known, "doc_id", "left_anti").distinct().orderBy(order, "doc_id").limit(pool).withColumn("good", F.lit(None).cast("int"))
-    # At most labelled + pool ids and flags: a bounded broadcast.
-    chosen = F.broadcast(taught.unionByName(others))
-    sample = docs.join(chosen, "doc_id").withColumn("__order", order)
+    # At most labelled ids and flags: a bounded broadcast.
+    taught = F.broadcast(known.orderBy(order, "doc_id").limit(labelled))
+    sample = docs.join(taught, "doc_id").withColumn("__order", order)
     found = described(sample, ["doc_id", "good", "__order"]).dropDuplicates(["doc_id"]).sort("__order", "doc_id").collect()
-    return [(np.array(r["text_features"], np.int32), np.array(r["page_features"], np.int32), r["good"]) for r in found]
+    rows = [(np.array(r["text_features"], np.int32), np.array(r["page_features"], np.int32), r["good"]) for r in found]
+    return cotrain(rows, lambda: described(docs.where("doc_id is not null"), ["doc_id"]), known, pool, scratch or Scratch(docs.sparkSession))
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
@@ -225,7 +278,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
     named like the four are replaced; repeated rows are scored alike.
     """
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(cotrain(training_rows(docs, labels, labelled, pool)))
+    shared = spark.sparkContext.broadcast(train(docs, labels, labelled, pool))
     named = ["text_score", "page_score", "score", "kept"]
     carry = [c for c in (docs.columns if carry is None else carry) if c in without(docs, *named)]
     page = [docs[c] if c in docs.columns else F.lit(None).cast(kind) for c, kind in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]

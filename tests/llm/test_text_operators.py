@@ -341,3 +341,22 @@ def test_classifier_on_held_out_documents(spark):
     everything = cotraining.classify(docs, given.limit(0))
     assert everything.where("kept").count() == len(rows)
     assert cotraining.classify(docs.limit(0), given).count() == 0
+
+
+def test_all_unlabelled_documents_can_be_handed_over(spark):
+    """The bound of the fit doesn't bound who gets a pseudo-label, and each round
+    hands over others."""
+    rng = random.Random(14)
+    rows = []
+    for i in range(900):
+        bad = i % 2
+        words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(rng.randint(20, 60))]
+        words += [("vile" if bad else "fine") + c for c in rng.sample("abcdefghijkl", rng.randint(4, 10))]
+        rows.append((i, " ".join(words), "s2" if bad else "s1", "en", len(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, n_chars long")
+    labels = spark.createDataFrame([(i, 1 - i % 2, 0) for i in range(300)], "doc_id long, quality int, toxic int")
+    judge = cotraining.train(docs, labels, pool=20)
+    for v in ("text", "page"):
+        first, *_, last = judge.handed[v]
+        assert 20 < first and last <= 600
+    assert judge.handed["text"][0] < judge.handed["text"][-1]
