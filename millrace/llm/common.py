@@ -11,7 +11,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word of the plain kind: a run without ASCII white space.
@@ -32,7 +32,28 @@ def without(df: DataFrame, *names: str) -> list[str]:
     return [c for c in df.columns if c.lower() not in taken]
 
 
-def word_count(text) -> F.Column:
+def place_of(df: DataFrame, name: str) -> int:
+    """Where df has the column of that name; of names that differ in case only, the one that is equal."""
+    if name in df.columns:
+        return df.columns.index(name)
+    return [c.lower() for c in df.columns].index(name.lower())
+
+
+def chosen(df: DataFrame, carry: Sequence[str] = (), **wanted: str) -> DataFrame:
+    """The wanted columns (new name: name in df), and, where some are to be carried,
+    those as one struct column named row. Nothing else of df's names is left, so none
+    can clash with a column that an operator makes; restored gives them back."""
+    plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+    row = [F.struct(*[F.col(f"c{place_of(df, c)}").alias(f"c{i}") for i, c in enumerate(carry)]).alias("row")] if carry else []
+    return plain.select(*row, *[F.col(f"c{place_of(df, c)}").alias(n) for n, c in wanted.items()])
+
+
+def restored(df: DataFrame, carry: Sequence[str], *made: str | Column) -> DataFrame:
+    """The carried columns under their names, and made."""
+    return df.select(*[F.col("row").getField(f"c{i}").alias(c) for i, c in enumerate(carry)], *made)
+
+
+def word_count(text) -> Column:
     return F.when(text.isNull(), F.lit(0)).otherwise(F.regexp_count(text, F.lit(WORD))).cast("long")
 
 

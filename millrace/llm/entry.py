@@ -10,7 +10,7 @@ QUERIES = {
     "op3_secrets": secrets.op3_secrets,
     "op4_chat": chat.op4_chat,
     "op5_scoring": scoring.op5_scoring,
-    "op5_trigrams": scoring.op5_trigrams,
+    "op5_bigrams": scoring.op5_bigrams,
     "op6_sharding": sharding.op6_sharding,
     "op7_cotraining": cotraining.op7_cotraining,
     "op8_mixing": mixing.op8_mixing,
@@ -22,7 +22,7 @@ SQL = {
     "op1_jaccard": jaccard.SQL,
     "op4_chat": chat.SQL,
     "op5_scoring": scoring.SQL,
-    "op5_trigrams": scoring.SQL_TRIGRAMS,
+    "op5_bigrams": scoring.SQL_BIGRAMS,
     "op8_mixing": mixing.SQL,
     "op10_decontamination": decontamination.SQL,
 }

@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import chat, cotraining, quality, scoring, secrets, substrings
 
@@ -186,21 +187,47 @@ def test_scores(spark, order):
 def test_scores_of_repeated_rows(spark):
     rows = [(1, "a b a"), (1, "a b a"), (2, "b a c"), (None, "c c")]
     got = sorted((str(r["doc_id"]), r["log_score"]) for r in scoring.score(spark.createDataFrame(rows, "doc_id long, text string")).collect())
-    want = sorted(zip([str(i) for i, _ in rows], score_by_hand([t for _, t in rows], 2)))
+    want = sorted(zip([str(i) for i, _ in rows], score_by_hand([t for _, t in rows], 3)))
     assert [x for x, _ in got] == [x for x, _ in want] and [y for _, y in got] == pytest.approx([y for _, y in want])
     assert scoring.score(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_registered_trigrams(spark, tmp_path):
-    """A query scores with contexts of two words: texts of the same pairs in
-    another order differ."""
+def test_registered_orders(spark, tmp_path):
+    """The query scores with contexts of two words: texts of the same pairs in
+    another order differ. That of bigrams stays beside it."""
     from millrace.llm import entry
 
     texts = ["a b c a d", "a d a b c", "x a b c y", "c a d", "b c a b"]
     spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {r["doc_id"]: r["log_score"] for r in entry.QUERIES["op5_trigrams"](spark, str(tmp_path)).collect()}
-    assert [got[i] for i in range(len(texts))] == pytest.approx(score_by_hand(texts, 3), abs=1e-4)
-    assert "op5_trigrams" in entry.SQL
+    for name, order in (("op5_scoring", 3), ("op5_bigrams", 2)):
+        got = {r["doc_id"]: r["log_score"] for r in entry.QUERIES[name](spark, str(tmp_path)).collect()}
+        assert [got[i] for i in range(len(texts))] == pytest.approx(score_by_hand(texts, order), abs=1e-4)
+        assert name in entry.SQL
+
+
+@pytest.mark.parametrize("ranges", [1, 7])
+def test_scores_over_several_slices_and_ranges(spark, ranges):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["a", "B", "b", "dd", "e"]) for _ in range(rng.randint(0, 30))) for _ in range(25)] + [None, "a"]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", ranges)
+    try:
+        got = {r["doc_id"]: r["log_score"] for r in scoring.score(frame(spark, texts), 3, slice_words=40).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert [got[i] for i in range(len(texts))] == pytest.approx(score_by_hand(texts, 3))
+
+
+def test_bytes_of_the_exchange_follow_the_text_and_not_the_ranges(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5)))
+    source = spark.createDataFrame([(i, " ".join(word() for _ in range(400))) for i in range(500)], "doc_id long, text string").coalesce(1)
+    slices = scoring.sliced(source).withColumn("slice", F.lit(0).cast("long")).select("slice", "lengths", "vocabulary", "places").cache()
+    sizes = {}
+    for ranges in (8, 512):
+        out = scoring.dealt(slices, 3, ranges)
+        sizes[ranges] = out.agg(F.sum(sum(F.octet_length(c) for c in out.columns[2:]))).first()[0]
+    assert sizes[512] < 1.5 * sizes[8]
 
 
 # Quality rules
