@@ -4,12 +4,15 @@ Candidates first. Each document's shingles are dealt by hash into ranges, where
 each shingle learns in how many distinct sets it occurs. Shingles of one set
 alone link nothing: a set that shares too few can't reach the threshold, and
 of the others it is enough to compare those that share one of the rarest
-shingles, as many as a partner may lack and one more. Sets connected by such
+shingles: as many as the larger set of a pair may lack and one more, against as
+many as the smaller one may lack and one more. Sets connected by such
 shingles are a cluster, and each cluster is joined with itself by a signature
 tree: nodes hold the OR of their sets' bitmaps and the range of their sizes,
 two nodes are traversed together, and a pair of nodes is left where their
 largest possible overlap is below what the threshold needs, or where all their
-sets are connected already. What remains is compared exactly.
+sets are connected already. What remains is compared exactly. Large clusters
+are joined in blocks, and what isn't connected then once more, by blocks or by
+shared shingles, whichever moves fewer rows.
 """
 
 from __future__ import annotations
@@ -20,10 +23,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, map_texts, shingle_hashes, slices, spread, squeezed, table
+from millrace.llm.common import Scratch, chosen, map_texts, restored, shingle_hashes, slices, spread, squeezed, table
 from millrace.llm.components import components
 
 WIDTH = 5
@@ -34,7 +37,7 @@ SIGNATURE, FAN = 2048, 16
 #: Sets that are compared one by one: their bitmaps would cost more.
 LEAF = 4
 #: Sets, and bytes of their shingles, that one task compares with each other.
-BLOCK, BLOCK_BYTES = 1000, 16 << 20
+BLOCK, BLOCK_BYTES = 250, 16 << 20
 #: Sets of a large cluster that each of its blocks gets besides its own.
 HUBS = 16
 
@@ -56,14 +59,14 @@ def set_key(shingles: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(shingles.tobytes())
 
 
-def set_table(docs: DataFrame, width: int) -> DataFrame:
-    """(doc_id, set, n_shingles) of each document; set is a 128-bit digest."""
+def set_table(docs: DataFrame, width: int, carry: list[str]) -> DataFrame:
+    """Columns carry of docs with node, 64 bits of their set's digest, and n_shingles."""
 
     def work(_: pa.RecordBatch, texts: list[str]) -> list:
         sets = [shingle_set(t, width) for t in texts]
-        return [[set_key(s) for s in sets], [len(s) for s in sets]]
+        return [np.frombuffer(b"".join(set_key(s) for s in sets), PAIR)["a"].view(np.int64), [len(s) for s in sets]]
 
-    return map_texts(docs.select("doc_id", "text"), work, [("set", "binary"), ("n_shingles", "long")], ["doc_id"])
+    return map_texts(docs, work, [("node", "long"), ("n_shingles", "long")], carry)
 
 
 def dealt(docs: DataFrame, width: int, ranges: int) -> DataFrame:
@@ -151,8 +154,16 @@ def shared_of_range(buckets: int):
     return run
 
 
+def least_overlaps(n: int, percent: int) -> tuple[int, int]:
+    """What a set of n has in common with a partner at least: with a smaller one,
+    and with one of its size or larger."""
+    return -(-percent * n // 100), -(-2 * percent * n // (100 + percent))
+
+
 def candidates_of_bucket(percent: int):
-    """The sets that share enough shingles: (set, n, prefix, shared)."""
+    """The sets that share enough shingles: (id, n, prefix, index, shared). The
+    prefix has the shingles by which a set finds smaller ones, of which the first
+    index are those by which larger ones find it."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         keys, sizes, counts = unpacked(rows)
@@ -166,12 +177,12 @@ def candidates_of_bucket(percent: int):
         out = []
         for i in range(len(kinds)):
             share = hashes[order[edges[i] : edges[i + 1]]]  # the rarest first
-            need = -(-percent * int(n[i]) // 100)
+            need, most = least_overlaps(int(n[i]), percent)
             if len(share) >= need:
-                # A partner has at least need of the n; so of any n - need + 1 it has one.
-                rare = len(share) - need + 1
-                out.append((kinds[i].tobytes(), int(n[i]), share[:rare].view(np.int64), np.sort(share).tobytes()))
-        return pd.DataFrame(out, columns=["set", "n", "prefix", "shared"])
+                # A smaller partner has at least need of the n; so of any n - need + 1 it has one.
+                rare, index = len(share) - need + 1, max(0, len(share) - most + 1)
+                out.append((kinds[i]["a"].view(np.int64), int(n[i]), share[:rare].view(np.int64), index, np.sort(share).tobytes()))
+        return pd.DataFrame(out, columns=["id", "n", "prefix", "index", "shared"])
 
     return run
 
@@ -221,12 +232,7 @@ def tree_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, pe
             for i in range(j):
                 compare(i, j)
         return links
-    bits = np.zeros((len(sets), SIGNATURE), bool)
-    for i, s in enumerate(sets):
-        bits[i, (s & np.uint64(SIGNATURE - 1)).astype(np.int64)] = True
-    signs = np.packbits(bits, axis=1).view(np.uint64)
-    lengths = np.array([len(s) for s in sets], np.int64)
-    slack = lengths - np.bitwise_count(signs).sum(axis=1).astype(np.int64)
+    signs, lengths, slack = signatures(sets)
     levels = [(signs, sizes, sizes, lengths, slack)]
     while len(levels[-1][0]) > FAN:
         sign, low, high, most, loose = levels[-1]
@@ -261,13 +267,12 @@ def tree_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, pe
 
 
 def joined_units(percent: int, kind: str):
-    """The links of some clusters, or of a block of one: rows (id, n, shared,
-    label, component) of sets."""
+    """The links inside the groups of a unit: rows (group, id, n, shared, label) of sets."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, labels = (rows[c].to_numpy() for c in ("id", "n", "label"))
         shared, a, b = rows["shared"].to_numpy(), [], []
-        of = rows["component"].to_numpy()
+        of = rows["group"].to_numpy()
         order = np.argsort(of, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
             for i, j in tree_links(sizes[own], [np.frombuffer(shared[k], kind) for k in own], labels[own], percent):
@@ -278,88 +283,210 @@ def joined_units(percent: int, kind: str):
     return run
 
 
-#: Tasks' worth of small clusters for each shuffle partition.
+#: Tasks' worth of small groups for each shuffle partition.
 UNITS = 4
 
 
-def joined(members: DataFrame, percent: int, kind: str, part=None) -> DataFrame:
-    """Links inside units of members: a block (and part) of a large cluster is
-    one, and so are many small clusters."""
+def by_unit(members: DataFrame) -> GroupedData:
+    """members (group, blocks, block, part and others) by unit: a block and part of a
+    large group is one, and so are many small groups."""
     many = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions")) * UNITS
     alone = F.col("blocks") > 1
     unit = [
-        F.when(alone, F.col("component")).otherwise(F.pmod(F.xxhash64("component"), F.lit(many).cast("long"))).alias("unit"),
+        F.when(alone, F.col("group")).otherwise(F.pmod(F.xxhash64("group"), F.lit(many).cast("long"))).alias("unit"),
         F.when(alone, F.col("block")).otherwise(F.lit(-1).cast("long")).alias("of"),
-        (F.lit(0) if part is None else part).cast("long").alias("part"),
+        F.when(alone, F.col("part")).otherwise(F.lit(0).cast("long")).alias("side"),
     ]
-    return members.select("component", "id", "n", "shared", "label", *unit).groupBy("unit", "of", "part").applyInPandas(joined_units(percent, kind), "a long, b long")
+    return members.select("*", *unit).groupBy("unit", "of", "side")
+
+
+def joined(members: DataFrame, percent: int, kind: str) -> DataFrame:
+    """Links (a, b) inside the groups of members (UNIT)."""
+    return by_unit(members).applyInPandas(joined_units(percent, kind), "a long, b long")
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bitmaps of sets, their lengths, and how many elements share a bit with another
+    of their set (slack)."""
+    bits = np.zeros((len(sets), SIGNATURE), bool)
+    for i, s in enumerate(sets):
+        bits[i, (s & s.dtype.type(SIGNATURE - 1)).astype(np.int64)] = True
+    signs = np.packbits(bits, axis=1).view(np.uint64)
+    lengths = np.array([len(s) for s in sets], np.int64)
+    return signs, lengths, lengths - np.bitwise_count(signs).sum(axis=1).astype(np.int64)
+
+
+def signed(sets: DataFrame, kind: str) -> DataFrame:
+    """(id, n, label, sign, length, slack) of sets (SET)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                signs, lengths, slack = signatures([np.frombuffer(x, kind) for x in part.column(3).to_pylist()])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([s.tobytes() for s in signs], pa.binary()), pa.array(lengths), pa.array(slack)], names=["id", "n", "label", "sign", "length", "slack"])
+
+    return sets.select("id", "n", "label", "shared").mapInArrow(run, "id long, n long, label long, sign binary, length long, slack long")
+
+
+def open_units(percent: int):
+    """Of rows (group, blocks, block, part, and what signed gives) those whose signature
+    leaves them a partner in their group that isn't connected with them."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        of, taken = rows["group"].to_numpy(), []
+        order = np.argsort(of, kind="stable")
+        every = np.frombuffer(b"".join(rows["sign"]), np.uint64).reshape(len(rows), -1)
+        sizes, labels, most, loose = (rows[c].to_numpy() for c in ("n", "label", "length", "slack"))
+        for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
+            for start in range(0, len(own), 64):
+                a = own[start : start + 64]
+                common = np.bitwise_count(every[a][:, None, :] & every[own][None, :, :]).sum(axis=2).astype(np.int64)
+                overlap = np.minimum(common + np.minimum(loose[a][:, None], loose[own][None]), np.minimum(most[a][:, None], most[own][None]))
+                open_ = overlap * (100 + percent) >= percent * (sizes[a][:, None] + sizes[own][None])
+                taken.append(a[(open_ & (labels[a][:, None] != labels[own][None])).any(axis=1)])
+        return rows.iloc[np.concatenate(taken)][["group", "blocks", "block", "part", "id"]]
+
+    return run
+
+
+def numbers(n: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), n - 1))
+
+
+def blocks_of(sets: Column, size: Column) -> Column:
+    return F.greatest(F.ceil(sets / BLOCK), F.ceil(size / BLOCK_BYTES)).cast("long")
+
+
+SET = ("id", "n", "shared", "label")
+UNIT = ("group", "blocks", "block", "part", *SET)
+
+
+def unconnected(now: DataFrame, tokens: DataFrame, percent: int, kind: str, scratch: Scratch) -> DataFrame:
+    """The rows (UNIT) that the second join needs, of the sets now (cluster, blocks,
+    block, SET) of large clusters, label telling what is connected.
+
+    By blocks: what isn't connected with its cluster's largest component, in parts,
+    meets all blocks. By shingles: all sets of a shingle meet, where they aren't
+    connected already. Each cluster takes the way of fewer rows: few outliers of many
+    near copies go by blocks; sets that have passages in common and nothing more, by
+    shingles, whose rows grow as the sets do. There signatures go first, an eighth of
+    a usual set, and only sets that may have a partner follow them.
+    """
+    per = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"), F.first("blocks").alias("blocks"))
+    tops = per.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.first("blocks").alias("blocks"))
+    rest = F.col("all") - F.col("top.k")
+    tops = tops.where(rest > 0).select("cluster", F.col("top.label").alias("top"), F.ceil(rest * F.col("blocks") / F.col("all")).cast("long").alias("parts"), "all", rest.alias("rest"), "blocks")
+    tops = scratch.keep(tops.withColumn("by_blocks", F.col("all") * F.col("parts") + F.col("rest") * F.col("blocks")))
+    todo = now.join(tops.select("cluster"), "cluster", "left_semi").select("cluster", "id", "label", F.octet_length("shared").alias("size"))
+    held = scratch.keep(tokens.join(todo, "id"))
+    groups = held.groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("list"), F.max("index").alias("index"), F.min("label").alias("first"), F.max("label").alias("last"))
+    # Shingles of the same sets are one group.
+    groups = groups.where("index and first <> last").groupBy("cluster", "sets", "list").agg(F.min("token").alias("token"), F.first("bytes").alias("bytes"))
+    groups = scratch.keep(groups.select("cluster", "token", "sets", blocks_of(F.col("sets"), F.col("bytes")).alias("blocks")))
+    by_tokens = groups.groupBy("cluster").agg(F.sum(F.col("sets") * F.col("blocks")).alias("by_tokens"))
+    ways = scratch.keep(tops.join(by_tokens, "cluster", "left").withColumn("tokens", F.coalesce("by_tokens", F.lit(0)) < F.col("by_blocks")).select("cluster", "top", "parts", "tokens"))
+
+    whole = now.join(ways.where("not tokens"), "cluster").withColumn("group", F.col("cluster"))
+    rest = whole.where("label <> top").withColumn("part", F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts"))).drop("block").withColumn("block", numbers(F.col("blocks")))
+    every = whole.withColumn("part", numbers(F.col("parts")))
+
+    taken = groups.join(ways.where("tokens").select("cluster"), "cluster", "left_semi")
+    near = held.select("id", "token").join(taken.select("token", "blocks"), "token").select("id", F.col("token").alias("group"), F.col("blocks").alias("of"))
+    near = near.withColumn("own", F.pmod(F.xxhash64("id", "group"), F.col("of"))).withColumn("other", numbers(F.col("of")))
+    near = near.select("id", "group", F.col("of").alias("blocks"), F.least("own", "other").alias("block"), F.greatest("own", "other").alias("part"))
+    signs = scratch.keep(signed(now.join(ways.where("tokens"), "cluster", "left_semi"), kind))
+    near = scratch.keep(by_unit(near.join(signs, "id")).applyInPandas(open_units(percent), "group long, blocks long, block long, part long, id long"))
+    near = near.join(now.select(*SET), "id")
+    return rest.select(*UNIT).unionByName(every.select(*UNIT)).unionByName(near.select(*UNIT))
 
 
 def links_of(sets: DataFrame, percent: int, scratch: Scratch, kind: str = "u8") -> DataFrame:
-    """Links (a, b) that connect what is connected, over sets (id, n, prefix, shared),
-    shared being sorted numbers of that kind.
+    """Links (a, b) that connect what is connected, over sets (id, n, prefix, index,
+    shared), shared being sorted numbers of that kind.
 
     A large cluster is parted into blocks, each joined with itself and some hubs
-    of the cluster. That leaves few sets that aren't connected with the cluster's
-    largest component. These, in blocks again, are compared with all blocks.
+    of the cluster. That leaves few sets of near copies that aren't connected with
+    their cluster's largest component; see unconnected for these.
     """
-    tokens = scratch.keep(sets.select("id", F.explode("prefix").alias("token")))
-    least = tokens.groupBy("token").agg(F.min("id").alias("m"))
-    edges = tokens.join(least, "token").where("id <> m").select(F.col("id").alias("a"), F.col("m").alias("b")).distinct()
+    tokens = sets.select("id", "n", "index", F.posexplode("prefix").alias("at", "token"))
+    tokens = scratch.keep(tokens.select("id", "n", "token", (F.col("at") < F.col("index")).alias("index")))
+    least = tokens.groupBy("token").agg(F.min(F.when(F.col("index"), F.col("id"))).alias("m"), F.min(F.when(F.col("index"), F.col("n"))).alias("low"), F.count(F.lit(1)).alias("sets"))
+    least = scratch.keep(least.where("sets > 1 and m is not null").select("token", "m", "low"))
+    edges = tokens.join(least, "token").where("id <> m and n >= low").select(F.col("id").alias("a"), F.col("m").alias("b"))
     clusters = scratch.keep(components(edges, scratch))
-    sizes = sets.select("id", F.octet_length("shared").alias("size")).join(clusters, F.col("id") == F.col("node")).select("id", "component", "size")
-    weights = sizes.groupBy("component").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("bytes"))
-    weights = weights.withColumn("blocks", F.greatest(F.ceil(F.col("sets") / BLOCK), F.ceil(F.col("bytes") / BLOCK_BYTES)).cast("long"))
-    by_id = F.xxhash64("id", F.lit("block"))
-    placed = sizes.join(weights, "component").select("id", "component", "sets", "blocks")
-    members = scratch.keep(sets.drop("prefix").join(placed, "id").withColumn("block", F.pmod(by_id, F.col("blocks"))).withColumn("label", F.col("id")))
-    every = ["component", "id", "n", "shared", "label", "blocks"]
+    sizes = sets.select("id", F.octet_length("shared").alias("size")).join(clusters, F.col("id") == F.col("node")).select("id", F.col("component").alias("cluster"), "size")
+    weights = sizes.groupBy("cluster").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("bytes"))
+    weights = scratch.keep(weights.select("cluster", "sets", blocks_of(F.col("sets"), F.col("bytes")).alias("blocks")))
+    placed = scratch.keep(sizes.join(weights, "cluster").select("id", "cluster", "sets", "blocks"))
+    members = sets.drop("prefix", "index").join(placed, "id").withColumns({"block": F.pmod(F.xxhash64("id", F.lit("block")), F.col("blocks")), "label": F.col("id"), "group": F.col("cluster"), "part": F.lit(0).cast("long")})
+    members = scratch.keep(members)
     large = members.where("blocks > 1")
-    hubs = large.where(F.pmod(F.xxhash64("id", F.lit("hub")), F.col("sets")) < HUBS).select(*every, F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    links = scratch.keep(joined(members.select(*every, "block").unionByName(hubs), percent, kind))
+    hubs = large.where(F.pmod(F.xxhash64("id", F.lit("hub")), F.col("sets")) < HUBS).drop("block").withColumn("block", numbers(F.col("blocks")))
+    links = scratch.keep(joined(members.select(*UNIT).unionByName(hubs.select(*UNIT)), percent, kind))
     if large.isEmpty():
         return links
-    labels = components(links, scratch)
-    now = large.drop("label").join(labels.select("node", F.col("component").alias("label")), large["id"] == F.col("node"), "left").withColumn("label", F.coalesce("label", "id"))
-    now = scratch.keep(now.select(*every, "block"))
-    per = now.groupBy("component", "label").agg(F.count(F.lit(1)).alias("k"), F.first("blocks").alias("blocks"))
-    tops = per.groupBy("component").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.first("blocks").alias("blocks")).select("component", F.col("top.label").alias("top"), F.ceil((F.col("all") - F.col("top.k")) * F.col("blocks") / F.col("all")).cast("long").alias("parts"))
-    todo = scratch.keep(now.join(tops.where("parts > 0"), "component"))
-    rest = todo.where("label <> top").select(*every, F.pmod(F.xxhash64("id", F.lit("part")), F.col("parts")).alias("part"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-    whole = todo.select(*every, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "block")
-    return scratch.keep(links.unionByName(joined(whole.unionByName(rest), percent, kind, F.col("part"))))
+    labels = components(links, scratch).select("node", F.col("component").alias("label"))
+    now = large.drop("label").join(labels, large["id"] == labels["node"], "left").withColumn("label", F.coalesce("label", "id"))
+    now = scratch.keep(now.select("cluster", "blocks", "block", *SET))
+    return scratch.keep(links.unionByName(joined(unconnected(now, tokens.select("id", "token", "index"), percent, kind, scratch), percent, kind)))
+
+
+def connected_sets(docs: DataFrame, width: int, percent: int, scratch: Scratch) -> DataFrame:
+    """(node, component) of the sets of docs (text) that link with others."""
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = dealt(docs, width, parts).groupBy("range").applyInPandas(shared_of_range(parts), "bucket int, sets binary, sizes binary, counts binary, hashes binary, found binary")
+    sets = ranges.groupBy("bucket").applyInPandas(candidates_of_bucket(percent), "id long, n long, prefix array<long>, index int, shared binary")
+    return scratch.keep(components(links_of(scratch.keep(sets), percent, scratch), scratch))
 
 
 def jaccard_join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
     """(doc_id, n_shingles, component_id) of each row of docs.
 
     Documents link when intersection to union of their shingle sets is at least
-    percent; component_id is the smallest doc_id that links reach. Sets are
-    compared by 64-bit hashes of shingles. Equal sets are one set with many
-    documents. Null, empty and blank texts have empty sets, linked with
-    nothing. Rows that share an id count as linked. A row without id is itself
-    no end of a link, but takes part through its set; alone, its component is
-    null. Other columns don't matter. An empty table gives none.
+    percent; component_id is the smallest doc_id that links reach. Shingles are
+    compared by 64-bit hashes, and sets are told apart by 64 bits of a digest. Equal
+    sets are one set with many documents. Null, empty and blank texts have empty sets,
+    linked with nothing. Rows of one id are judged by their own texts. Rows without id
+    link as others do, and hold others together; where none of a component has one,
+    component_id is null. Very long texts are whole. Other columns don't matter. An
+    empty table gives none.
 
     Nothing is cut: a range has the shingles of a share of the hashes, a bucket
     the sets of a share of the keys, both as many as there are shuffle
     partitions, and a cluster is compared in blocks. From 256 ranges on, hashes
     are whole; below, up to 8 of their 64 bits are those of the range.
     """
-    spark = docs.sparkSession
-    scratch = scratch or Scratch(spark)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = scratch.keep(set_table(docs, width))
-    ranges = dealt(docs, width, parts).groupBy("range").applyInPandas(shared_of_range(parts), "bucket int, sets binary, sizes binary, counts binary, hashes binary, found binary")
-    found = ranges.groupBy("bucket").applyInPandas(candidates_of_bucket(percent), "set binary, n long, prefix array<long>, shared binary")
-    found = scratch.keep(found)
-    owners = scratch.keep(rows.where("n_shingles > 0").groupBy("set").agg(F.min("doc_id").alias("id")))
-    sets = scratch.keep(found.join(owners, "set").where("id is not null").select("id", "n", "prefix", "shared"))
-    tops = components(links_of(sets, percent, scratch), scratch)
-    named = owners.join(tops, owners["id"] == tops["node"], "left").select(F.col("set").alias("of"), F.coalesce("component", "id").alias("top"))
-    out = rows.join(named, rows["set"] == named["of"], "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("top", "doc_id")).alias("component_id"))
+    scratch = scratch or Scratch(docs.sparkSession)
+    docs = chosen(docs, doc_id="doc_id", text="text").withColumn("doc_id", F.col("doc_id").cast("long"))
+    rows = scratch.keep(set_table(docs, width, ["doc_id"]))
+    tops = connected_sets(docs, width, percent, scratch)
+    owners = scratch.keep(rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("id")).join(tops, "node", "left"))
+    least = scratch.keep(owners.where("component is not null").groupBy("component").agg(F.min("id").alias("top")))
+    named = scratch.keep(owners.join(least, "component", "left").select("node", F.coalesce("top", "id").alias("top")))
+    return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.coalesce("top", "doc_id")).alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+    """The rows of docs without near duplicates: of each component of linked texts the
+    row of the smallest doc_id (none: last; then by a hash of the row).
+
+    Rows are judged by their texts, also where they share an id or have none. Of equal
+    rows one stays. Texts without words are linked with nothing, and stay.
+    """
+    scratch = scratch or Scratch(docs.sparkSession)
+    source = chosen(docs, docs.columns, doc_id="doc_id", text="text").withColumn("key", F.xxhash64("row"))
+    rows = scratch.keep(set_table(source.select("doc_id", "key", "text"), width, ["doc_id", "key"]))
+    tops = connected_sets(source.select("text"), width, percent, scratch)
+    group = rows.where("n_shingles > 0").join(tops, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    first = group.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")).select("first.key")
+    times = rows.groupBy("key").agg((F.max("n_shingles") == 0).alias("blank"), F.count(F.lit(1)).alias("rows"))
+    stay = scratch.keep(times.join(first.withColumn("chosen", F.lit(True)), "key", "left").where("blank or chosen").select("key", (~F.col("blank") & (F.col("rows") > 1)).alias("several")))
+    placed = source.select("row", "key").join(stay, "key")
+    once = restored(placed.where("not several"), docs.columns)
+    if stay.where("several").isEmpty():
+        return once
+    return once.unionAll(restored(placed.where("several").groupBy("key").agg(F.first("row").alias("row")), docs.columns))
 
 
 def op1_jaccard(spark, sf_dir: str) -> DataFrame:

@@ -26,6 +26,10 @@ from millrace.llm.common import Scratch, chosen, spread, squeezed, table, window
 BACKOFF = 0.4
 #: Words of the longest n-gram.
 ORDER = 3
+#: Bits of a word's hash.
+WORD_BITS = 56
+#: Bits of an n-gram's hash: at least so many, and SPARE more than number the words.
+LEAST_BITS, SPARE = 52, 24
 #: Words after which a slice is full. A longer text is a slice of its own, never cut.
 SLICE_WORDS = 1 << 19
 
@@ -36,14 +40,14 @@ def words(text: str) -> list[bytes]:
 
 def packed_slice(ids: list, hashes: list[np.ndarray]) -> tuple:
     """(ids, lengths, vocabulary, places, n_words) of some documents' word hashes.
-    Frequent words have low places, which compress well."""
+    Frequent words have low places, and the many of one count ascend: both compress well."""
     flat = np.concatenate(hashes)
     vocabulary, inverse, counts = np.unique(flat, return_inverse=True, return_counts=True)
     order = np.argsort(-counts, kind="stable")
     rank = np.empty(len(order), np.uint32)
     rank[order] = np.arange(len(order), dtype=np.uint32)
     lengths = np.array([len(h) for h in hashes], np.uint32)
-    return ids, squeezed(lengths), vocabulary[order].tobytes(), squeezed(rank[inverse]), len(flat)
+    return ids, squeezed(lengths), squeezed(np.diff(vocabulary[order], prepend=np.uint64(0))), squeezed(rank[inverse]), len(flat)
 
 
 def sliced(docs: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
@@ -63,7 +67,7 @@ def sliced(docs: DataFrame, slice_words: int = SLICE_WORDS) -> DataFrame:
             kind = batch.column(0).type
             for doc_id, text in zip(batch.column(0), batch.column(1), strict=True):
                 ids.append(doc_id.as_py())
-                hashes.append(word_hashes(words(text.as_py() or "")))
+                hashes.append(word_hashes(words(text.as_py() or "")) >> np.uint64(64 - WORD_BITS))
                 size += len(hashes[-1])
                 if size >= slice_words:
                     yield row(ids, hashes)
@@ -80,34 +84,37 @@ class Slice:
 
     def __init__(self, lengths: bytes, vocabulary: bytes, places: bytes):
         self.lengths = spread(lengths, "u4").astype(np.int64)
-        self.flat = np.frombuffer(vocabulary, np.uint64)[spread(places, "u4")]
+        self.flat = np.cumsum(spread(vocabulary, "u8"), dtype=np.uint64)[spread(places, "u4")]
         self.of = np.repeat(np.arange(len(self.lengths)), self.lengths)
         self.at = np.arange(len(self.flat)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
 
-    def grams(self, order: int) -> tuple[np.ndarray, np.ndarray]:
+    def grams(self, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of the n-grams, none over the end of a document, and where they end."""
         ends = np.flatnonzero(self.at >= order - 1)
-        return window_hashes(self.flat, order)[ends - order + 1], ends
+        mixed = window_hashes(self.flat, order)[ends - order + 1]
+        mixed ^= mixed >> np.uint64(32)
+        mixed *= np.uint64(0xC2B2AE3D27D4EB4F)
+        return mixed >> np.uint64(64 - bits), ends
 
 
-def bounds(ranges: int) -> np.ndarray:
+def bounds(ranges: int, bits: int) -> np.ndarray:
     """The first hash of each range."""
-    return np.array([-(-(r << 64) // ranges) for r in range(ranges)], np.uint64)
+    return np.array([-(-(r << bits) // ranges) for r in range(ranges)], np.uint64)
 
 
-def dealt(slices: DataFrame, orders: int, ranges: int) -> DataFrame:
+def dealt(slices: DataFrame, orders: int, ranges: int, bits: int) -> DataFrame:
     """(range, slice, and for each order the differences of the sorted distinct hashes
     and their counts) of slices (slice, lengths, vocabulary, places)."""
     names = ["range", "slice", *[f"{p}{n}" for n in range(1, orders + 1) for p in ("hashes", "counts")]]
     kinds = [pa.int32(), pa.int64(), *[pa.binary()] * (2 * orders)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = bounds(ranges)
+        first = bounds(ranges, bits)
         for batch in batches:
             for number, *packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own, parts = Slice(*packed), []
                 for order in range(1, orders + 1):
-                    kinds_of, counts = np.unique(own.grams(order)[0], return_counts=True)
+                    kinds_of, counts = np.unique(own.grams(order, bits)[0], return_counts=True)
                     parts.append((kinds_of, counts.astype(np.uint32), np.append(np.searchsorted(kinds_of, first), len(kinds_of))))
                 rows = []
                 for r in np.flatnonzero(sum(np.diff(edges) for _, _, edges in parts)).tolist():
@@ -121,14 +128,14 @@ def dealt(slices: DataFrame, orders: int, ranges: int) -> DataFrame:
     return slices.mapInArrow(run, "range int, slice long, " + ", ".join(f"{n} binary" for n in names[2:]))
 
 
-def others_counts(orders: int, ranges: int):
+def others_counts(orders: int, ranges: int, bits: int):
     """For each slice that has n-grams of a range, how often the others have them."""
     names = ["slice", "range", *[f"rest{n}" for n in range(1, orders + 1)]]
     kinds = [pa.int64(), pa.int32(), *[pa.binary()] * orders]
 
     def run(rows: pa.Table) -> pa.Table:
         number = rows["range"][0].as_py()
-        first, columns = bounds(ranges)[number], [rows["slice"], rows["range"]]
+        first, columns = bounds(ranges, bits)[number], [rows["slice"], rows["range"]]
         for n in range(1, orders + 1):
             hashes = [np.cumsum(spread(x.as_py(), "u8"), dtype=np.uint64) + first for x in rows[f"hashes{n}"]]
             counts = np.concatenate([spread(x.as_py(), "u4") for x in rows[f"counts{n}"]]).astype(np.int64)
@@ -148,14 +155,14 @@ def others_counts(orders: int, ranges: int):
     return run
 
 
-def backed_off(own: Slice, rests: list[np.ndarray], total: int, backoff: float) -> np.ndarray:
+def backed_off(own: Slice, rests: list[np.ndarray], total: int, backoff: float, bits: int) -> np.ndarray:
     """The documents' log scores. rests: for each order how often other slices have
     the slice's distinct n-grams, by hash."""
     n = len(own.flat)
     # At each position the count in other documents of the n-gram that ends there; 0 where none does.
     counts = []
     for order, rest in enumerate(rests, 1):
-        grams, ends = own.grams(order)
+        grams, ends = own.grams(order, bits)
         kinds, kind, here = np.unique(grams, return_inverse=True, return_counts=True)
         _, pair, mine = np.unique(own.of[ends] * max(1, len(kinds)) + kind, return_inverse=True, return_counts=True)
         at = np.zeros(n, np.int64)
@@ -171,7 +178,7 @@ def backed_off(own: Slice, rests: list[np.ndarray], total: int, backoff: float)
     return np.bincount(own.of, score, len(own.lengths))
 
 
-def scored(orders: int, total: int, backoff: float):
+def scored(orders: int, total: int, backoff: float, bits: int):
     """The documents of a slice with the rows of its counts."""
 
     def run(slices: pa.Table, rows: pa.Table) -> pa.Table:
@@ -181,7 +188,7 @@ def scored(orders: int, total: int, backoff: float):
             own = Slice(*packed)
             rests = [np.concatenate([np.zeros(0, np.uint32), *[spread(x.as_py(), "u4") for x in rows[f"rest{n}"]]]) for n in range(1, orders + 1)]
             lengths += own.lengths.tolist()
-            scores += backed_off(own, rests, total, backoff).tolist()
+            scores += backed_off(own, rests, total, backoff, bits).tolist()
         flat = [x for own in slices["ids"].to_pylist() for x in own]
         return pa.table([pa.array(flat, ids), pa.array(lengths, pa.int64()), pa.array(scores, pa.float64())], names=["doc_id", "n_words", "log_score"])
 
@@ -202,7 +209,9 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, slice_w
     of a document have contexts as long as there are words before them. A very long
     text is whole, as a slice of its own.
 
-    Counts are exact but for equal 64-bit hashes. A slice is one row, so a task has
+    Counts are exact but for equal hashes, of which an n-gram has a chance of
+    about orders / 2**SPARE at most. Slices are bucketed, so that their counts come to
+    them and they aren't shuffled. A slice is one row, so a task has
     slice_words words or one text at once; a range has an n-gram once for each slice,
     so a frequent one is no hot key.
     """
@@ -211,11 +220,12 @@ def score(docs: DataFrame, order: int = ORDER, backoff: float = BACKOFF, slice_w
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = chosen(docs, doc_id="doc_id", text="text").withColumn("text", F.col("text").cast("string"))
     kind = source.schema["doc_id"].dataType.simpleString()
-    slices = scratch.keep(sliced(source, slice_words).withColumn("slice", F.monotonically_increasing_id()))
+    slices = scratch.keep_buckets(sliced(source, slice_words).withColumn("slice", F.monotonically_increasing_id()), "slice", parts)
     total = slices.agg(F.sum("n_words")).first()[0] or 0
+    bits = min(64, max(LEAST_BITS, total.bit_length() + SPARE))
     made = ", ".join(f"rest{n} binary" for n in range(1, order + 1))
-    counts = dealt(slices.select("slice", "lengths", "vocabulary", "places"), order, parts).groupBy("range").applyInArrow(others_counts(order, parts), f"slice long, range int, {made}")
-    return slices.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(scored(order, total, backoff), f"doc_id {kind}, n_words long, log_score double")
+    counts = dealt(slices.select("slice", "lengths", "vocabulary", "places"), order, parts, bits).groupBy("range").applyInArrow(others_counts(order, parts, bits), f"slice long, range int, {made}")
+    return slices.groupBy("slice").cogroup(counts.groupBy("slice")).applyInArrow(scored(order, total, backoff, bits), f"doc_id {kind}, n_words long, log_score double")
 
 
 def op5_scoring(spark, sf_dir: str) -> DataFrame:

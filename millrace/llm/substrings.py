@@ -292,7 +292,7 @@ def dedup_substrings(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     bucketed = packed_texts(keyed, ["key", "doc_id"]).withColumn("bucket", F.pmod("key", F.lit(parts).cast("long")))
     found = bucketed.groupBy("bucket").cogroup(bands.groupBy("bucket")).applyInPandas(repeated, "doc_id long, start long, end long, content long, bands array<long>, n long, shingles binary")
     found = scratch.keep(found)
-    sets = found.where("bands is not null").groupBy("content").agg(F.first("n").alias("n"), F.flatten(F.collect_set("bands")).alias("prefix"), F.first("shingles").alias("shared")).withColumnRenamed("content", "id")
+    sets = found.where("bands is not null").groupBy("content").agg(F.first("n").alias("n"), F.flatten(F.collect_set("bands")).alias("prefix"), F.first("shingles").alias("shared")).withColumnRenamed("content", "id").withColumn("index", F.size("prefix"))
     tops = components(links_of(scratch.keep(sets), percent, scratch, "u4"), scratch)
     placed = found.join(tops, found["content"] == tops["node"], "left").select("doc_id", "start", "end", F.coalesce("component", "content").alias("cluster")).distinct()
     placed = scratch.keep(placed)

@@ -79,6 +79,46 @@ def test_edge_rows(spark):
     assert jaccard.jaccard_join(source.limit(0)).count() == 0
 
 
+def test_rows_without_id_hold_others_together(spark):
+    """1 and 2 are linked only through a text whose row has no id."""
+    base = [f"w{i}" for i in range(100)]
+    one, middle, two = base[:88] + [f"a{i}" for i in range(12)], base, [f"b{i}" for i in range(12)] + base[12:]
+    assert brute([(1, " ".join(one)), (2, " ".join(two))]) == [(1, 96, 1), (2, 96, 2)]
+    rows = [(1, " ".join(one)), (2, " ".join(two)), (None, " ".join(middle)), (5, "x " * 9), (5, " ".join(two))]
+    assert sorted((a or 0, b, c) for a, b, c in jaccard.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string")).collect()) == [(0, 96, 1), (1, 96, 1), (2, 96, 1), (5, 1, 5), (5, 96, 1)]
+
+
+def test_one_of_each(spark):
+    same = "one two three four five six"
+    rows = [(7, same, 1), (9, same, 1), (9, "another text of its own words", 1), (None, same, 2), (None, "alone in the world it is", 3), (None, "alone in the world it is", 3), (None, "ALONE in the world it is", 3), (3, "", 1), (3, "", 1), (4, None, 1)]
+    source = spark.createDataFrame(rows, "doc_id long, text string, NODE int")
+    got = jaccard.one_of_each(source)
+    assert got.columns == source.columns
+    got = sorted((tuple(r) for r in got.collect()), key=str)
+    assert len(got) == 6 and (7, same, 1) in got and (9, "another text of its own words", 1) in got
+    assert [r for r in got if r[0] in (3, 4)] == [(3, "", 1), (3, "", 1), (4, None, 1)]
+    assert len([r for r in got if r[0] is None]) == 1
+    assert jaccard.one_of_each(source.limit(0)).count() == 0
+
+
+def template_rows(spark, monkeypatch, n):
+    """Rows of the second join over documents of 10 of 400 sentences."""
+    rng = random.Random(2)
+    word = lambda: "".join(rng.choice("abcdefghijkl") for _ in range(5))
+    sentences = [" ".join(word() for _ in range(30)) for _ in range(400)]
+    docs = spark.createDataFrame([(i, " ".join(rng.sample(sentences, 10))) for i in range(n)], "doc_id long, text string").repartition(8)
+    seen, own = [], jaccard.joined
+    monkeypatch.setattr(jaccard, "joined", lambda rows, *a: seen.append(rows.count()) or own(rows, *a))
+    assert jaccard.jaccard_join(docs).where("doc_id <> component_id").count() == 0
+    monkeypatch.setattr(jaccard, "joined", own)
+    return seen
+
+
+def test_sets_of_common_passages_move_few_rows(spark, monkeypatch):
+    """Only signatures are compared where sets share passages and nothing more."""
+    assert template_rows(spark, monkeypatch, 1000)[1] <= 100
+
+
 def test_tree_loses_no_connection():
     rng = np.random.default_rng(3)
     for _ in range(40):

@@ -225,7 +225,7 @@ def test_bytes_of_the_exchange_follow_the_text_and_not_the_ranges(spark):
     slices = scoring.sliced(source).withColumn("slice", F.lit(0).cast("long")).select("slice", "lengths", "vocabulary", "places").cache()
     sizes = {}
     for ranges in (8, 512):
-        out = scoring.dealt(slices, 3, ranges)
+        out = scoring.dealt(slices, 3, ranges, 52)
         sizes[ranges] = out.agg(F.sum(sum(F.octet_length(c) for c in out.columns[2:]))).first()[0]
     assert sizes[512] < 1.5 * sizes[8]
 
