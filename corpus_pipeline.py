@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from millrace.llm import decontamination, jaccard, mixing, quality, sharding
 from millrace.llm.common import Scratch, table
@@ -22,15 +21,9 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest doc_id of each group of linked documents;
-    of rows that share an id one stays. Rows without id can't be told apart from
-    each other and stay."""
-    found = jaccard.jaccard_join(docs)
-    stay = found.where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(stay, "doc_id", "left_semi").select(*docs.columns)
-    first = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64(*docs.columns)))
-    named = named.withColumn("__n", first).where("__n = 1").drop("__n")
-    return named.unionByName(docs.where("doc_id is null"))
+    """The document with the smallest doc_id of each group of linked documents. Rows
+    are judged by their texts, those without an id too; texts without words stay."""
+    return jaccard.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
