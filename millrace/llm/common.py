@@ -13,6 +13,7 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word of the plain kind: a run without ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -106,9 +107,8 @@ def map_texts(df: DataFrame, work: Callable[[pa.RecordBatch, list[str]], Sequenc
     rows: one sequence a field. Fields replace columns of the same names."""
     carry = [c for c in carry if c.lower() not in {n.lower() for n, _ in fields}]
     source = df.select(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(carry)], F.col(f"`{text}`").cast("string").alias("text"))
-    made = ", ".join(f"f{i} {kind}" for i, (_, kind) in enumerate(fields))
-    kept = ", ".join(f"c{i} {source.schema[f'c{i}'].dataType.simpleString()}" for i in range(len(carry)))
-    schema = ", ".join(x for x in (kept, made) if x)
+    made = StructType.fromDDL(", ".join(f"f{i} {kind}" for i, (_, kind) in enumerate(fields)))
+    schema = StructType([*source.schema.fields[: len(carry)], *made.fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds: list = []

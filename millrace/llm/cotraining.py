@@ -23,16 +23,20 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, map_texts, table, without
+from millrace.llm.common import Scratch, chosen, map_texts, restored, table, without
 from millrace.llm.decontamination import words as letters
 
 #: Bounds of a fit: labelled documents, and pseudo-labelled ones of all that the
 #: other view has handed over, both taken by a hash of their ids.
 LABELLED, POOL = 8000, 8000
-#: Rounds, the confidence that a pseudo-label needs, and the share of the documents
-#: of a class without one that a view labels for the other in a round. Documents as
-#: confident as the last of them are labelled too.
-ROUNDS, CONFIDENT, SHARE = 3, 0.97, 0.1
+#: Rounds, and the share of the documents that a view finds good, and of those that it
+#: finds bad, that it labels for the other in a round, the most confident first.
+#: Documents as confident as the last of them are labelled too.
+ROUNDS, SHARE = 3, 0.1
+#: What a view must know to hand over at all: the log odds of a class by which a
+#: document's differ from all labelled ones'. A view that knows nothing gives everything
+#: the same odds, and hands over nothing.
+MARGIN = 1.0
 #: The share of good documents of the holdout that the cutoff may cost.
 MOST_LOST = 0.005
 #: Places of word features, then those of the ratios' steps.
@@ -185,18 +189,24 @@ def handing(features: DataFrame, known: DataFrame, rounds: list[tuple[dict[str,
     return found.join(known, "doc_id", "left_anti")
 
 
-def limits_of(scores: DataFrame) -> dict[str, list[float]]:
+def floors(share: float) -> tuple[float, float]:
+    """The least confidence of bad and of good, where share of the labelled are good."""
+    odds = math.log(share / (1 - share))
+    return max(0.5, 1 / (1 + math.exp(odds - MARGIN))), max(0.5, 1 / (1 + math.exp(-odds - MARGIN)))
+
+
+def limits_of(scores: DataFrame, share: float) -> dict[str, list[float]]:
     """For each view the confidence from which it hands over bad and good documents."""
-    out = {}
+    out, least = {}, floors(share)
     for v in SIZE:
         p = F.col(f"{v}_p")
         rest = scores.where(F.col(f"{v}_given").isNull()).groupBy((p > 0.5).cast("int").alias("good"))
         found = {r["good"]: r["limit"] for r in rest.agg(F.percentile_approx(F.greatest(p, 1 - p), 1 - SHARE, 10_000).alias("limit")).collect()}
-        out[v] = [max(CONFIDENT, found.get(good, 1.0)) for good in (0, 1)]
+        out[v] = [max(least[good], found.get(good, 1.0)) for good in (0, 1)]
     return out
 
 
-def cotrain(rows: list[tuple[np.ndarray, np.ndarray, int]], features: Callable[[], DataFrame], known: DataFrame, pool: int, scratch: Scratch) -> Judge:
+def cotrain(rows: list[tuple[np.ndarray, np.ndarray, int]], features: Callable[[], DataFrame], known: DataFrame, pool: int, scratch: Scratch, n_rounds: int = ROUNDS) -> Judge:
     """Over labelled rows (text features, page features, 1 for good, 0 for bad), and
     the features of all documents, of which those in known have labels.
 
@@ -213,25 +223,26 @@ def cotrain(rows: list[tuple[np.ndarray, np.ndarray, int]], features: Callable[[
     given: dict[str, list] = {v: [] for v in views}
     rounds: list[tuple[dict[str, Linear], dict | None]] = []
     handed: dict[str, list[int]] = {v: [] for v in views}
-    for turn in range(ROUNDS + 1):
+    for turn in range(n_rounds + 1):
         models = {}
         for v, k in views.items():
             own = [r[k] for r in teach] + [x for x, _ in given[v]]
             models[v] = calibrate(fit(own, np.concatenate([truth(teach), np.array([g for _, g in given[v]], float)]), SIZE[v]), [r[k] for r in tune], truth(tune))
-        if turn == ROUNDS:
+        if turn == n_rounds:
             break
         scores = scratch.keep(handing(every, known, [*rounds, (models, None)]))
-        limits = limits_of(scores)
+        limits = limits_of(scores, float(truth(rows).mean()))
         rounds.append((models, limits))
         for v in views:
             other, p = next(o for o in views if o != v), F.col(f"{v}_p")
             now = F.when(F.greatest(p, 1 - p) >= F.when(p > 0.5, limits[v][1]).otherwise(limits[v][0]), (p > 0.5).cast("double"))
-            labelled = scores.select("doc_id", F.coalesce(f"{v}_given", now).alias("good")).where("good is not null")
+            # Of several rows of an id the worst label counts.
+            labelled = scores.select("doc_id", F.coalesce(f"{v}_given", now).alias("good")).where("good is not null").groupBy("doc_id").agg(F.min("good").alias("good"))
             handed[v].append(labelled.count())
             order = F.xxhash64(F.lit("sample"), "doc_id")
             # At most pool ids and labels: a bounded broadcast.
-            chosen = F.broadcast(labelled.dropDuplicates(["doc_id"]).orderBy(order, "doc_id").limit(pool))
-            found = every.select("doc_id", F.col(f"{other}_features").alias("x")).join(chosen, "doc_id").dropDuplicates(["doc_id"]).sort(order, "doc_id").collect()
+            taken = F.broadcast(labelled.orderBy(order, "doc_id").limit(pool))
+            found = every.select("doc_id", F.col(f"{other}_features").alias("x")).join(taken, "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("r")).sort(order, "doc_id").select("r.*").collect()
             given[other] = [(np.array(r["x"], np.int32), r["good"]) for r in found]
     mix = line(np.column_stack([models[v].logits([r[k] for r in last]) for v, k in views.items()]), truth(last))
     judge = Judge(models, mix, 0.5, handed)
@@ -240,10 +251,20 @@ def cotrain(rows: list[tuple[np.ndarray, np.ndarray, int]], features: Callable[[
     return judge
 
 
+def viewed(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
+    """(row, doc_id, text, source, lang, n_chars) of docs; the last three null where
+    docs has no such column."""
+    there = {c.lower() for c in docs.columns}
+    own = chosen(docs, carry, doc_id="doc_id", text="text", **{c: c for c in ("source", "lang", "n_chars") if c in there})
+    lacking = {c: F.lit(None) for c in ("source", "lang", "n_chars") if c not in there}
+    return own.withColumns({c: x.cast("long" if c == "n_chars" else "string") for c, x in (lacking | {c: F.col(c) for c in ("source", "lang", "n_chars") if c in there}).items()})
+
+
+PAGE = ("source", "lang", "n_chars")
+
+
 def described(docs: DataFrame, carry: list[str]) -> DataFrame:
-    """carry with text_features and page_features."""
-    page = [docs[c] if c in docs.columns else F.lit(None).cast(kind) for c, kind in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
-    source = docs.select(*[F.col(c) for c in carry], "text", *[p.alias(f"__p{i}") for i, p in enumerate(page)])
+    """Columns carry of docs (as viewed) with text_features and page_features."""
     first = len(carry)
 
     def work(part: pa.RecordBatch, texts: list[str]) -> list:
@@ -251,20 +272,23 @@ def described(docs: DataFrame, carry: list[str]) -> DataFrame:
         return [[text_features(t) for t in texts], [page_features(*p) for p in pages]]
 
     fields = [("text_features", "array<int>"), ("page_features", "array<int>")]
-    return map_texts(source, work, fields, [*carry, "__p0", "__p1", "__p2"]).select(*carry, "text_features", "page_features")
+    return map_texts(docs, work, fields, [*carry, *PAGE]).select(*carry, "text_features", "page_features")
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, scratch: Scratch | None = None) -> Judge:
+def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, scratch: Scratch | None = None, rounds: int = ROUNDS) -> Judge:
     """The judge that a bounded sample of labelled documents, by a hash of the ids,
-    and all unlabelled documents make."""
-    known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min(F.expr("cast(quality = 1 and coalesce(toxic, 0) = 0 as int)")).alias("good"))
+    and all unlabelled documents make. Of several rows of an id the one with the least
+    features stands for it, in whatever order they are."""
+    docs = viewed(docs)
+    known = chosen(labels, doc_id="doc_id", quality="quality", toxic="toxic").where("doc_id is not null and quality is not null")
+    known = known.groupBy("doc_id").agg(F.min(F.expr("cast(quality = 1 and coalesce(toxic, 0) = 0 as int)")).alias("good"))
     order = F.xxhash64(F.lit("sample"), "doc_id")
     # At most labelled ids and flags: a bounded broadcast.
     taught = F.broadcast(known.orderBy(order, "doc_id").limit(labelled))
-    sample = docs.join(taught, "doc_id").withColumn("__order", order)
-    found = described(sample, ["doc_id", "good", "__order"]).dropDuplicates(["doc_id"]).sort("__order", "doc_id").collect()
+    sample = described(docs.join(taught, "doc_id"), ["doc_id", "good"]).groupBy("doc_id").agg(F.min(F.struct("text_features", "page_features", "good")).alias("r"))
+    found = sample.sort(order, "doc_id").select("r.*").collect()
     rows = [(np.array(r["text_features"], np.int32), np.array(r["page_features"], np.int32), r["good"]) for r in found]
-    return cotrain(rows, lambda: described(docs.where("doc_id is not null"), ["doc_id"]), known, pool, scratch or Scratch(docs.sparkSession))
+    return cotrain(rows, lambda: described(docs.where("doc_id is not null"), ["doc_id"]), known, pool, scratch or Scratch(docs.sparkSession), rounds)
 
 
 def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None, labelled: int = LABELLED, pool: int = POOL) -> DataFrame:
@@ -273,17 +297,17 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
 
     Good is what labels call of quality 1 and not toxic; of several labels of a
     document the worst counts, and null quality is no label. Kept are documents
-    from a cutoff on that costs MOST_LOST of the holdout's good ones. A null text is empty, a null or missing source, lang or n_chars is
-    a fact of its own. Without labels of both kinds all are kept. Columns of docs
-    named like the four are replaced; repeated rows are scored alike.
+    from a cutoff on that costs MOST_LOST of the holdout's good ones. A null text is
+    empty, a null or missing source, lang or n_chars is a fact of its own; very long
+    texts are read whole. Without labels of both kinds all are kept. Columns of docs
+    named like the four are replaced; repeated rows are scored alike, and an empty
+    table gives none.
     """
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(train(docs, labels, labelled, pool))
-    named = ["text_score", "page_score", "score", "kept"]
-    carry = [c for c in (docs.columns if carry is None else carry) if c in without(docs, *named)]
-    page = [docs[c] if c in docs.columns else F.lit(None).cast(kind) for c, kind in (("source", "string"), ("lang", "string"), ("n_chars", "long"))]
-    source = docs.select(*[F.col(f"`{c}`") for c in carry], docs["text"].alias("__text"), *[p.alias(f"__p{i}") for i, p in enumerate(page)])
-    first = len(carry)
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, labelled, pool))
+    made = ["text_score", "page_score", "score", "kept"]
+    carry = [c for c in (docs.columns if carry is None else carry) if c in without(docs, *made)]
+    along = ["row"] if carry else []
+    first = len(along)
 
     def work(part: pa.RecordBatch, texts: list[str]) -> list:
         pages = zip(*(part.column(first + i).to_pylist() for i in range(3)), strict=True)
@@ -291,7 +315,7 @@ def classify(docs: DataFrame, labels: DataFrame, carry: list[str] | None = None,
         return [text, site, both, both >= shared.value.cutoff]
 
     fields = [("text_score", "double"), ("page_score", "double"), ("score", "double"), ("kept", "boolean")]
-    return map_texts(source, work, fields, [*carry, "__p0", "__p1", "__p2"], "__text").select(*carry, *named)
+    return restored(map_texts(viewed(docs, carry), work, fields, [*along, *PAGE]), carry, *made)
 
 
 def op7_cotraining(spark, sf_dir: str) -> DataFrame:

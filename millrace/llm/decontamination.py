@@ -8,18 +8,22 @@ words are compared with the text word by word.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_texts, table
+from millrace.llm.common import chosen, map_texts, restored, slices, table
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 10
 #: Bytes of benchmark text that one pass over the documents searches for. A
 #: larger benchmark is searched for in several passes.
 PASS_BYTES = 8 << 20
+#: Words of a benchmark item that are searched for in the same pass.
+SEGMENT = 100_000
 #: End positions that one lane of the vectorised search covers.
 LANE = 96
 #: Entries of the shift table, as a power of two.
@@ -150,23 +154,25 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
     A benchmark of more than pass_bytes is parted by a hash of its texts, and
     each part is a further pass that adds to the hits, so what tasks get of it
-    is bounded. Null texts have no words; items without words match nothing;
-    a null item_id counts as the empty string; items that share an id are one.
+    is bounded; a very long item is parted too. Null and empty texts have no words;
+    items without words match nothing; a null item_id counts as the empty string;
+    items that share an id are one. Very long texts are searched whole.
     Repeated documents are rows of their own. Columns of docs named like the
     three are replaced. Empty tables give no rows, or rows without hits.
     """
-    patterns = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    patterns = segments(chosen(benchmark, item="item_id", text="text"), window)
     total = patterns.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // pass_bytes))
     fields = [("n_words", "long"), ("hits", "array<struct<start:long,end:long>>"), ("items", "array<string>")]
     taken = {n for n, _ in fields}
     carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
-    out, had = docs.select(*dict.fromkeys([*carry, "text"])), None
+    out, had = chosen(docs, carry, text="text"), []
     for k in range(passes):
         part = patterns.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
         searcher = Searcher([(r["item"], r["text"]) for r in part.sort("item", "text").toLocalIterator()], window)
         shared = docs.sparkSession.sparkContext.broadcast(searcher)
-        before = [out.columns.index(n) for n in had] if had else []
+        along = [*(["row"] if carry else []), *(["text"] if k < passes - 1 else []), *had]
+        before = [along.index(n) for n in had]
 
         def work(rows: pa.RecordBatch, texts: list[str], shared=shared, before=before) -> list:
             got = shared.value.search(texts)
@@ -176,10 +182,26 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW,
             return [[x[0] for x in got], [[{"start": a, "end": b} for a, b in x[1]] for x in got], [x[2] for x in got]]
 
         # What earlier passes found goes along as columns, and goes with the next pass.
-        made = [(f"__{n}_{k}", kind) for n, kind in fields]
-        found = map_texts(out, work, made, out.columns if had or k < passes - 1 else carry)
-        out, had = found.drop(f"__n_words_{k - 1}", f"__hits_{k - 1}", f"__items_{k - 1}"), [n for n, _ in made[1:]]
-    return out.select(*carry, *[F.col(f"__{n}_{passes - 1}").alias(n) for n, _ in fields])
+        out, had = map_texts(out, work, fields, along).drop(*had).withColumnsRenamed({n: f"had_{n}" for n in taken}), ["had_hits", "had_items"]
+    return restored(out, carry, *[F.col(f"had_{n}").alias(n) for n, _ in fields])
+
+
+def segments(items: DataFrame, window: int) -> DataFrame:
+    """(item, text) of items (item, text), the texts of very long ones in parts that
+    have all their windows; nulls are empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, texts in slices(batch):
+                names, parts = [], []
+                for name, text in zip(part.column(0).to_pylist(), texts, strict=True):
+                    own = words(text)
+                    for start in range(0, max(1, len(own) - window + 1), SEGMENT):
+                        names.append(name or "")
+                        parts.append(b" ".join(own[start : start + SEGMENT + window - 1]).decode())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(parts, pa.string())], names=["item", "text"])
+
+    return items.select(F.col("item").cast("string").alias("item"), F.col("text").cast("string").alias("text")).mapInArrow(run, "item string, text string")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,8 @@ SQL = {
     "op4_chat": chat.SQL,
     "op5_scoring": scoring.SQL,
     "op5_bigrams": scoring.SQL_BIGRAMS,
+    "op6_sharding": sharding.SQL,
     "op8_mixing": mixing.SQL,
+    "op9_quality": quality.SQL,
     "op10_decontamination": decontamination.SQL,
 }

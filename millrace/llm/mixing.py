@@ -9,11 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import Scratch, table, without, word_count
+from millrace.llm.common import Scratch, chosen, restored, table, without, word_count
 
 
 #: Draws of a document among which its source chooses.
@@ -43,61 +43,87 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = (3, 1, 2), share:
     return per.select("source", "source_size", F.least(F.col("source_size") * F.lit(float(most)), F.coalesce(F.col("level") * F.col("weight"), F.lit(float("inf")))).alias("target"))
 
 
-def draw(doc_id, k: int, seed: str) -> F.Column:
-    """The k-th of a document's draws, uniform in [0, 1): 32 bits of a digest."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:{k // 4}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+def draw(name: Column, k: int, seed: str) -> Column:
+    """The k-th of the draws of what is so named, uniform in [0, 1): 32 bits of a digest."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:{k // 4}:"), name))
     return F.conv(F.substring(digest, k % 4 * 8 + 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def named(rows: DataFrame, scratch: Scratch) -> DataFrame:
+    """Written rows (doc_id, content, part, at) with the name that they draw by: the
+    id, and where several rows have it, their content and a number among the equal ones,
+    so that they don't share a draw. Numbers count inside the parts that rows were
+    written in, and sums tell where each part begins: no task has all rows of an id."""
+    rows = rows.withColumn("name", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))
+    several = scratch.keep(rows.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
+    if several.isEmpty():
+        return rows
+    rest = rows.select("name", "content", "part", "at").join(several, "name", "left_semi")
+    counts = rest.groupBy("name", "content", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("name", "content", "part", (F.sum("n").over(Window.partitionBy("name", "content").orderBy("part")) - F.col("n")).alias("before"))
+    number = F.row_number().over(Window.partitionBy("name", "content", "part").orderBy("at")) + F.col("before")
+    longer = rest.join(before, ["name", "content", "part"]).select("at", F.concat_ws(":", "name", F.col("content").cast("string"), number.cast("string")).alias("longer"))
+    return rows.join(scratch.keep(longer), "at", "left").withColumn("name", F.coalesce("longer", "name")).drop("longer")
+
+
 def with_rates(sizes: DataFrame, targets: DataFrame) -> DataFrame:
     """sizes with its source's columns of targets, and the rate's whole part and fraction."""
-    named = targets.withColumnRenamed("source", "__of")
+    of = targets.withColumnRenamed("source", "of")
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    joined = sizes.join(named, sizes["source"].eqNullSafe(named["__of"])).drop("__of")
-    return joined.withColumn("__whole", F.floor(rate)).withColumn("__part", rate - F.floor(rate))
+    joined = sizes.join(of, sizes["source"].eqNullSafe(of["of"])).drop("of")
+    return joined.withColumn("whole", F.floor(rate)).withColumn("fraction", rate - F.floor(rate))
 
 
 def source_seeds(sizes: DataFrame, targets: DataFrame, seed: str) -> DataFrame:
     """targets with k: which of SEEDS draws brings the source's taken words
     nearest to its target. One long document else moves a small source far."""
     drawn = with_rates(sizes, targets)
-    taken = [F.sum(F.col("size") * (F.col("__whole") + (draw(F.col("doc_id"), k, seed) < F.col("__part")).cast("long"))) for k in range(SEEDS)]
+    taken = [F.sum(F.col("size") * (F.col("whole") + (draw(F.col("name"), k, seed) < F.col("fraction")).cast("long"))) for k in range(SEEDS)]
     sums = drawn.groupBy("source", "source_size", "target").agg(*[t.alias(f"t{k}") for k, t in enumerate(taken)])
     off = [F.struct(F.abs(F.col(f"t{k}") - F.col("target")).alias("off"), F.lit(k).alias("k")) for k in range(SEEDS)]
     return sums.select("source", "source_size", "target", F.least(*off)["k"].alias("k"))
 
 
-def mix_plan(docs: DataFrame, weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", scratch: Scratch | None = None) -> DataFrame:
-    """docs with size, source_size, target and copies.
+MADE = ("size", "source_size", "target", "copies")
 
-    A null or empty text has size 0 and is copied like others of its source; a
-    null source is a source. Repeated rows of an id get the same number of
-    copies, and reruns agree, as the draws are digests of seed and doc_id. Each
-    source uses the one of SEEDS draws whose total is nearest to its target.
-    Columns of docs named like these four are replaced. An empty table gives none.
-    """
+
+def planned(docs: DataFrame, carry: list[str], weights: Sequence[int] = (3, 1, 2), share: float = 1.5, most: int = 2, seed: str = "mix", scratch: Scratch | None = None) -> DataFrame:
+    """(row: columns carry of docs, and MADE)."""
     scratch = scratch or Scratch(docs.sparkSession)
-    docs = docs.select(*without(docs, "size", "source_size", "target", "copies"), word_count(F.col("text")).alias("size"))
-    sizes = scratch.keep(docs.select("doc_id", "source", "size"))
-    targets = scratch.keep(source_targets(sizes, weights, share, most))
-    # A written table has a known size: if it is small, the texts aren't shuffled to meet it.
-    seeds = scratch.keep(source_seeds(sizes, targets, seed))
-    chosen = F.coalesce(*[F.when(F.col("k") == k, draw(F.col("doc_id"), k, seed)) for k in range(SEEDS)])
-    planned = with_rates(docs, seeds).withColumn("copies", (F.col("__whole") + (chosen < F.col("__part")).cast("long")).cast("long"))
-    return planned.drop("__whole", "__part", "k")
+    source = chosen(docs, carry, doc_id="doc_id", text="text", source="source")
+    rows = source.select("row", "doc_id", "source", word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("content"), F.spark_partition_id().alias("part"), F.monotonically_increasing_id().alias("at"))
+    # Written once: texts are counted once, and rows keep their places.
+    rows = named(scratch.keep(rows), scratch).drop("doc_id", "content", "part", "at")
+    targets = scratch.keep(source_targets(rows, weights, share, most))
+    # A written table has a known size: if it is small, the rows aren't shuffled to meet it.
+    seeds = scratch.keep(source_seeds(rows.drop("row"), targets, seed))
+    best = F.coalesce(*[F.when(F.col("k") == k, draw(F.col("name"), k, seed)) for k in range(SEEDS)])
+    return with_rates(rows, seeds).withColumn("copies", (F.col("whole") + (best < F.col("fraction")).cast("long")).cast("long")).select("row", *MADE)
+
+
+def mix_plan(docs: DataFrame, carry: list[str] | None = None, **options) -> DataFrame:
+    """docs (or its columns carry) with size, source_size, target and copies.
+
+    Options are weights, share, most, seed and scratch, see source_targets and draw. A
+    null or empty text has size 0 and is copied like others of its source; a very long
+    one counts whole. A null source is a source. Reruns agree, as draws are digests of
+    seed and doc_id; rows that share an id, or have none, draw by their texts too, and
+    equal rows by their number. Each source uses the one of SEEDS draws whose total is
+    nearest to its target. Columns of docs named like these four are replaced. An empty
+    table gives none.
+    """
+    carry = without(docs, *MADE) if carry is None else carry
+    return restored(planned(docs, carry, **options), carry, *MADE)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixture: docs' rows, each as often as mix_plan says."""
-    columns = docs.columns
-    planned = mix_plan(docs.select("*", F.struct("*").alias("__row")), **options)
-    copies = planned.where("copies > 0").select("__row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
-    return copies.select(*[F.col("__row").getField(c).alias(c) for c in columns])
+    copies = planned(docs, docs.columns, **options).where("copies > 0")
+    return restored(copies.select("row", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int")))), docs.columns)
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mix_plan(docs).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+    return mix_plan(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
 SQL = r"""

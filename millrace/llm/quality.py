@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import Scratch, map_texts, shingle_hashes, table, without
+from millrace.llm.common import Scratch, chosen, map_texts, restored, shingle_hashes, table, without
 
 #: What counts as a symbol.
 SYMBOLS = "#*$%&|<>"
@@ -126,26 +126,66 @@ def judge(docs: DataFrame, labels: DataFrame, carry: list[str], stratum: str = "
     and ids are no part of it. A null stratum is one of its own. A document
     whose stratum has no certified cutoff is judged by the base rules alone.
     Null and empty texts have no words and fail. Repeated rows are judged
-    alike. Columns named like the new ones are replaced.
+    alike, very long texts as a whole. Columns named like the new ones are
+    replaced; an empty table gives none, and without labels only the base
+    rules count.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    named = [*MEASURES, "n_lines", "base_failed", "kept", "__stratum"]
+    named = [*MEASURES, "n_lines", "base_failed", "kept"]
     carry = [c for c in carry if c in without(docs, *named)]
-    source = docs.select(*dict.fromkeys([*carry, "doc_id", "text"]), F.col(stratum).cast("string").alias("__stratum"))
-    measured = scratch.keep(measures(source, ["doc_id", "__stratum"]))
-    good = labels.where("quality = 1 and coalesce(toxic, 0) = 0").select("doc_id").where("doc_id is not null").distinct()
-    cutoffs = scratch.keep(certified(measured, good, "__stratum", scratch, most_lost, error))
+    source = chosen(docs, carry, doc_id="doc_id", text="text", stratum=stratum).withColumn("stratum", F.col("stratum").cast("string"))
+    # Written with the carried columns, so that texts are measured once.
+    measured = scratch.keep(measures(source, [*(["row"] if carry else []), "doc_id", "stratum"]))
+    good = chosen(labels, doc_id="doc_id", quality="quality", toxic="toxic").where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
+    cutoffs = scratch.keep(certified(measured, good, "stratum", scratch, most_lost, error))
     over = F.lit(False)
     for rule, sql in RULES.items():
-        over = over | F.coalesce(F.expr(f"({sql}) > __cut_{rule}"), F.lit(False))
-    chosen = cutoffs.select(F.col("stratum").alias("__of"), *[F.col(r).alias(f"__cut_{r}") for r in RULES])
-    if carry != ["doc_id"]:
-        # Texts are measured again rather than written to the shared folder.
-        measured = measures(source, [*carry, "__stratum"])
-    joined = measured.join(chosen, measured["__stratum"].eqNullSafe(chosen["__of"]), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & ~over).select(*carry, *named[:-1])
+        over = over | F.coalesce(F.expr(f"({sql}) > cut_{rule}"), F.lit(False))
+    cut = cutoffs.select(F.col("stratum").alias("of"), *[F.col(r).alias(f"cut_{r}") for r in RULES])
+    joined = measured.join(cut, measured["stratum"].eqNullSafe(cut["of"]), "left")
+    return restored(joined.withColumn("kept", ~F.col("base_failed") & ~over), carry, *named)
 
 
 def op9_quality(spark, sf_dir: str) -> DataFrame:
     judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), ["doc_id"])
     return judged.select("doc_id", *MEASURES, "base_failed", "kept")
+
+
+RATIOS = " UNION ALL ".join(f"SELECT r, doc_id, stratum, base_failed, '{rule}' AS rule, {sql} AS ratio FROM measured" for rule, sql in RULES.items())
+
+SQL = rf"""
+WITH w AS (
+  SELECT row_number() OVER () AS r, doc_id, lang AS stratum, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM documents
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, ws[i], ws[i + 1], ws[i + 2]) AS c FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)
+), again AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(i, i + 3)) AS p FROM windows WHERE c > 1) GROUP BY r
+), measured AS (
+  SELECT r, doc_id, stratum, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
+    CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+    CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, coalesce(again.n, 0) AS n_repeat_words, CAST(len(lines) AS BIGINT) AS n_lines,
+    len(ws) < 50 OR 100 * coalesce(again.n, 0) > 50 * len(ws) AS base_failed
+  FROM w LEFT JOIN again USING (r)
+), ratios AS (
+  {RATIOS}
+), cutoffs AS (
+  SELECT unnest([{", ".join(f"{c}::DOUBLE" for c in CUTOFFS)}]) AS c
+), counts AS (
+  SELECT stratum, rule, c, count(*) AS n, CAST(sum(CAST(ratio > c AS INT)) AS BIGINT) AS lost FROM ratios, cutoffs
+  WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND coalesce(toxic, 0) = 0 AND doc_id IS NOT NULL) GROUP BY stratum, rule, c
+), tails AS (
+  SELECT stratum, rule, c, lost, n, list_sum(list_transform(range(0, lost + 1), lambda k: exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1)
+    + k * ln({MOST_LOST / len(RULES)}::DOUBLE) + (n - k) * ln(1 - {MOST_LOST / len(RULES)}::DOUBLE)))) AS tail FROM counts
+), failing AS (
+  SELECT stratum, rule, max(c) FILTER (lost >= n * {MOST_LOST / len(RULES)}::DOUBLE
+    OR tail > {ERROR}::DOUBLE / ({len(RULES)} * (SELECT count(*) FROM (SELECT DISTINCT stratum FROM counts)))) AS c FROM tails GROUP BY stratum, rule
+), cut AS (
+  SELECT t.stratum, t.rule, min(t.c) AS c FROM tails t JOIN failing f ON t.stratum IS NOT DISTINCT FROM f.stratum AND t.rule = f.rule WHERE t.c > coalesce(f.c, -1) GROUP BY 1, 2
+), over_cut AS (
+  SELECT DISTINCT r FROM ratios JOIN cut ON ratios.stratum IS NOT DISTINCT FROM cut.stratum AND ratios.rule = cut.rule AND ratio > cut.c
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND r NOT IN (SELECT r FROM over_cut) AS kept
+FROM measured
+"""

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import map_texts, table
+from millrace.llm.common import chosen, map_texts, restored, table, without
 
 #: The kinds with their patterns and least lengths.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
@@ -110,9 +110,11 @@ def find_secrets(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     end) in code points, end exclusive, by start and then kind.
 
     spans has base and what the entropy windows add; a stretch that a base span
-    covers isn't added. Whole texts are searched; a null text is empty. Columns
-    of docs named base or spans are replaced; each row gives one row.
+    covers isn't added. Whole texts are searched, however long; a null or empty text
+    has no spans. Columns of docs named base or spans are replaced; each row, also a
+    repeated one, gives one row, and an empty table none.
     """
+    carry = [c for c in (docs.columns if carry is None else carry) if c in without(docs, "base", "spans")]
 
     def work(_: pa.RecordBatch, texts: list[str]) -> list:
         base, every = [], []
@@ -124,7 +126,8 @@ def find_secrets(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         return [base, every]
 
     kind = "array<struct<kind:string,start:long,end:long>>"
-    return map_texts(docs, work, [("base", kind), ("spans", kind)], docs.columns if carry is None else carry)
+    found = map_texts(chosen(docs, carry, text="text"), work, [("base", kind), ("spans", kind)], ["row"] if carry else [])
+    return restored(found, carry, "base", "spans")
 
 
 def op3_secrets(spark, sf_dir: str) -> DataFrame:

@@ -9,13 +9,13 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import Scratch, table, without
+from millrace.llm.common import Scratch, chosen, restored, table, without
 
-#: Leading bits of the 64-bit hash that the directory may use.
+#: Bits of a hash, all of which the directory may use.
 BITS = 60
 #: Bits that one look at the table resolves beyond those that even buckets need.
 AHEAD = 6
@@ -23,13 +23,19 @@ AHEAD = 6
 LIMIT = 16 << 20
 
 
-def prefix(depth: int) -> F.Column:
-    """The leading bits of column __h as a number."""
-    return F.shiftrightunsigned("__h", 64 - depth) if depth else F.lit(0).cast("long")
+def row_hash(doc_id: Column, text: Column) -> Column:
+    """BITS bits of a digest of id and text; nulls are empty."""
+    parts = F.concat(F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit("")))
+    return F.conv(F.substring(F.md5(parts), 1, BITS // 4), 16, 10).cast("long")
+
+
+def prefix(depth: int) -> Column:
+    """The leading bits of column hash as a number."""
+    return F.shiftrightunsigned("hash", BITS - depth)
 
 
 def directory(hashed: DataFrame, limit: int, scratch: Scratch) -> list[tuple[int, DataFrame]]:
-    """The directory over (__h, bytes): by depth of look, (cell, depth, bits,
+    """The directory over (hash, bytes): by depth of look, (cell, depth, bits,
     shard_bytes) with the shard of each cell, a cell being a prefix of that depth.
 
     Bytes are summed once for cells of some bits more than even buckets need;
@@ -57,39 +63,55 @@ def directory(hashed: DataFrame, limit: int, scratch: Scratch) -> list[tuple[int
         todo, least = scratch.keep(todo.join(over, prefix(deep) == over["cell"], "left_semi")), deep + 1
 
 
-def shard(docs: DataFrame, limit: int = LIMIT, scratch: Scratch | None = None) -> DataFrame:
-    """docs with bytes, shard (its bits as a string; of an undivided table, ''),
-    page and shard_bytes.
+def shard(docs: DataFrame, limit: int = LIMIT, carry: list[str] | None = None, scratch: Scratch | None = None) -> DataFrame:
+    """docs (or its columns carry) with bytes, shard (its bits as a string; of an
+    undivided table, ''), page and shard_bytes.
 
-    bytes are those of the text in UTF-8; of a null text, 0. A row's hash is of
+    bytes are those of the text in UTF-8; of a null or empty text, 0. A row's hash is of
     doc_id and text, so repeated ids with other texts part. Equal rows can't be
     parted by bits: where they alone exceed the limit, their shard has overflow
     pages, each within the limit unless one text exceeds it. Elsewhere page is
-    0. Columns of docs named like these are replaced; an empty table gives none.
+    0. A text longer than the limit is whole, in a shard or page of its own. Columns
+    of docs named like these are replaced; an empty table gives none.
     """
     scratch = scratch or Scratch(docs.sparkSession)
-    rows = docs.select(*without(docs, "bytes", "shard", "page", "shard_bytes", "__h"), F.xxhash64("doc_id", "text").alias("__h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
-    return place(rows, directory(scratch.keep(rows.select("__h", "bytes")), limit, scratch), limit)
+    carry = without(docs, *MADE) if carry is None else carry
+    source = chosen(docs, carry, doc_id="doc_id", text="text")
+    rows = source.select("row", row_hash(F.col("doc_id"), F.col("text")).alias("hash"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes"))
+    return restored(place(rows, directory(scratch.keep(rows.select("hash", "bytes")), limit, scratch), limit, scratch), carry, *MADE)
+
+
+MADE = ("bytes", "shard", "page", "shard_bytes")
 
 
-def place(rows: DataFrame, looks: list[tuple[int, DataFrame]], limit: int) -> DataFrame:
-    """rows (with __h and bytes) in their shards. Each look has other cells."""
+def place(rows: DataFrame, looks: list[tuple[int, DataFrame]], limit: int, scratch: Scratch) -> DataFrame:
+    """rows (row, hash, bytes) in their shards. Each look has other cells."""
     if len(looks) > 1:
-        keyed = rows.withColumn("__k", F.explode(F.array(*[F.struct(F.lit(d).alias("look"), prefix(d).alias("cell")) for d, _ in looks])))
-        keyed = keyed.select("*", F.col("__k.look").alias("__look"), F.col("__k.cell").alias("__cell")).drop("__k")
+        keyed = rows.withColumn("key", F.explode(F.array(*[F.struct(F.lit(d).alias("look"), prefix(d).alias("cell")) for d, _ in looks])))
+        keyed = keyed.select("row", "hash", "bytes", "key.look", "key.cell")
     else:
-        keyed = rows.select("*", F.lit(looks[0][0]).alias("__look"), prefix(looks[0][0]).alias("__cell"))
+        keyed = rows.select("*", F.lit(looks[0][0]).alias("look"), prefix(looks[0][0]).alias("cell"))
     entries = None
     for d, found in looks:
-        one = found.select(F.lit(d).alias("__look"), F.col("cell").alias("__cell"), F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(bits), depth, '0')")).alias("shard"), "shard_bytes", "depth")
+        one = found.select(F.lit(d).alias("look"), "cell", F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr("lpad(bin(bits), depth, '0')")).alias("shard"), "shard_bytes", "depth")
         entries = one if entries is None else entries.unionByName(one)
-    out = keyed.join(entries, ["__look", "__cell"]).withColumn("page", F.lit(0).cast("long"))
-    if looks[-1][0] == BITS:
-        stuck = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
-        each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1))))
-        row = F.row_number().over(Window.partitionBy("__h").orderBy("bytes"))
-        out = out.where(~stuck).unionByName(out.where(stuck).withColumn("page", F.floor((row - 1) / each).cast("long")))
-    return out.select(*without(rows, "__h", "bytes"), "bytes", "shard", "page", "shard_bytes")
+    out = keyed.join(entries, ["look", "cell"]).withColumn("page", F.lit(0).cast("long"))
+    stuck = (F.col("depth") == BITS) & (F.col("shard_bytes") > limit)
+    if looks[-1][0] == BITS and not entries.where(stuck).isEmpty():
+        out = out.where(~stuck).unionByName(paged(out.where(stuck), limit, scratch))
+    return out.select("row", *MADE)
+
+
+def paged(rows: DataFrame, limit: int, scratch: Scratch) -> DataFrame:
+    """rows of hashes that exceed the limit alone, with their pages. They are written
+    and numbered inside the parts that they are written in, of which sums tell where
+    each part begins, so that no task has all rows of a hash."""
+    rows = scratch.keep(rows.drop("page").withColumns({"part": F.spark_partition_id(), "at": F.monotonically_increasing_id()}))
+    each = F.greatest(F.lit(1), F.floor(F.lit(limit) / F.greatest(F.col("bytes"), F.lit(1))))
+    counts = rows.groupBy("hash", "part").agg(F.count(F.lit(1)).alias("n"))
+    before = counts.select("hash", "part", (F.sum("n").over(Window.partitionBy("hash").orderBy("part")) - F.col("n")).alias("before"))
+    row = F.row_number().over(Window.partitionBy("hash", "part").orderBy("at")) + F.col("before")
+    return rows.join(before, ["hash", "part"]).withColumn("page", F.floor((row - 1) / each).cast("long")).drop("part", "at", "before")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
@@ -100,7 +122,20 @@ def write_shards(docs: DataFrame, path: str, limit: int = LIMIT) -> None:
 
 
 def op6_sharding(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    scratch = Scratch(spark)
-    rows = scratch.keep(docs.select("doc_id", F.xxhash64("doc_id", "text").alias("__h"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("bytes")))
-    return place(rows, directory(rows.select("__h", "bytes"), LIMIT, scratch), LIMIT)
+    return shard(table(spark, sf_dir, "documents"), carry=["doc_id"])
+
+
+#: For tables where no row exceeds the limit: then no shard has pages.
+SQL = f"""
+WITH h AS (
+  SELECT doc_id, row_number() OVER () AS r, CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')), 1, {BITS // 4}) AS BIGINT) AS hash,
+    CAST(coalesce(strlen(text), 0) AS BIGINT) AS bytes FROM documents
+), cells AS (
+  SELECT doc_id, r, bytes, d, hash >> ({BITS} - d) AS bits FROM (SELECT *, unnest(range(0, {BITS} + 1)) AS d FROM h)
+), sums AS (
+  SELECT *, CAST(sum(bytes) OVER (PARTITION BY d, bits) AS BIGINT) AS shard_bytes FROM cells
+), fit AS (
+  SELECT *, row_number() OVER (PARTITION BY r ORDER BY d) AS k FROM sums WHERE shard_bytes <= {LIMIT} OR d = {BITS}
+)
+SELECT doc_id, bytes, CASE WHEN d = 0 THEN '' ELSE lpad(bin(bits), CAST(d AS INTEGER), '0') END AS shard, CAST(0 AS BIGINT) AS page, shard_bytes FROM fit WHERE k = 1
+"""
