@@ -7,6 +7,8 @@ predecessor kept. All but the last return the columns of documents.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -50,8 +52,28 @@ STAGES = [
     ("sharding", sharded),
 ]
 
-#: The certified cutoffs need exact binomial tails, which SQL can't express.
-ORACLE_SQL = None
+
+
+def over(sql: str, kept: str) -> str:
+    """An operator's SQL over the documents that an earlier stage kept."""
+    return re.sub(r"\bdocuments\b", kept, sql.strip())
+
+
+#: For tables where doc_ids are unique and not null. Stages by their operators' SQL.
+ORACLE_SQL = f"""
+WITH ruled AS MATERIALIZED (
+  SELECT * FROM documents WHERE doc_id IN (SELECT doc_id FROM ({quality.SQL.strip()}) WHERE kept)
+), single AS MATERIALIZED (
+  SELECT * FROM ruled WHERE doc_id IN (SELECT doc_id FROM ({over(jaccard.SQL, "ruled")}) WHERE doc_id = component_id)
+), clean AS MATERIALIZED (
+  SELECT * FROM single WHERE doc_id NOT IN (SELECT doc_id FROM ({over(decontamination.SQL, "single")}) WHERE contaminated)
+), copied AS MATERIALIZED (
+  SELECT c.* FROM clean c JOIN (SELECT doc_id, unnest(range(copies)) AS copy FROM ({over(mixing.SQL, "clean")})) m USING (doc_id)
+), shards AS MATERIALIZED (
+  SELECT DISTINCT doc_id, bytes, shard, page, shard_bytes FROM ({over(sharding.SQL, "copied")})
+)
+SELECT copied.*, bytes, shard, page, shard_bytes FROM copied JOIN shards USING (doc_id)
+"""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
