@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.llm.common import Scratch, table
+from millrace.llm.common import Scratch, chosen, table
 
 #: The role whose texts are learned.
 LEARNED = "assistant"
@@ -97,28 +97,32 @@ def attend_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def pack(conversations: DataFrame, scratch: Scratch | None = None) -> tuple[DataFrame, DataFrame]:
     """The packed tree: nodes (start, end, tree, position, content, loss_from,
-    loss_to, attends) and conversations (conv_id, path: its nodes' starts).
+    loss_to, attends) and conversations (conv_id, rank: their order in the stream, path: their
+    nodes' starts).
 
     start and end are places in the stream, tree is the place where the node's
     tree starts, position the first token's position id; the loss mask covers
     loss_from to loss_to of content. A conversation's turns stand by turn, then
-    role, then text; nulls first. A null role or text is empty, a null conv_id
-    is a conversation. Repeated rows are repeated turns; other columns don't
-    matter. An empty table gives two empty ones.
+    role, then text; nulls first. A null role or text is empty; a row without
+    conv_id is a conversation of one turn. Repeated rows are repeated turns, very long
+    texts are whole, and other columns don't matter. An empty table gives two empty ones.
 
     One task has the turns of one conversation at once, never those of a tree:
     trees are cut across tasks where their rows fall.
     """
     scratch = scratch or Scratch(conversations.sparkSession)
-    turns = F.sort_array(F.collect_list(F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))))
-    grouped = conversations.groupBy(F.col("conv_id").cast("long").alias("conv_id")).agg(turns.alias("turns"))
-    convs = scratch.keep(grouped.mapInArrow(chain_rows, f"conv_id long, nodes array<{NODE}>"))
+    rows = chosen(conversations, conv_id="conv_id", turn="turn", role="role", text="text")
+    turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
+    rows = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("turn"))
+    grouped = rows.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("turn")).alias("turns"))
+    grouped = grouped.unionByName(rows.where("conv_id is null").select("conv_id", F.array("turn").alias("turns")))
+    convs = scratch.keep(grouped.mapInArrow(chain_rows, f"conv_id long, nodes array<{NODE}>").withColumn("key", F.monotonically_increasing_id()))
     # Depth first: conversations by their paths, and each node where it first occurs.
-    ordered = convs.select("conv_id", F.col("nodes.id").alias("ids")).sort("ids", "conv_id")
-    ranked = scratch.keep(ordered.select("conv_id", "ids", F.monotonically_increasing_id().alias("rank")))
+    ordered = convs.select("conv_id", "key", F.col("nodes.id").alias("ids")).sort("ids", "conv_id", "key")
+    ranked = scratch.keep(ordered.select("conv_id", "key", "ids", F.monotonically_increasing_id().alias("rank")))
     steps = ranked.select("rank", F.posexplode("ids").alias("depth", "id"))
     owners = steps.groupBy("id").agg(F.min("rank").alias("owner"), F.first("depth").alias("depth"))
-    emitted = convs.join(ranked.select("conv_id", "rank"), convs["conv_id"].eqNullSafe(ranked["conv_id"])).select("rank", F.explode("nodes").alias("n")).select("rank", "n.*")
+    emitted = convs.join(ranked.select("key", "rank"), "key").select("rank", F.explode("nodes").alias("n")).select("rank", "n.*")
     emitted = emitted.join(owners, (emitted["id"] == owners["id"]) & (emitted["rank"] == owners["owner"]), "inner").drop(owners["id"]).drop("rank")
     stream = emitted.sort("owner", "depth").withColumn("part", F.spark_partition_id()).withColumn("row", F.monotonically_increasing_id())
     stream = scratch.keep(stream.withColumn("n_tokens", F.char_length("content").cast("long")))
@@ -131,7 +135,7 @@ def pack(conversations: DataFrame, scratch: Scratch | None = None) -> tuple[Data
     paths = scratch.keep(on_path.groupBy("rank").agg(F.sort_array(F.collect_list(F.struct("depth", "start", "end", "owner"))).alias("path")))
     attends = paths.mapInArrow(attend_rows, "at long, attends array<struct<start:bigint,end:bigint>>")
     nodes = placed.join(attends, placed["start"] == attends["at"]).select("start", "end", F.when(F.size("attends") > 0, F.element_at("attends", 1)["start"]).otherwise(F.col("start")).alias("tree"), "position", "content", "loss_from", "loss_to", "attends")
-    return nodes, paths.join(ranked.select("rank", "conv_id"), "rank").select("conv_id", F.col("path.start").alias("path"))
+    return nodes, paths.join(ranked.select("rank", "conv_id"), "rank").select("conv_id", "rank", F.col("path.start").alias("path"))
 
 
 def read_turns(content: str, masks: list[tuple[int, int]]) -> tuple[list[tuple[str, str]], list[str]]:
@@ -140,8 +144,8 @@ def read_turns(content: str, masks: list[tuple[int, int]]) -> tuple[list[tuple[s
 
 
 def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "positions_sha256", "attended_tokens"]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     for rows in rows_of(batches):
         out = []
         for r in rows:
@@ -150,15 +154,21 @@ def digest_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             every, loss = hashlib.sha256(), "".join(learned)
             for role, text in turns:
                 every.update(f"{role}\n{text}\n".encode())
-            out.append((r["conv_id"], len(turns), every.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(content)))
+            positions = ",".join(str(n["position"]) for n in r["nodes"])
+            attended = sum(i["end"] - i["start"] for n in r["nodes"] for i in n["attends"])
+            out.append((r["conv_id"], len(turns), every.hexdigest(), len(loss), hashlib.sha256(loss.encode()).hexdigest(), len(content), hashlib.sha256(positions.encode()).hexdigest(), attended))
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], k) for i, k in enumerate(kinds)], names=names)
 
 
+DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, positions_sha256 string, attended_tokens long"
+
+
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
-    """(conv_id, nodes along its path with position, content, loss_from and loss_to)."""
-    steps = paths.select("conv_id", F.explode("path").alias("start"))
-    found = steps.join(nodes.select("start", "position", "content", "loss_from", "loss_to"), "start")
-    return found.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("position", "content", "loss_from", "loss_to"))).alias("nodes"))
+    """(conv_id, nodes along its path: position, content, loss_from, loss_to, attends)."""
+    steps = paths.select("conv_id", "rank", F.explode("path").alias("start"))
+    node = ("position", "content", "loss_from", "loss_to", "attends")
+    found = steps.join(nodes.select("start", *node), "start").groupBy("rank", "conv_id")
+    return found.agg(F.sort_array(F.collect_list(F.struct(*node))).alias("nodes")).select("conv_id", "nodes")
 
 
 def op4_chat(spark, sf_dir: str) -> DataFrame:
@@ -166,7 +176,7 @@ def op4_chat(spark, sf_dir: str) -> DataFrame:
     said = F.lit("\\### Assistant: </turn> ok")
     extra = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, F.lit("user")).otherwise(F.lit("assistant")).alias("role"), said.alias("text"))
     nodes, paths = pack(rows.unionByName(extra))
-    return read_back(nodes, paths).mapInArrow(digest_rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return read_back(nodes, paths).mapInArrow(digest_rows, DIGEST)
 
 
 SQL = r"""
@@ -175,12 +185,16 @@ WITH turns AS (
   UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
   UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
 ), escaped AS (
-  SELECT *, regexp_replace(role, '[\\<>]', '\\\0', 'g') AS r, regexp_replace(text, '[\\<>]', '\\\0', 'g') AS t FROM turns
+  SELECT *, length('<turn:' || regexp_replace(role, '[\\<>]', '\\\0', 'g') || '>' || regexp_replace(text, '[\\<>]', '\\\0', 'g') || '</turn>') + 1 AS chars FROM turns
+), placed AS (
+  SELECT *, CAST(sum(chars) OVER (PARTITION BY conv_id ORDER BY turn, role, text ROWS UNBOUNDED PRECEDING) - chars AS BIGINT) AS position FROM escaped
 )
 SELECT conv_id, count(*) AS n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
-  CAST(sum(length('<turn:' || r || '>' || t || '</turn>') + 1) AS BIGINT) AS formatted_chars
-FROM escaped GROUP BY conv_id
+  CAST(sum(chars) AS BIGINT) AS formatted_chars,
+  sha256(string_agg(CAST(position AS VARCHAR), ',' ORDER BY position)) AS positions_sha256,
+  CAST(sum(position) AS BIGINT) AS attended_tokens
+FROM placed GROUP BY conv_id
 """

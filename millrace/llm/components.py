@@ -47,9 +47,10 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Alternating large and small stars: first every larger neighbour of a node
     is joined to the node's smallest neighbour, then every smaller one and the
-    node itself. The edges are a forest of stars when nothing changes. A node
-    with very many edges is no group of its own: its smallest neighbour is an
-    aggregate, joined back to the edges. Each round is a written table.
+    node itself. The edges are a forest of stars when nothing changes. A node's
+    smallest neighbour is an aggregate, taken per task first; the edges of a node with
+    very many stream through one join task as pairs of numbers, and are never held.
+    Each round is a written table.
     """
     found = edges.where("a <> b").mapInArrow(contract, "a long, b long").distinct()
     edges, number, state = scratch.keep(found), scratch.made, None

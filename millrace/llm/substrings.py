@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import SLICE_CHARS, Scratch, packed_texts, slices, spread, squeezed, table, unpacked_text, window_hashes, word_hashes
+from millrace.llm.common import SLICE_CHARS, Scratch, chosen, packed_texts, slices, spread, squeezed, table, unpacked_text, window_hashes, word_hashes
 from millrace.llm.components import components
 from millrace.llm.jaccard import links_of
 from millrace.llm.scoring import words
@@ -187,7 +187,7 @@ def anchors(h: np.ndarray) -> np.ndarray:
 
 def dealt(docs: DataFrame, ranges: int) -> DataFrame:
     """(range, keys, lengths, low, high, prints) over docs (key, text): band
-    hashes by range, with 16 bits of the contents."""
+    hashes by range, with 32 bits of the contents."""
     names = ["range", "keys", "lengths", "low", "high", "prints"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,7 @@ def dealt(docs: DataFrame, ranges: int) -> DataFrame:
                 keys = part.column(0).to_numpy(zero_copy_only=False)
                 found = Paragraphs(texts)
                 flat, of = found.flat, found.of[found.unit]
-                prints = (found.content >> np.uint64(48)).astype(np.uint16)[found.unit]
+                prints = (found.content >> np.uint64(32)).astype(np.uint32)[found.unit]
                 where = (((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
                 by = np.argsort(where, kind="stable")
                 edges = np.searchsorted(where[by], np.arange(ranges + 1))
@@ -220,7 +220,7 @@ def shared_bands(buckets: int):
         lengths = np.concatenate([spread(x, "u4") for x in rows["lengths"]])
         h = np.frombuffer(b"".join(rows["low"]), np.uint32).astype(np.uint64)
         h |= np.frombuffer(b"".join(rows["high"]), np.uint16).astype(np.uint64) << np.uint64(32)
-        prints = np.frombuffer(b"".join(rows["prints"]), np.uint16)
+        prints = np.frombuffer(b"".join(rows["prints"]), np.uint32)
         of = np.repeat(np.unique(keys, return_inverse=True)[1], lengths)
         key = np.repeat(keys, lengths)
         order = np.argsort(h, kind="stable")
@@ -250,7 +250,7 @@ def repeated(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
         by = np.argsort(keys, kind="stable")
         keys, bands = keys[by], bands[by]
         docs = docs[np.isin(docs["key"].to_numpy(), keys)]
-        text_ends = np.cumsum(docs["packed"].str.len().to_numpy(np.int64)) * 2  # about their characters
+        text_ends = np.cumsum(docs["chars"].to_numpy(np.int64))
         for _, part in docs.groupby(text_ends // SLICE_CHARS, sort=False):
             found = Paragraphs([unpacked_text(x) for x in part["packed"]])
             edges = np.searchsorted(found.of, np.arange(len(part) + 1))
@@ -280,23 +280,25 @@ def dedup_substrings(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     Lines and blocks of one word, null texts and rows without doc_id have no
     paragraphs; paragraphs of fewer than WIDTH words are alike only if equal, and
     passages inside lines are surely found from SPACING - 1 + LENGTH words on.
-    Paragraphs may overlap. A paragraph that only its own document repeats is none of these,
+    Very long texts are read whole, one at a time. Paragraphs may overlap. A paragraph that only its own document repeats is none of these,
     and a document has a paragraph's content once. Rows of equal id and text are
     one document. Other columns don't matter. An empty table gives none.
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = chosen(docs, doc_id="doc_id", text="text")
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     bands = dealt(keyed, parts).groupBy("range").applyInPandas(shared_bands(parts), "bucket long, keys binary, bands binary")
-    bucketed = packed_texts(keyed, ["key", "doc_id"]).withColumn("bucket", F.pmod("key", F.lit(parts).cast("long")))
+    bucketed = packed_texts(keyed.withColumn("chars", F.char_length("text")), ["key", "doc_id", "chars"]).withColumn("bucket", F.pmod("key", F.lit(parts).cast("long")))
     found = bucketed.groupBy("bucket").cogroup(bands.groupBy("bucket")).applyInPandas(repeated, "doc_id long, start long, end long, content long, bands array<long>, n long, shingles binary")
     found = scratch.keep(found)
     sets = found.where("bands is not null").groupBy("content").agg(F.first("n").alias("n"), F.flatten(F.collect_set("bands")).alias("prefix"), F.first("shingles").alias("shared")).withColumnRenamed("content", "id").withColumn("index", F.size("prefix"))
-    tops = components(links_of(scratch.keep(sets), percent, scratch, "u4"), scratch)
+    tops = scratch.keep(components(links_of(scratch.keep(sets), percent, scratch, "u4"), scratch))
     placed = found.join(tops, found["content"] == tops["node"], "left").select("doc_id", "start", "end", F.coalesce("component", "content").alias("cluster")).distinct()
     placed = scratch.keep(placed)
     of = placed.groupBy("cluster").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last")
+    of = scratch.keep(of.select("cluster", "keeper"))  # so that a join of a large cluster can be parted
     return placed.join(of, "cluster").select("doc_id", "start", "end", "cluster", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
 
 

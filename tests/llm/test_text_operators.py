@@ -138,7 +138,7 @@ def test_pack_and_read_back(spark):
             before = "".join(x["content"] for x in own[:k])
             assert n["position"] == len(before) and n["tree"] == own[0]["start"]
             assert "".join(stream[i["start"] : i["end"]] for i in n["attends"]) == before
-    digest = {r["conv_id"]: r for r in chat.read_back(nodes, paths).mapInArrow(chat.digest_rows, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long").collect()}
+    digest = {r["conv_id"]: r for r in chat.read_back(nodes, paths).mapInArrow(chat.digest_rows, chat.DIGEST).collect()}
     for c, turns in want.items():
         learned = "".join(t for r, t in turns if r == "assistant")
         assert digest[c]["n_turns"] == len(turns)
@@ -146,6 +146,14 @@ def test_pack_and_read_back(spark):
         assert (digest[c]["loss_chars"], digest[c]["loss_sha256"]) == (len(learned), hashlib.sha256(learned.encode()).hexdigest())
 
 
+def test_rows_without_conv_id_are_conversations(spark):
+    rows = [(None, 0, "user", "a", 1), (None, 0, "user", "a", 1), (None, 1, "assistant", "b", 1), (1, 0, "user", "a", 2)]
+    nodes, paths = chat.pack(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, PATH int"))
+    assert nodes.count() == 2
+    got = chat.read_back(nodes, paths).mapInArrow(chat.digest_rows, chat.DIGEST).collect()
+    assert sorted((str(r["conv_id"]), r["n_turns"], r["loss_chars"]) for r in got) == [("1", 1, 0), ("None", 1, 0), ("None", 1, 0), ("None", 1, 1)]
+
+
 def test_pack_empty(spark):
     nodes, paths = chat.pack(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))
     assert nodes.count() == paths.count() == 0
@@ -387,3 +395,51 @@ def test_all_unlabelled_documents_can_be_handed_over(spark):
         first, *_, last = judge.handed[v]
         assert 20 < first and last <= 600
     assert judge.handed["text"][0] < judge.handed["text"][-1]
+
+
+def exchanged(spark):
+    """Documents whose page tells their class, and of whose words each of a class has few."""
+    rng = random.Random(15)
+    rows = []
+    for i in range(1500):
+        bad = rng.random() < 0.4
+        words = ["".join(rng.choice("abcdefgh") for _ in range(3)) for _ in range(rng.randint(20, 40))]
+        words += [("vile" if bad else "fine") + str(rng.randint(0, 60))]
+        rows.append((i, " ".join(words), rng.choice(["s2", "s3"] if bad else ["s1", "s4"]), "en", len(words), int(not bad)))
+    docs = spark.createDataFrame([r[:5] for r in rows], "doc_id long, text string, source string, lang string, n_chars long")
+    return rows, docs, spark.createDataFrame([(r[0], r[5], 0) for r in rows[:120]], "doc_id long, quality int, toxic int")
+
+
+def test_the_text_view_learns_from_the_page_view(spark):
+    rows, docs, labels = exchanged(spark)
+    alone, taught = (cotraining.train(docs, labels, rounds=n) for n in (0, 3))
+    assert alone.handed["page"] == [] and taught.handed["page"][-1] > 200
+    assert (alone.views["text"].weights != taught.views["text"].weights).any()
+    held = rows[1000:]
+    right = lambda j: sum((x > 0) == bool(r[5]) for x, r in zip(j.views["text"].logits([cotraining.text_features(r[1]) for r in held]), held))
+    assert right(taught) > right(alone) + 25
+
+
+def test_first_round_hands_over_the_most_confident_of_each_class(spark):
+    """One round by hand: of the documents that a view finds good, and of those that it
+    finds bad, the most confident tenth and what ties with it."""
+    rows, docs, labels = exchanged(spark)
+    first = cotraining.train(docs, labels, rounds=0)
+    handed = cotraining.train(docs, labels, rounds=1).handed
+    share = sum(r[5] for r in rows[:120]) / 120
+    odds = math.log(share / (1 - share))
+    for v, features in (("text", [cotraining.text_features(r[1]) for r in rows[120:]]), ("page", [cotraining.page_features(*r[2:5]) for r in rows[120:]])):
+        want = 0
+        for sign in (1, -1):
+            logits = sorted((sign * x for x in first.views[v].logits(features) if sign * x > 0), reverse=True)
+            if logits:
+                limit = max(0, sign * odds + cotraining.MARGIN, logits[len(logits) - math.ceil(0.9 * len(logits))] - 1e-9)
+                want += sum(x >= limit for x in logits)
+        assert handed[v] == [want]
+
+
+def test_rows_of_one_id_are_taught_alike_in_any_order(spark):
+    rows, docs, labels = exchanged(spark)
+    more = docs.unionByName(spark.createDataFrame([(r[0], "other words " + r[1], None, None, None) for r in rows[:60]], docs.schema))
+    a, b = (cotraining.train(more.repartition(n, "text"), labels, rounds=0) for n in (1, 5))
+    assert (a.views["text"].weights == b.views["text"].weights).all()
