@@ -13,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, jaccard, mixing, quality, sharding
-from millrace.llm.common import Scratch, table
+from millrace.llm.common import Scratch, chosen, restored, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that neither the base rules nor the certified cutoffs reject."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"), docs.columns)
-    return judged.where("kept").select(*docs.columns)
+    """Documents that neither the base rules nor the certified cutoffs reject. Null, empty
+    and very short texts fail; very long ones are judged as a whole; repeated rows alike.
+    An empty table stays one, and columns of any names pass unchanged."""
+    judged = quality.judge(chosen(docs, docs.columns, doc_id="doc_id", text="text", lang="lang"), table(spark, sf_dir, "labels"), ["row"])
+    return restored(judged.where("kept"), docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,18 +31,24 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontamination.find_benchmark(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("hits") == 0).select(*docs.columns)
+    """Documents without any window of a benchmark item. Null and empty texts have none;
+    very long ones are searched whole, repeated rows each. An empty table stays one, an
+    empty benchmark removes nothing, and columns of any names pass unchanged."""
+    found = decontamination.find_benchmark(chosen(docs, docs.columns, text="text"), table(spark, sf_dir, "benchmark"), carry=["row"])
+    return restored(found.where(F.size("hits") == 0), docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their sources' rates say."""
+    """Documents as often as their sources' rates say; a null source is one. Texts without
+    words are copied like others of their source, and very long ones count whole; equal
+    rows draw apart. An empty table stays one, and columns of any names pass unchanged."""
     return mixing.mix(docs)
 
 
 def sharded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with their shards."""
+    """Documents with their shards. A text longer than a shard, and equal rows that
+    together are, get pages of their own; null and empty texts have no bytes. An empty
+    table stays one; columns named like the new ones are replaced."""
     return sharding.shard(docs)
 
 
