@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import outcome
 from millrace.operators import asof_join, bin_rates, brier_parts, cluster_error, line_fit
-from millrace.sources import event_times, scored_lines, table
-from millrace.streaming import running_rates
+from millrace.sources import event_times, scored_lines, shared_folder, table
+from millrace.streaming import latest_windows, running_rates
 
 
 def rounded(df: DataFrame, places: int = 9) -> DataFrame:
@@ -59,10 +57,8 @@ def daily_rates_stream(spark: SparkSession, folder: str) -> DataFrame:
     batch = table(spark, folder, "events")
     stream = spark.readStream.schema(batch.schema).parquet(f"{folder}/events.parquet*")
     stream = stream.withColumn("ts", F.col("ts").cast("timestamp"))
-    name = f"rates_{uuid.uuid4().hex}"
     rates = running_rates(stream, "ts", outcome(F.col("event_type") == "purchase"))
-    rates.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name).select(F.to_date("start").alias("day"), "n", "hits")
+    return latest_windows(rates, shared_folder(spark)).select(F.to_date("start").alias("day"), "n", "hits")
 
 
 QUERIES = {

@@ -32,9 +32,10 @@ def bin_rates(rows: DataFrame, per_one: int = 100, width: int = 1, z: float = 1.
 def line_fit(rows: DataFrame, per_one: int = 100) -> DataFrame:
     """One row: the least-squares line of y on the score, its r2 and the slope's
     standard error; null where scores don't differ."""
-    s = settled(rows).agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("double").alias(k) for k, x in (("n", F.lit(1)), ("x", F.col("units")), ("y", F.col("y")), ("xx", F.col("units") * F.col("units")), ("xy", F.col("units") * F.col("y")))])
+    # Sums and their products are exact: differences of large ones keep their digits.
+    s = settled(rows).agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("decimal(38,0)").alias(k) for k, x in (("n", F.lit(1)), ("x", F.col("units")), ("y", F.col("y")), ("xx", F.col("units") * F.col("units")), ("xy", F.col("units") * F.col("y")))])
     sxx, sxy, syy = "(n * xx - x * x)", "(n * xy - x * y)", "(n * y - y * y)"
-    s = s.selectExpr("n", "x", "y", f"{sxx} as sxx", f"{sxy} as sxy", f"{syy} as syy")
+    s = s.selectExpr(*[f"cast({x} as double) as {k}" for k, x in (("n", "n"), ("x", "x"), ("y", "y"), ("sxx", sxx), ("sxy", sxy), ("syy", syy))])
     slope = F.expr(f"try_divide(sxy, sxx) * {per_one}")
     return s.select(
         F.col("n").cast("long").alias("n"),

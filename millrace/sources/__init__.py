@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,3 +24,13 @@ def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
 def event_times(spark: SparkSession, folder: str) -> DataFrame:
     """events with ts as an instant, which watermarks need."""
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder in spark.checkpoint.dir, which driver and executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file:///tmp/checkpoints"
+    return f"{root.rstrip('/')}/millrace-{uuid.uuid4().hex}"

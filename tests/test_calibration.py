@@ -8,7 +8,7 @@ from millrace import plans
 from millrace.catalog import QUERIES, SQL
 from millrace.functions import outcome
 from millrace.operators import asof_join, bin_rates, brier_parts, cluster_error, line_fit
-from millrace.streaming import running_rates
+from millrace.streaming import latest_windows, running_rates
 
 
 def scored(spark, rows):
@@ -92,8 +92,19 @@ def test_stream_gives_the_batch_windows(spark, tmp_path):
 
     batch = spark.read.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in"))
-    running_rates(stream, "ts", outcome(F.col("hit"))).writeStream.format("memory").queryName("t").outputMode("complete").trigger(availableNow=True).start().awaitTermination()
-    assert sorted(spark.table("t").collect()) == sorted(running_rates(batch, "ts", outcome(F.col("hit"))).collect())
+    for part in range(1, 3):
+        rates = running_rates(stream, "ts", outcome(F.col("hit")))
+        got = latest_windows(rates, str(tmp_path / f"out{part}"))
+        assert sorted(got.collect()) == sorted(running_rates(batch, "ts", outcome(F.col("hit"))).collect())
+    none = running_rates(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "none*")), "ts", outcome(F.col("hit")))
+    assert latest_windows(none, str(tmp_path / "empty")).count() == 0
+
+
+def test_line_of_large_counts_keeps_its_digits(spark):
+    """Scores that differ by one part in a hundred million."""
+    rows = spark.range(500).selectExpr("100000000 + id % 2 as units", "id % 2 as y", "id as cluster")
+    got = line_fit(rows, per_one=1).first()
+    assert got["slope"] == pytest.approx(1.0) and got["r2"] == pytest.approx(1.0)
 
 
 def test_plans_read_only_what_they_need(spark):
