@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from millrace.llm.common import Scratch
 
 
+#: Edges that one task holds at a time: 16 MB of pairs.
+TASK_EDGES = 1 << 20
+
+
 def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For the nodes of these edges: (node, smallest node it is connected with)."""
     nodes, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
@@ -41,20 +45,31 @@ def contract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(node[apart]), pa.array(root[apart])], names=["a", "b"])
 
 
+def contract_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The same for all edges of a task."""
+    held = list(batches)
+    if held:
+        yield from contract(iter(pa.Table.from_batches(held).combine_chunks().to_batches()))
+
+
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of the nodes of edges (a, b: long, not null), the
     component being its smallest node.
 
-    Alternating large and small stars: first every larger neighbour of a node
+    Tasks of up to TASK_EDGES edges each replace these by one from each node to the
+    smallest that it reaches there. Where one task suffices that is all; else,
+    alternating large and small stars: first every larger neighbour of a node
     is joined to the node's smallest neighbour, then every smaller one and the
     node itself. The edges are a forest of stars when nothing changes. A node's
     smallest neighbour is an aggregate, taken per task first; the edges of a node with
     very many stream through one join task as pairs of numbers, and are never held.
     Each round is a written table.
     """
-    found = edges.where("a <> b").mapInArrow(contract, "a long, b long").distinct()
-    edges, number, state = scratch.keep(found), scratch.made, None
-    while True:
+    found = scratch.keep(edges.where("a <> b").mapInArrow(contract, "a long, b long"))
+    tasks = max(1, -(-found.count() // TASK_EDGES))
+    edges = scratch.keep(found.repartition(tasks).mapInArrow(contract_task, "a long, b long"))
+    number, state = scratch.made, None
+    while tasks > 1:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()

@@ -136,11 +136,13 @@ def test_tree_loses_no_connection():
         assert groups(range(k), found) == groups(range(k), true)
 
 
-def test_components(spark):
+@pytest.mark.parametrize("most", [1 << 20, 60])
+def test_components(spark, monkeypatch, most):
+    monkeypatch.setattr("millrace.llm.components.TASK_EDGES", most)
     rng = random.Random(5)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(i, i + 1) for i in range(1000, 1060)] + [(2000, i) for i in range(2001, 2100)]
     want = groups({n for e in edges for n in e}, edges)
-    got = components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()
+    got = components(spark.createDataFrame(edges, "a long, b long").repartition(4), Scratch(spark)).collect()
     assert {r["node"]: r["component"] for r in got} == {n: c for n, c in want.items() if any(n in e and e[0] != e[1] for e in edges)}
     assert components(spark.createDataFrame([], "a long, b long"), Scratch(spark)).count() == 0
 
