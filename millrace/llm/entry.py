@@ -7,6 +7,7 @@ from millrace.llm import chat, cotraining, decontamination, jaccard, mixing, qua
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
     "op2_substrings": substrings.op2_substrings,
+    "op2_lines": substrings.op2_lines,
     "op3_secrets": secrets.op3_secrets,
     "op4_chat": chat.op4_chat,
     "op5_scoring": scoring.op5_scoring,

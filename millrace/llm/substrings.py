@@ -314,10 +314,21 @@ def joined_spans(spans) -> F.Column:
     return F.aggregate(F.sort_array(spans), none, add)
 
 
-def op2_substrings(spark, sf_dir: str) -> DataFrame:
-    """A row for each document with paragraphs that other documents repeat."""
-    found = dedup_substrings(table(spark, sf_dir, "documents"))
+def by_document(found: DataFrame) -> DataFrame:
+    """A row for each document of dedup_substrings' result."""
     span = F.struct("start", "end")
     per = found.groupBy("doc_id").agg(F.collect_list(span).alias("s"), F.collect_list(F.when(F.col("removed"), span)).alias("r"), F.array_sort(F.collect_set("keeper")).alias("keepers"))
     words_in = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
     return per.select("doc_id", F.size("s").cast("long").alias("n_paragraphs"), joined_spans(F.col("s")).alias("repeated"), joined_spans(F.col("r")).alias("removed"), "keepers").withColumns({"n_repeated_words": words_in("repeated"), "n_removed_words": words_in("removed")})
+
+
+def op2_substrings(spark, sf_dir: str) -> DataFrame:
+    """A row for each document with a passage of LENGTH words or more that other
+    documents repeat, with all of its paragraphs, short lines too. A document that
+    shares no more than short lines is in op2_lines, which has all paragraphs."""
+    return op2_lines(spark, sf_dir).where(F.exists("repeated", lambda s: s["end"] - s["start"] >= LENGTH))
+
+
+def op2_lines(spark, sf_dir: str) -> DataFrame:
+    """A row for each document with paragraphs of any length that other documents repeat."""
+    return by_document(dedup_substrings(table(spark, sf_dir, "documents")))

@@ -353,6 +353,20 @@ def test_short_lines_and_near_paragraphs_are_found(spark):
     assert not {r["doc_id"] for r in found} & {i for i, s in near.items() if s < 0.75}
 
 
+def test_documents_that_share_only_short_lines_are_listed_apart(spark, tmp_path):
+    rng = random.Random(17)
+    plain = lambda n: " ".join("".join(rng.choice("abcdefghijklm") for _ in range(6)) for _ in range(n))
+    short, long, edge = plain(26), plain(60), plain(27)
+    rows = [(k, "\n".join([plain(40), x, plain(30)])) for k, x in enumerate([short, short, long, f"{long}\n\n{plain(5)}\n\n{short}", edge, edge, plain(60)])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {r["doc_id"]: r for r in substrings.op2_lines(spark, str(tmp_path)).collect()}
+    listed = {r["doc_id"]: r for r in substrings.op2_substrings(spark, str(tmp_path)).collect()}
+    assert set(lines) == set(range(6)) and set(listed) == {2, 3, 4, 5}
+    assert all(lines[i] == listed[i] for i in listed)
+    assert listed[3]["n_repeated_words"] == 60 + 26 and listed[3]["keepers"] == [0, 2]
+
+
+
 # Classifier
 
 def test_classifier_on_held_out_documents(spark):
