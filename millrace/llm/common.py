@@ -178,7 +178,14 @@ class Scratch:
 
     def drop(self, number: int) -> None:
         """Deletes the table that was made as number, counted from 1."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{number}")
+        self.delete(f"{self.root}/{number}")
+
+    def clear(self) -> None:
+        """Deletes all of its tables: nothing that is still to be read may depend on them."""
+        self.delete(self.root)
+
+    def delete(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

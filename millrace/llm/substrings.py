@@ -292,11 +292,15 @@ def dedup_substrings(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     bands = dealt(keyed, parts).groupBy("range").applyInPandas(shared_bands(parts), "bucket long, keys binary, bands binary")
     bucketed = packed_texts(keyed.withColumn("chars", F.char_length("text")), ["key", "doc_id", "chars"]).withColumn("bucket", F.pmod("key", F.lit(parts).cast("long")))
     found = bucketed.groupBy("bucket").cogroup(bands.groupBy("bucket")).applyInPandas(repeated, "doc_id long, start long, end long, content long, bands array<long>, n long, shingles binary")
-    found = scratch.keep(found)
+    inner = Scratch(spark)  # deleted once the clusters are written
+    found = inner.keep(found)
     sets = found.where("bands is not null").groupBy("content").agg(F.first("n").alias("n"), F.flatten(F.collect_set("bands")).alias("prefix"), F.first("shingles").alias("shared")).withColumnRenamed("content", "id").withColumn("index", F.size("prefix"))
-    tops = scratch.keep(components(links_of(scratch.keep(sets), percent, scratch, "u4"), scratch))
+    pairs = Scratch(spark)
+    tops = inner.keep(components(links_of(pairs.keep(sets), percent, pairs, "u4"), pairs))
+    pairs.clear()
     placed = found.join(tops, found["content"] == tops["node"], "left").select("doc_id", "start", "end", F.coalesce("component", "content").alias("cluster")).distinct()
     placed = scratch.keep(placed)
+    inner.clear()
     of = placed.groupBy("cluster").agg(F.min("doc_id").alias("keeper"), F.max("doc_id").alias("last")).where("keeper <> last")
     of = scratch.keep(of.select("cluster", "keeper"))  # so that a join of a large cluster can be parted
     return placed.join(of, "cluster").select("doc_id", "start", "end", "cluster", "keeper", (F.col("doc_id") != F.col("keeper")).alias("removed"))
