@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from millrace.llm import chat, cotraining, decontamination, jaccard, mixing, quality, scoring, secrets, sharding, substrings
+from millrace.llm import chat, cotraining, decontamination, infilling, jaccard, mixing, packing, quality, scoring, search, secrets, sharding, substrings
 
 QUERIES = {
     "op1_jaccard": jaccard.op1_jaccard,
@@ -17,6 +17,9 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_quality": quality.op9_quality,
     "op10_decontamination": decontamination.op10_decontamination,
+    "op11_search": search.op11_search,
+    "op12_packing": packing.op12_packing,
+    "op13_infilling": infilling.op13_infilling,
 }
 
 SQL = {
@@ -28,4 +31,6 @@ SQL = {
     "op8_mixing": mixing.SQL,
     "op9_quality": quality.SQL,
     "op10_decontamination": decontamination.SQL,
+    "op11_search": search.SQL,
+    "op13_infilling": infilling.SQL,
 }
