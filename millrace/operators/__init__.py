@@ -1,6 +1,24 @@
 """Operators on DataFrames."""
 
 from millrace.operators.asof import asof_join
+from millrace.operators.bootstrap import bootstrap_intervals
 from millrace.operators.calibration import bin_rates, brier_parts, cluster_error, line_fit
+from millrace.operators.intervals import interval_join
+from millrace.operators.isotonic import isotonic_blocks, with_curve
+from millrace.operators.mass import calibration_error, equal_mass_bins
+from millrace.operators.ranking import exact_auc
 
-__all__ = ["asof_join", "bin_rates", "brier_parts", "cluster_error", "line_fit"]
+__all__ = [
+    "asof_join",
+    "bin_rates",
+    "bootstrap_intervals",
+    "brier_parts",
+    "calibration_error",
+    "cluster_error",
+    "equal_mass_bins",
+    "exact_auc",
+    "interval_join",
+    "isotonic_blocks",
+    "line_fit",
+    "with_curve",
+]

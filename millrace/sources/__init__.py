@@ -21,6 +21,25 @@ def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(units(F.col("l_discount"), 100).alias("units"), outcome(F.col("l_returnflag") == "R").alias("y"), F.col("l_suppkey").alias("cluster"))
 
 
+#: A price of lineitem that none reaches.
+TOP_PRICE = 105_000
+
+
+def priced_lines(spark: SparkSession, folder: str, step: int = 1) -> DataFrame:
+    """Rows (units of step/TOP_PRICE, y, cluster): prices as scores, so that there are
+    many distinct ones. As mechanical as scored_lines."""
+    lines = table(spark, folder, "lineitem")
+    return lines.select(F.floor(F.col("l_extendedprice") / step).cast("long").alias("units"), outcome(F.col("l_returnflag") == "R").alias("y"), F.col("l_suppkey").alias("cluster"))
+
+
+def valid_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Views (view_id, user_id, valid_from, valid_to): a mechanical stand-in for quotes that are
+    valid for a while, here for as long as their value says, some for ten days or without end."""
+    views = table(spark, folder, "events").where("event_type = 'view'").select("event_id", "user_id", "ts", "value")
+    seconds = F.expr("case when event_id % 250 < 5 then null when event_id % 100 < 5 then 864000 else floor(value * 360) end")
+    return views.select(F.col("event_id").alias("view_id"), "user_id", F.col("ts").alias("valid_from"), (F.col("ts") + F.make_dt_interval(secs=seconds)).alias("valid_to"))
+
+
 def event_times(spark: SparkSession, folder: str) -> DataFrame:
     """events with ts as an instant, which watermarks need."""
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
