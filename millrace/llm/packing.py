@@ -14,7 +14,7 @@ import heapq
 import os
 import re
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,59 +31,50 @@ LIMIT = 4096
 #: The id that ends a document.
 END = 2
 #: Pieces of text whose ids a Python worker remembers; all are forgotten beyond that.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 
 MADE = ("start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 
-#: A word of ASCII letters, and ASCII marks behind it that never join with it or with one
-#: another's ids across that border (an apostrophe might).
-PLAIN = re.compile(r"([a-z]+)([!-&(-/:-@\[-`{-~]*)")
+#: The small letters of Latin-1.
+SMALL = "a-zß-öø-ÿ"
+#: A word of them.
+PLAIN = re.compile(f"[{SMALL}]+")
+#: A mark between such a word and white space: it is a piece of its own.
+MARK = re.compile(rf"(?<=[{SMALL}])([.,;:!?])(?=\s)")
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file whose tokens never reach over white space: what
-    stands between white space is encoded once and remembered."""
+    """Ids of texts by a tokenizer file whose tokens never reach over white space, nor
+    from a word to a mark behind it: such pieces are encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        # How the tokenizer writes the bytes of the letters beyond ASCII.
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.written = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(128, 256) if PLAIN.fullmatch(chr(k))}
         self.forget()
 
     def forget(self) -> None:
         self.number: dict[str, int] = {}
-        self.starts, self.sizes, self.pool, self.used = np.zeros(1024, np.int64), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
-
-    def add(self, piece: str, ids: list[int]) -> None:
-        k, n = len(self.number), len(ids)
-        if k == len(self.starts):
-            self.starts, self.sizes = np.resize(self.starts, 2 * k), np.resize(self.sizes, 2 * k)
-        while self.used + n > len(self.pool):
-            self.pool = np.resize(self.pool, 2 * len(self.pool))
-        self.starts[k], self.sizes[k] = self.used, n
-        self.pool[self.used : self.used + n] = ids
-        self.used += n
-        self.number[piece] = k
-
-    def learn(self, pieces: set[str]) -> None:
-        """Ids of pieces that aren't known. A plain word and the marks behind it are
-        looked up apart, since the tokenizer parts them too."""
-        split = {p: m.groups() for p in pieces if (m := PLAIN.fullmatch(p))}
-        halves = {h for pair in split.values() for h in pair if h} - self.number.keys()
-        for word in (words := {h for h in halves if h.isalpha()}):
-            self.add(word, [t.id for t in self.model.tokenize(word)])
-        rest = [*((pieces - split.keys()) | (halves - words))]
-        for piece, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self.add(piece, e.ids)
-        for piece, (word, marks) in split.items():
-            if marks:
-                a, b = self.number[word], self.number[marks]
-                self.add(piece, [*self.known(a), *self.known(b)])
-
-    def known(self, k: int) -> np.ndarray:
-        return self.pool[self.starts[k] : self.starts[k] + self.sizes[k]]
+        self.starts, self.sizes, self.pool = (np.zeros(0, np.int64) for _ in range(3))
+
+    def learn(self, pieces: list[str]) -> None:
+        """Ids of pieces that aren't known, each once. A plain word needs none of the
+        tokenizer's changes of texts, which take most of its time."""
+        plain = [p for p in pieces if PLAIN.fullmatch(p)]
+        rest = [p for p in pieces if not PLAIN.fullmatch(p)]
+        ids = [[t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.written))] for p in plain]
+        ids += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        self.number.update(zip([*plain, *rest], range(len(self.number), len(self.number) + len(ids)), strict=True))
+        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
+        self.sizes = np.append(self.sizes, sizes)
+        self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))).astype(np.uint32, copy=False)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
@@ -97,12 +88,12 @@ class Encoder:
                 direct[k] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, np.uint32)
                 counts.append(0)
                 continue
-            own = (part.lower() if latin(part) else part).split()
+            own = MARK.sub(r" \1", part.lower() if latin(part) else part).split()
             counts.append(len(own))
             flat += own
         at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
         if (unknown := np.flatnonzero(at < 0)).size:
-            self.learn({flat[j] for j in unknown.tolist()})
+            self.learn(list(dict.fromkeys(flat[j] for j in unknown.tolist())))
             at[unknown] = [self.number[flat[j]] for j in unknown.tolist()]
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
