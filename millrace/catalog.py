@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.functions import outcome
-from millrace.operators import asof_join, bin_rates, bootstrap_intervals, brier_parts, calibration_error, cluster_error, equal_mass_bins, exact_auc, interval_join, isotonic_blocks, line_fit, with_curve
+from millrace.functions import outcome, units
+from millrace.operators import asof_join, bin_rates, bootstrap_intervals, brier_parts, calibration_error, cluster_error, drift, equal_mass_bins, exact_auc, interval_join, isotonic_blocks, line_fit, store_periods, stored_rates, survival_curve, with_curve
 from millrace.operators.bootstrap import poisson_steps
-from millrace.sources import TOP_PRICE, event_times, priced_lines, scored_lines, shared_folder, table, valid_views
+from millrace.sources import TOP_PRICE, bought, event_stream, event_times, priced_lines, scored_lines, shared_folder, table, valid_views, viewed
 from millrace.streaming import latest_windows, running_rates
+from millrace.streaming.settlements import appended, asof_stream, settle
 
 
 def rounded(df: DataFrame, places: int = 9) -> DataFrame:
@@ -103,6 +104,71 @@ def valid_quotes(spark: SparkSession, folder: str) -> DataFrame:
     return interval_join(bought, valid_views(spark, folder), "user_id", "ts", "valid_from", "valid_to")
 
 
+def without_zone(df: DataFrame) -> DataFrame:
+    """Times as the tables have them."""
+    return df.select(*[F.col(c).cast("timestamp_ntz").alias(c) if kind == "timestamp" else F.col(c) for c, kind in df.dtypes])
+
+
+def settled_views(spark: SparkSession, folder: str) -> DataFrame:
+    """Each view with all purchases of its user within two days, or none."""
+    events = table(spark, folder, "events")
+    return without_zone(settle(viewed(events), bought(events), "user_id", "viewed", "bought", "2 days"))
+
+
+def settled_views_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The same of two streams, read to their end: views without purchases as far as the watermark says so."""
+    events = event_stream(spark, folder)
+    return without_zone(appended(settle(viewed(events), bought(events), "user_id", "viewed", "bought", "2 days"), shared_folder(spark)))
+
+
+def last_view_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Each purchase with its user's last view, of two streams, as far as the watermark has come."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        events = event_stream(spark, folder).select("event_id", "ts", "user_id", "event_type", "value")
+        asks = events.where("event_type = 'purchase'").select("event_id", "user_id", "ts")
+        views = events.where("event_type = 'view'").select("user_id", "ts", F.col("value").alias("view_value"))
+        return appended(asof_stream(asks, views, "user_id", "ts", ["view_value"]), shared_folder(spark)).withColumnRenamed("ts_right", "view_ts")
+    finally:
+        spark.conf.set(name, before)
+
+
+def dated_lines(spark: SparkSession, folder: str) -> DataFrame:
+    lines = table(spark, folder, "lineitem")
+    return lines.select(units(F.col("l_discount"), 100).alias("units"), outcome(F.col("l_returnflag") == "R").alias("y"), F.col("l_suppkey").alias("cluster"), F.to_date("l_shipdate").alias("day"))
+
+
+def drift_by_cluster(spark: SparkSession, folder: str) -> DataFrame:
+    """Each supplier's days with what its discounts miss, against an allowance of 28 units a row."""
+    return drift(dated_lines(spark, folder), "cluster", "day", allowance=28, limit=1500)
+
+
+def waits(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (user_id, duration in minutes, ended): how long after a view its user buys. Unended
+    after two days, or where the events end."""
+    events = table(spark, folder, "events")
+    until = F.broadcast(events.agg(F.max("ts").alias("until")))
+    first = settled_views(spark, folder).groupBy("view_id", "user_id", "viewed").agg(F.min("bought").alias("bought")).join(until, F.lit(True))
+    end = F.coalesce("bought", F.least("until", F.col("viewed") + F.expr("interval 2 days")))
+    return first.select("user_id", F.floor((F.unix_micros(end.cast("timestamp")) - F.unix_micros(F.col("viewed").cast("timestamp"))) / 60_000_000).alias("duration"), F.col("bought").isNotNull().cast("int").alias("ended"))
+
+
+def wait_curve(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(survival_curve(waits(spark, folder), width=256))
+
+
+def maintained_table(spark: SparkSession, folder: str) -> DataFrame:
+    """calibration_table of sums by month: all months are stored without the lines that come
+    late, then those months that late lines belong to are stored again."""
+    rows, kept = dated_lines(spark, folder).withColumn("month", F.date_format("day", "yyyy-MM")), shared_folder(spark)
+    late = (F.dayofmonth("day") > 20) & F.col("month").endswith("3")
+    store_periods(rows.where(~late), "month", kept)
+    store_periods(rows.where(F.col("month").endswith("3")), "month", kept)
+    return rounded(stored_rates(spark, kept).select("bin", "n", "hits", "mean_score", "rate"))
+
+
 QUERIES = {
     "calibration_table": calibration_table,
     "calibration_intervals": calibration_intervals,
@@ -121,6 +187,12 @@ QUERIES = {
     "mass_error": mass_error,
     "cluster_bootstrap": cluster_bootstrap,
     "valid_quotes": valid_quotes,
+    "settled_views": settled_views,
+    "settled_views_stream": settled_views_stream,
+    "last_view_stream": last_view_stream,
+    "drift_by_cluster": drift_by_cluster,
+    "wait_curve": wait_curve,
+    "maintained_table": maintained_table,
 }
 
 ROWS = "WITH s AS (SELECT CAST(round(l_discount * 100) AS BIGINT) AS u, CAST(l_returnflag = 'R' AS INT)::BIGINT AS y, l_suppkey AS g FROM lineitem)"
@@ -147,6 +219,20 @@ MASS = PRICED.format(step=1) + """, t AS (SELECT count(*) AS n FROM s),
     e AS (SELECT u, y, (SELECT CAST(count(*) AS INT) FROM b WHERE bound < u) AS bin FROM s),
     m AS (SELECT bin, min(u) AS lowest, max(u) AS highest, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, sum(u)::DOUBLE / (count(*)::DOUBLE * 105000) AS mean_score, sum(y)::DOUBLE / count(*) AS rate, 1.96::DOUBLE AS z FROM e GROUP BY bin)"""
 
+SETTLED = """WITH e AS (SELECT event_id, user_id, event_type, value, ts FROM events),
+    v AS (SELECT event_id AS view_id, user_id, ts AS viewed FROM e WHERE event_type = 'view'),
+    b AS (SELECT user_id AS buyer, ts AS bought, value AS amount FROM e WHERE event_type = 'purchase'),
+    s AS (SELECT view_id, user_id, viewed, bought, amount FROM v LEFT JOIN b ON user_id = buyer AND bought BETWEEN viewed AND viewed + INTERVAL 2 DAY)"""
+
+LAST_VIEW = """SELECT p.event_id, p.user_id, p.ts, v.ts AS view_ts, v.value AS view_value
+        FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts"""
+
+DRIFT = """WITH s AS (SELECT l_suppkey AS cluster, CAST(l_shipdate AS DATE) AS day, CASE WHEN l_returnflag = 'R' THEN 100 ELSE 0 END - CAST(round(l_discount * 100) AS BIGINT) AS e FROM lineitem),
+    p AS (SELECT cluster, day, count(*) AS n, CAST(sum(e) AS BIGINT) AS missed FROM s GROUP BY 1, 2),
+    q AS (SELECT *, CAST(sum(missed - n * 28) OVER w AS BIGINT) AS u, CAST(sum(-missed - n * 28) OVER w AS BIGINT) AS d FROM p WINDOW w AS (PARTITION BY cluster ORDER BY day)),
+    r AS (SELECT cluster, day, n, missed, u - least(0, min(u) OVER w) AS up, d - least(0, min(d) OVER w) AS down FROM q WINDOW w AS (PARTITION BY cluster ORDER BY day))
+    SELECT cluster, day, n, missed, up, down, greatest(up, down) > 1500 AS alarm FROM r"""
+
 SQL = {
     "calibration_table": f"{ROWS} SELECT CAST(u AS INT) AS bin, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, round(sum(u)::DOUBLE / (count(*) * 100.0::DOUBLE), 9) AS mean_score, round(sum(y)::DOUBLE / count(*), 9) AS rate FROM s GROUP BY u",
     "calibration_intervals": f"""{ROWS}, b AS (SELECT CAST(u // 2 AS INT) AS bin, count(*)::DOUBLE AS m, sum(y)::DOUBLE AS k, 1.96::DOUBLE AS z FROM s GROUP BY 1)
@@ -160,8 +246,7 @@ SQL = {
         SELECT any_value(n) AS n, round(any_value(brier), 9) AS brier, round(sum(m * (p - k / m) ** 2) / any_value(n), 9) AS reliability, round(sum(m * (k / m - r) ** 2) / any_value(n), 9) AS resolution, round(any_value(r * (1 - r)), 9) AS uncertainty FROM b, t""",
     "clustered_error": f"""{ROWS}, e AS (SELECT g, y - u / 100.0::DOUBLE AS e FROM s), t AS (SELECT avg(e) AS m, count(*) AS n FROM e), c AS (SELECT g, sum(e - m) AS d FROM e, t GROUP BY g)
         SELECT any_value(t.n) AS n, count(*) AS clusters, round(any_value(m), 9) AS mean_error, round((SELECT sqrt(sum((e - m) ** 2)) / count(*) FROM e, t), 9) AS plain_error, round(sqrt(sum(d * d)) / any_value(t.n), 9) AS robust_error FROM c, t""",
-    "last_view": """SELECT p.event_id, p.user_id, p.ts, v.ts AS view_ts, v.value AS view_value
-        FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts""",
+    "last_view": LAST_VIEW,
     "daily_rates": DAYS,
     "daily_rates_stream": DAYS,
     "isotonic_curve": f"{FITTED} SELECT min(u) AS low, max(u) AS high, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS hits, round(sum(k)::DOUBLE / sum(n), 9) AS rate FROM f GROUP BY fitted",
@@ -184,4 +269,17 @@ SQL = {
     "valid_quotes": """WITH v AS (SELECT event_id AS view_id, user_id AS viewer, ts AS valid_from,
         ts + to_seconds(CASE WHEN event_id % 250 < 5 THEN NULL WHEN event_id % 100 < 5 THEN 864000 ELSE floor(value * 360) END) AS valid_to FROM events WHERE event_type = 'view')
         SELECT event_id, user_id, ts, view_id, valid_from, valid_to FROM events e JOIN v ON user_id = viewer AND valid_from <= ts AND (valid_to IS NULL OR ts < valid_to) WHERE event_type = 'purchase'""",
+    "settled_views": f"{SETTLED} SELECT view_id, user_id, viewed, bought, amount FROM s",
+    "settled_views_stream": f"""{SETTLED} SELECT view_id, user_id, viewed, bought, amount FROM s
+        WHERE bought IS NOT NULL OR viewed + INTERVAL 2 DAY < (SELECT least((SELECT max(viewed) FROM v), (SELECT max(bought) FROM b)) - INTERVAL 10 MINUTE)""",
+    "last_view_stream": f"{LAST_VIEW} WHERE p.ts < (SELECT max(ts) - INTERVAL 10 MINUTE FROM events WHERE event_type IN ('purchase', 'view'))",
+    "drift_by_cluster": DRIFT,
+    "wait_curve": f"""{SETTLED}, f AS (SELECT view_id, viewed, min(bought) AS bought FROM s GROUP BY 1, 2),
+        w AS (SELECT (epoch_us(coalesce(bought, least((SELECT max(ts) FROM e), viewed + INTERVAL 2 DAY))) - epoch_us(viewed)) // 60000000 AS t, CAST(bought IS NOT NULL AS INT) AS d FROM f),
+        p AS (SELECT t, count(*) AS n, CAST(sum(d) AS BIGINT) AS d FROM w GROUP BY t),
+        r AS (SELECT t, n, d, CAST(sum(n) OVER (ORDER BY t DESC) AS BIGINT) AS r FROM p),
+        c AS (SELECT t, n, d, r, exp(sum(CASE WHEN r > d THEN ln(1 - d::DOUBLE / r) ELSE 0 END) OVER w) AS s, sqrt(sum(CASE WHEN r > d THEN d::DOUBLE / (r::DOUBLE * (r - d)) ELSE 0 END) OVER w) AS g FROM r WINDOW w AS (ORDER BY t))
+        SELECT t AS duration, r AS at_risk, d AS ended, n - d AS censored, round(CASE WHEN r > d THEN s ELSE 0.0::DOUBLE END, 9) AS survival, round(CASE WHEN r > d THEN s * g END, 9) AS error FROM c""",
 }
+
+SQL["maintained_table"] = SQL["calibration_table"]

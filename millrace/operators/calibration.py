@@ -8,7 +8,9 @@ on the order of rows and a hot score is no hot task.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.functions import payoff, wilson
@@ -18,17 +20,26 @@ def settled(rows: DataFrame) -> DataFrame:
     return rows.where("units is not null and y is not null")
 
 
-def bin_rates(rows: DataFrame, per_one: int = 100, width: int = 1, z: float = 1.96) -> DataFrame:
-    """A row for each bin of width units: n, hits, mean score, rate, Wilson's
-    interval of the rate, and the mean payoff of a unit stake at the mean score."""
-    bins = settled(rows).groupBy(F.floor(F.col("units") / width).cast("int").alias("bin"))
-    sums = bins.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"), F.sum("units").alias("sum_units"))
+def bin_sums(rows: DataFrame, width: int = 1, by: Sequence[Column] = ()) -> DataFrame:
+    """(by, bin, n, hits, sum_units) for each bin of width units: sums that merge."""
+    bins = settled(rows).groupBy(*by, F.floor(F.col("units") / width).cast("int").alias("bin"))
+    return bins.agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("hits"), F.sum("units").alias("sum_units"))
+
+
+def rates_of(sums: DataFrame, per_one: int = 100, z: float = 1.96) -> DataFrame:
+    """The measures of bin_rates of bin_sums' rows."""
     n = F.col("n").cast("double")
     low, high = wilson(F.col("hits"), F.col("n"), z)
     sums = sums.withColumn("mean_score", F.col("sum_units") / (n * per_one)).withColumn("rate", F.col("hits") / n)
     return sums.select("bin", "n", "hits", "mean_score", "rate", low.alias("low"), high.alias("high"), payoff(F.col("mean_score"), F.col("rate")).alias("mean_payoff"))
 
 
+def bin_rates(rows: DataFrame, per_one: int = 100, width: int = 1, z: float = 1.96) -> DataFrame:
+    """A row for each bin of width units: n, hits, mean score, rate, Wilson's
+    interval of the rate, and the mean payoff of a unit stake at the mean score."""
+    return rates_of(bin_sums(rows, width), per_one, z)
+
+
 def line_fit(rows: DataFrame, per_one: int = 100) -> DataFrame:
     """One row: the least-squares line of y on the score, its r2 and the slope's
     standard error; null where scores don't differ."""

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.functions import outcome, units
@@ -40,6 +40,25 @@ def valid_views(spark: SparkSession, folder: str) -> DataFrame:
     return views.select(F.col("event_id").alias("view_id"), "user_id", F.col("ts").alias("valid_from"), (F.col("ts") + F.make_dt_interval(secs=seconds)).alias("valid_to"))
 
 
+def of_kind(events: DataFrame, kind: str, *columns: Column) -> DataFrame:
+    return events.where(F.col("event_type") == kind).select(*columns)
+
+
+def viewed(events: DataFrame) -> DataFrame:
+    """Views (view_id, user_id, viewed): a stand-in for scores that are settled later."""
+    return of_kind(events, "view", F.col("event_id").alias("view_id"), F.col("user_id"), F.col("ts").cast("timestamp").alias("viewed"))
+
+
+def bought(events: DataFrame) -> DataFrame:
+    """Purchases (user_id, bought, amount): a stand-in for settlements."""
+    return of_kind(events, "purchase", F.col("user_id"), F.col("ts").cast("timestamp").alias("bought"), F.col("value").alias("amount"))
+
+
+def event_stream(spark: SparkSession, folder: str) -> DataFrame:
+    batch = table(spark, folder, "events")
+    return spark.readStream.schema(batch.schema).parquet(f"{folder}/events.parquet*")
+
+
 def event_times(spark: SparkSession, folder: str) -> DataFrame:
     """events with ts as an instant, which watermarks need."""
     return table(spark, folder, "events").withColumn("ts", F.col("ts").cast("timestamp"))
