@@ -9,13 +9,15 @@ words are compared with the text word by word.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.llm.common import chosen, map_texts, restored, slices, table
+from millrace.llm.common import Scratch, chosen, map_texts, restored, slices, table
 
 #: Words in a window; an item of fewer words is one window.
 WINDOW = 10
@@ -148,42 +150,59 @@ def merge(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int,
     return out
 
 
+FIELDS = [("n_words", "long"), ("hits", "array<struct<start:long,end:long>>"), ("items", "array<string>")]
+
+
 def find_benchmark(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, pass_bytes: int = PASS_BYTES, carry: list[str] | None = None) -> DataFrame:
     """docs (or its columns carry) with n_words, hits (spans of word positions,
     end exclusive) and items (ids as strings, sorted, each once).
 
-    A benchmark of more than pass_bytes is parted by a hash of its texts, and
-    each part is a further pass that adds to the hits, so what tasks get of it
-    is bounded; a very long item is parted too. Null and empty texts have no words;
-    items without words match nothing; a null item_id counts as the empty string;
-    items that share an id are one. Very long texts are searched whole.
+    A benchmark of more than pass_bytes is parted by a hash of its texts, and each part
+    is a pass of its own whose hits are written before the next begins, so a task, and
+    what is broadcast, has one part at a time; a very long item is parted too. Null and
+    empty texts have no words; items without words match nothing; a null item_id counts as
+    the empty string; items that share an id are one. Very long texts are searched whole.
     Repeated documents are rows of their own. Columns of docs named like the
     three are replaced. Empty tables give no rows, or rows without hits.
     """
     patterns = segments(chosen(benchmark, item="item_id", text="text"), window)
     total = patterns.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     passes = max(1, -(-total // pass_bytes))
-    fields = [("n_words", "long"), ("hits", "array<struct<start:long,end:long>>"), ("items", "array<string>")]
-    taken = {n for n, _ in fields}
-    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in taken]
-    out, had = chosen(docs, carry, text="text"), []
+    carry = [c for c in (docs.columns if carry is None else carry) if c.lower() not in {n for n, _ in FIELDS}]
+    rows = chosen(docs, carry, text="text")
+    if passes == 1:
+        return restored(searched(rows, patterns, window, ["row"] if carry else [])[0], carry, *[n for n, _ in FIELDS])
+    scratch = Scratch(docs.sparkSession)
+    count = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(r"[0-9A-Za-z\x{80}-\x{10FFFF}]+")).cast("long"), F.lit(0).cast("long"))
+    rows = scratch.keep(rows.withColumn("n_words", count).withColumn("at", F.monotonically_increasing_id()))
+    parts = []
     for k in range(passes):
-        part = patterns.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k)
-        searcher = Searcher([(r["item"], r["text"]) for r in part.sort("item", "text").toLocalIterator()], window)
-        shared = docs.sparkSession.sparkContext.broadcast(searcher)
-        along = [*(["row"] if carry else []), *(["text"] if k < passes - 1 else []), *had]
-        before = [along.index(n) for n in had]
-
-        def work(rows: pa.RecordBatch, texts: list[str], shared=shared, before=before) -> list:
-            got = shared.value.search(texts)
-            if before:
-                spans, items = (rows.column(i).to_pylist() for i in before)
-                got = [(n, merge([(s["start"], s["end"]) for s in hs], own), sorted({*hi, *names})) for (n, own, names), hs, hi in zip(got, spans, items, strict=True)]
-            return [[x[0] for x in got], [[{"start": a, "end": b} for a, b in x[1]] for x in got], [x[2] for x in got]]
-
-        # What earlier passes found goes along as columns, and goes with the next pass.
-        out, had = map_texts(out, work, fields, along).drop(*had).withColumnsRenamed({n: f"had_{n}" for n in taken}), ["had_hits", "had_items"]
-    return restored(out, carry, *[F.col(f"had_{n}").alias(n) for n, _ in fields])
+        found, shared = searched(rows, patterns.where(F.pmod(F.xxhash64("item", "text"), F.lit(passes)) == k), window, ["at"])
+        parts.append(scratch.keep(found.where(F.size("hits") > 0).select("at", "hits", "items")))
+        shared.destroy()
+
+    @F.udf(FIELDS[1][1], useArrow=True)
+    def merged(spans: list) -> list:
+        return [{"start": a, "end": b} for a, b in merge([(s["start"], s["end"]) for s in spans], [])]
+
+    # Few documents have hits, and each only its own.
+    every = reduce(DataFrame.unionAll, parts).groupBy(F.col("at").alias("of")).agg(F.flatten(F.collect_list("hits")).alias("h"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("i"))
+    every = scratch.keep(every.select("of", merged("h").alias("hits"), F.col("i").alias("items")))
+    told = rows.join(every, F.col("at") == F.col("of"), "left")
+    return restored(told, carry, "n_words", *[F.coalesce(n, F.array().cast(kind)).alias(n) for n, kind in FIELDS[1:]])
+
+
+def searched(rows: DataFrame, patterns: DataFrame, window: int, carry: list[str]) -> tuple[DataFrame, Broadcast]:
+    """Columns carry of rows (carry, text) with FIELDS for the patterns (item, text), and
+    the searcher, which is broadcast. The patterns are of bounded size."""
+    searcher = Searcher([(r["item"], r["text"]) for r in patterns.sort("item", "text").toLocalIterator()], window)
+    shared = rows.sparkSession.sparkContext.broadcast(searcher)
+
+    def work(_: pa.RecordBatch, texts: list[str]) -> list:
+        got = shared.value.search(texts)
+        return [[x[0] for x in got], [[{"start": a, "end": b} for a, b in x[1]] for x in got], [x[2] for x in got]]
+
+    return map_texts(rows, work, FIELDS, carry), shared
 
 
 def segments(items: DataFrame, window: int) -> DataFrame:

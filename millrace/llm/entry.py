@@ -9,6 +9,7 @@ QUERIES = {
     "op2_substrings": substrings.op2_substrings,
     "op2_lines": substrings.op2_lines,
     "op3_secrets": secrets.op3_secrets,
+    "op3_base": secrets.op3_base,
     "op4_chat": chat.op4_chat,
     "op5_scoring": scoring.op5_scoring,
     "op5_bigrams": scoring.op5_bigrams,
@@ -24,6 +25,7 @@ QUERIES = {
 
 SQL = {
     "op1_jaccard": jaccard.SQL,
+    "op3_base": secrets.SQL_BASE,
     "op4_chat": chat.SQL,
     "op5_scoring": scoring.SQL,
     "op5_bigrams": scoring.SQL_BIGRAMS,

@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -105,6 +107,13 @@ def entropy_spans(text: str) -> list[tuple[int, str, int]]:
     return spans
 
 
+def uncovered(spans: list[tuple[int, str, int]], base: list[tuple[int, str, int]]) -> list[tuple[int, str, int]]:
+    """The spans that lie in no span of base, which is sorted: the farthest end of those
+    that begin no later tells."""
+    starts, reach = [b[0] for b in base], [0, *accumulate((b[2] for b in base), max)]
+    return [s for s in spans if reach[bisect_right(starts, s[0])] < s[2]]
+
+
 def find_secrets(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
     """docs (or its columns carry) with base and spans: arrays of (kind, start,
     end) in code points, end exclusive, by start and then kind.
@@ -120,7 +129,7 @@ def find_secrets(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
         base, every = [], []
         for text in texts:
             own = base_spans(text)
-            more = [s for s in entropy_spans(text) if not any(b[0] <= s[0] and s[2] <= b[2] for b in own)]
+            more = uncovered(entropy_spans(text), own)
             base.append([{"kind": k, "start": a, "end": b} for a, k, b in own])
             every.append([{"kind": k, "start": a, "end": b} for a, k, b in ordered(own + more)])
         return [base, every]
@@ -136,3 +145,32 @@ def op3_secrets(spark, sf_dir: str) -> DataFrame:
     counts = [F.expr(f"cast(size(filter(base, s -> s.kind = '{k}')) as long)").alias(f"n_{k}") for k in LEAST]
     added = (F.size("spans") - F.size("base")).cast("long").alias("n_entropy")
     return found.select("doc_id", *counts, F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"), added)
+
+
+def op3_base(spark, sf_dir: str) -> DataFrame:
+    """The fixed patterns' part of op3_secrets, which SQL can express."""
+    return op3_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
+#: Spans from what stands between matches: a match starts where the lengths before it end.
+SQL_BASE = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents
+), kinds AS (
+  SELECT * FROM (VALUES
+    (1, 'assign', '(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+    (2, 'access', '(AKIA[A-Z0-9]+)', 20),
+    (3, 'hex', '([0-9a-f]+)', 24)) k(o, kind, pattern, least)
+), parts AS (
+  SELECT r, o, kind, least, regexp_extract_all(text, pattern) AS whole, regexp_extract_all(text, pattern, 1) AS value, string_split_regex(text, pattern) AS rest FROM d, kinds WHERE regexp_matches(text, pattern)
+), matches AS (
+  SELECT r, o, kind, least, unnest(whole) AS whole, unnest(value) AS value, unnest(rest[1:len(whole)]) AS rest, unnest(range(len(whole))) AS i FROM parts
+), ends AS (
+  SELECT *, CAST(sum(length(whole) + length(rest)) OVER (PARTITION BY r, o ORDER BY i) AS BIGINT) AS stop FROM matches
+), spans AS (
+  SELECT r, o, kind, stop - length(whole) AS start, stop FROM ends WHERE length(value) >= least
+), per AS (
+  SELECT r, count(*) FILTER (o = 1) AS a, count(*) FILTER (o = 2) AS c, count(*) FILTER (o = 3) AS h, string_agg(kind || ':' || start || ':' || stop, ',' ORDER BY start, o) AS told FROM spans GROUP BY r
+)
+SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(told, '')) AS base_sha256 FROM d LEFT JOIN per USING (r)
+"""

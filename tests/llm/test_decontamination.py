@@ -4,6 +4,7 @@ import re
 import numpy as np
 
 from millrace.llm import decontamination as d
+from millrace.plans import node_counts
 
 WORD = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
 
@@ -80,3 +81,16 @@ def test_empty_tables(spark):
     assert d.find_benchmark(none, bench).count() == 0
     got = d.find_benchmark(spark.createDataFrame([(1, "a b")], "doc_id long, text string"), bench).first()
     assert got["hits"] == [] and got["n_words"] == 2
+
+
+def test_passes_run_one_after_another(spark):
+    """Ten passes leave written tables and a join: no task has a searcher of two."""
+    docs, items = case(5)
+    source = spark.createDataFrame([(i, t) for i, t in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    total = bench.selectExpr("sum(octet_length(text))").first()[0]
+    got = d.find_benchmark(source, bench, pass_bytes=total // 10, carry=["doc_id"])
+    assert node_counts(got)["MapInArrow"] == 0 and node_counts(d.find_benchmark(source, bench, carry=["doc_id"]))["MapInArrow"] == 1
+    want = brute(docs, items)
+    for r in got.collect():
+        assert (r["n_words"], positions(r["hits"]), r["items"]) == want[r["doc_id"]]
