@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from millrace.functions import outcome, units
 from millrace.operators import asof_join, bin_rates, bootstrap_intervals, brier_parts, calibration_error, cluster_error, drift, equal_mass_bins, exact_auc, interval_join, isotonic_blocks, line_fit, store_periods, stored_rates, survival_curve, with_curve
 from millrace.operators.bootstrap import poisson_steps
-from millrace.sources import TOP_PRICE, bought, event_stream, event_times, priced_lines, scored_lines, shared_folder, table, valid_views, viewed
+from millrace.sources import TOP_LENGTH, TOP_PRICE, bought, event_stream, event_times, priced_lines, scored_documents, scored_lines, shared_folder, table, valid_views, viewed
 from millrace.streaming import latest_windows, running_rates
 from millrace.streaming.settlements import appended, asof_stream, settle
 
@@ -98,6 +98,34 @@ def cluster_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(bootstrap_intervals(scored_lines(spark, folder)))
 
 
+def quality_isotonic(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(isotonic_blocks(scored_documents(spark, folder), TOP_LENGTH, 1024, 4))
+
+
+def quality_fit(spark: SparkSession, folder: str) -> DataFrame:
+    """The Brier score of lengths as scores of quality, and of the isotonic curve's rates."""
+    rows = scored_documents(spark, folder)
+    fitted = with_curve(rows, isotonic_blocks(rows, TOP_LENGTH, 1024, 4), 1024)
+    off = lambda c: F.avg((c - F.col("y")) * (c - F.col("y")))
+    return rounded(fitted.where("units is not null and y is not null").agg(F.count(F.lit(1)).alias("n"), off(F.col("units") / float(TOP_LENGTH)).alias("brier"), off(F.col("fitted")).alias("fitted_brier")))
+
+
+def quality_auc(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(exact_auc(scored_documents(spark, folder), width=1024))
+
+
+def quality_auc_by_source(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(exact_auc(scored_documents(spark, folder), ["cluster"], width=1024).withColumnRenamed("cluster", "source"))
+
+
+def quality_mass_bins(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(equal_mass_bins(scored_documents(spark, folder), 20, TOP_LENGTH))
+
+
+def quality_bootstrap(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(bootstrap_intervals(scored_documents(spark, folder), TOP_LENGTH))
+
+
 def valid_quotes(spark: SparkSession, folder: str) -> DataFrame:
     """Each purchase with all views of its user that are valid at its time."""
     bought = table(spark, folder, "events").where("event_type = 'purchase'").select("event_id", "user_id", "ts")
@@ -186,6 +214,12 @@ QUERIES = {
     "mass_bins": mass_bins,
     "mass_error": mass_error,
     "cluster_bootstrap": cluster_bootstrap,
+    "quality_isotonic": quality_isotonic,
+    "quality_fit": quality_fit,
+    "quality_auc": quality_auc,
+    "quality_auc_by_source": quality_auc_by_source,
+    "quality_mass_bins": quality_mass_bins,
+    "quality_bootstrap": quality_bootstrap,
     "valid_quotes": valid_quotes,
     "settled_views": settled_views,
     "settled_views_stream": settled_views_stream,
@@ -200,24 +234,28 @@ DAYS = "SELECT CAST(ts AS DATE) AS day, count(*) AS n, CAST(count(*) FILTER (eve
 
 PRICED = "WITH s AS (SELECT CAST(floor(l_extendedprice / {step}) AS BIGINT) AS u, CAST(l_returnflag = 'R' AS INT)::BIGINT AS y, l_suppkey AS g FROM lineitem)"
 
+LENGTHS = "WITH s AS (SELECT least(n_chars, 20000) AS u, CAST(quality AS BIGINT) AS y, source AS g FROM documents JOIN labels USING (doc_id))"
+
 #: The rate at a score: the largest over its left ends of the least mean up to a right end.
-FITTED = PRICED.format(step=STEP) + """, p AS (SELECT u, count(*) AS n, CAST(sum(y) AS BIGINT) AS k, row_number() OVER (ORDER BY u) AS i FROM s GROUP BY u),
+FITTED = """, p AS (SELECT u, count(*) AS n, CAST(sum(y) AS BIGINT) AS k, row_number() OVER (ORDER BY u) AS i FROM s GROUP BY u),
     c AS (SELECT i, u, n, k, CAST(sum(n) OVER w AS BIGINT) AS cn, CAST(sum(k) OVER w AS BIGINT) AS ck FROM p WINDOW w AS (ORDER BY i)),
     m AS (SELECT b.i, min((b.ck - a.ck + a.k)::DOUBLE / (b.cn - a.cn + a.n)) OVER (PARTITION BY a.i ORDER BY b.i DESC) AS least FROM c a JOIN c b ON a.i <= b.i),
     f AS (SELECT u, n, k, fitted FROM c JOIN (SELECT i, max(least) AS fitted FROM m GROUP BY i) USING (i))"""
 
+BLOCKS = "SELECT min(u) AS low, max(u) AS high, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS hits, round(sum(k)::DOUBLE / sum(n), 9) AS rate FROM f GROUP BY fitted"
+
 AUC = """, p AS (SELECT {key} AS g, u, CAST(sum(y) AS BIGINT) AS p, CAST(sum(1 - y) AS BIGINT) AS q FROM s GROUP BY 1, 2),
     w AS (SELECT g, p, q, (coalesce(sum(q) OVER (PARTITION BY g ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + q / 2.0::DOUBLE)::DOUBLE AS below,
       (coalesce(sum(p) OVER (PARTITION BY g ORDER BY u ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) + p / 2.0::DOUBLE)::DOUBLE AS above FROM p),
-    t AS (SELECT g, sum(p)::DOUBLE AS np, sum(q)::DOUBLE AS nq, sum(p * below) / (sum(p) * sum(q))::DOUBLE AS auc FROM w GROUP BY g),
-    v AS (SELECT g, any_value(np) AS np, any_value(nq) AS nq, any_value(auc) AS auc, sum(p * (below / nq - auc) ** 2) / (any_value(np) - 1) AS sp, sum(q * (above / np - auc) ** 2) / (any_value(nq) - 1) AS sq FROM w JOIN t USING (g) GROUP BY g)
+    t AS (SELECT g, sum(p)::DOUBLE AS np, sum(q)::DOUBLE AS nq, sum(p * below) / nullif(sum(p) * sum(q), 0)::DOUBLE AS auc FROM w GROUP BY g),
+    v AS (SELECT g, any_value(np) AS np, any_value(nq) AS nq, any_value(auc) AS auc, sum(p * (below / nullif(nq, 0) - auc) ** 2) / nullif(any_value(np) - 1, 0) AS sp, sum(q * (above / nullif(np, 0) - auc) ** 2) / nullif(any_value(nq) - 1, 0) AS sq FROM w JOIN t USING (g) GROUP BY g)
     SELECT {shown} CAST(np AS BIGINT) AS n_pos, CAST(nq AS BIGINT) AS n_neg, round(auc, 9) AS auc, round(sqrt(sp / np + sq / nq), 9) AS auc_error FROM v"""
 
-MASS = PRICED.format(step=1) + """, t AS (SELECT count(*) AS n FROM s),
+MASS = """, t AS (SELECT count(*) AS n FROM s),
     p AS (SELECT u, sum(count(*)) OVER (ORDER BY u) AS c FROM s GROUP BY u),
     b AS (SELECT i, (SELECT min(u) FROM p WHERE c * 20 >= i * (SELECT n FROM t)) AS bound FROM range(1, 20) r(i)),
     e AS (SELECT u, y, (SELECT CAST(count(*) AS INT) FROM b WHERE bound < u) AS bin FROM s),
-    m AS (SELECT bin, min(u) AS lowest, max(u) AS highest, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, sum(u)::DOUBLE / (count(*)::DOUBLE * 105000) AS mean_score, sum(y)::DOUBLE / count(*) AS rate, 1.96::DOUBLE AS z FROM e GROUP BY bin)"""
+    m AS (SELECT bin, min(u) AS lowest, max(u) AS highest, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, sum(u)::DOUBLE / (count(*)::DOUBLE * {top}) AS mean_score, sum(y)::DOUBLE / count(*) AS rate, 1.96::DOUBLE AS z FROM e GROUP BY bin)"""
 
 SETTLED = """WITH e AS (SELECT event_id, user_id, event_type, value, ts FROM events),
     v AS (SELECT event_id AS view_id, user_id, ts AS viewed FROM e WHERE event_type = 'view'),
@@ -233,6 +271,20 @@ DRIFT = """WITH s AS (SELECT l_suppkey AS cluster, CAST(l_shipdate AS DATE) AS d
     r AS (SELECT cluster, day, n, missed, u - least(0, min(u) OVER w) AS up, d - least(0, min(d) OVER w) AS down FROM q WINDOW w AS (PARTITION BY cluster ORDER BY day))
     SELECT cluster, day, n, missed, up, down, greatest(up, down) > 1500 AS alarm FROM r"""
 
+BINS = """SELECT bin, lowest, highest, n, hits, round(mean_score, 9) AS mean_score, round(rate, 9) AS rate,
+    round(greatest(0.0::DOUBLE, (rate + z * z / (2 * n) - z * sqrt(rate * (1 - rate) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n)), 9) AS low,
+    round(least(1.0::DOUBLE, (rate + z * z / (2 * n) + z * sqrt(rate * (1 - rate) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n)), 9) AS high FROM m"""
+
+BOOTSTRAP = """, c AS (SELECT coalesce('=' || g, 'null') AS g, count(*) AS n, CAST(sum({top} * y - u) AS BIGINT) AS e, CAST(sum(y) AS BIGINT) AS y, CAST(sum(({top} * y - u) ** 2) AS BIGINT) AS ee FROM s GROUP BY s.g),
+    steps AS (SELECT unnest({steps}) AS step),
+    d AS (SELECT g, 4 * k + j AS replicate, CAST('0x' || substr(md5('7:' || k || ':' || g), 8 * j + 1, 8) AS BIGINT) AS x FROM c, range(0, 50) r(k), range(0, 4) q(j)),
+    w AS (SELECT g, replicate, (SELECT count(*) FROM steps WHERE step <= x) AS w FROM d),
+    r AS (SELECT replicate, sum(w * n)::DOUBLE AS n, sum(w * e)::DOUBLE AS e, sum(w * y)::DOUBLE AS y, sum(w * ee)::DOUBLE AS ee FROM w JOIN c USING (g) WHERE w > 0 GROUP BY 1
+      UNION ALL SELECT -1, sum(n)::DOUBLE, sum(e)::DOUBLE, sum(y)::DOUBLE, sum(ee)::DOUBLE FROM c),
+    v AS (SELECT replicate, 'mean_error' AS statistic, e / (n * {top}) AS value FROM r UNION ALL SELECT replicate, 'rate', y / n FROM r UNION ALL SELECT replicate, 'brier', ee / (n * {top} * {top}) FROM r),
+    l AS (SELECT statistic, any_value(value) FILTER (replicate < 0) AS estimate, list_sort(list(value) FILTER (replicate >= 0)) AS v FROM v GROUP BY 1)
+    SELECT statistic, round(estimate, 9) AS estimate, round(v[CAST(ceil(round(len(v) * 0.025, 6)) AS INT)], 9) AS low, round(v[CAST(ceil(round(len(v) * 0.975, 6)) AS INT)], 9) AS high, CAST(len(v) AS BIGINT) AS replicates FROM l"""
+
 SQL = {
     "calibration_table": f"{ROWS} SELECT CAST(u AS INT) AS bin, count(*) AS n, CAST(sum(y) AS BIGINT) AS hits, round(sum(u)::DOUBLE / (count(*) * 100.0::DOUBLE), 9) AS mean_score, round(sum(y)::DOUBLE / count(*), 9) AS rate FROM s GROUP BY u",
     "calibration_intervals": f"""{ROWS}, b AS (SELECT CAST(u // 2 AS INT) AS bin, count(*)::DOUBLE AS m, sum(y)::DOUBLE AS k, 1.96::DOUBLE AS z FROM s GROUP BY 1)
@@ -249,23 +301,19 @@ SQL = {
     "last_view": LAST_VIEW,
     "daily_rates": DAYS,
     "daily_rates_stream": DAYS,
-    "isotonic_curve": f"{FITTED} SELECT min(u) AS low, max(u) AS high, CAST(sum(n) AS BIGINT) AS n, CAST(sum(k) AS BIGINT) AS hits, round(sum(k)::DOUBLE / sum(n), 9) AS rate FROM f GROUP BY fitted",
-    "isotonic_scores": f"{FITTED} SELECT u AS units, n, k AS hits, round(fitted, 9) AS fitted FROM f",
+    "isotonic_curve": f"{PRICED.format(step=STEP)}{FITTED} {BLOCKS}",
+    "isotonic_scores": f"{PRICED.format(step=STEP)}{FITTED} SELECT u AS units, n, k AS hits, round(fitted, 9) AS fitted FROM f",
     "auc": PRICED.format(step=1) + AUC.format(key="0", shown=""),
     "auc_by_cluster": PRICED.format(step=1) + AUC.format(key="g", shown="g AS cluster,"),
-    "mass_bins": f"""{MASS} SELECT bin, lowest, highest, n, hits, round(mean_score, 9) AS mean_score, round(rate, 9) AS rate,
-        round(greatest(0.0::DOUBLE, (rate + z * z / (2 * n) - z * sqrt(rate * (1 - rate) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n)), 9) AS low,
-        round(least(1.0::DOUBLE, (rate + z * z / (2 * n) + z * sqrt(rate * (1 - rate) / n + z * z / (4.0::DOUBLE * n * n))) / (1 + z * z / n)), 9) AS high FROM m""",
-    "mass_error": f"{MASS} SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(abs(rate - mean_score) * n) / sum(n), 9) AS expected_error, round(max(abs(rate - mean_score)), 9) AS largest_error FROM m",
-    "cluster_bootstrap": f"""{ROWS}, c AS (SELECT coalesce('=' || g, 'null') AS g, count(*) AS n, CAST(sum(100 * y - u) AS BIGINT) AS e, CAST(sum(y) AS BIGINT) AS y, CAST(sum((100 * y - u) ** 2) AS BIGINT) AS ee FROM s GROUP BY s.g),
-        steps AS (SELECT unnest({poisson_steps()}) AS step),
-        d AS (SELECT g, 4 * k + j AS replicate, CAST('0x' || substr(md5('7:' || k || ':' || g), 8 * j + 1, 8) AS BIGINT) AS x FROM c, range(0, 50) r(k), range(0, 4) q(j)),
-        w AS (SELECT g, replicate, (SELECT count(*) FROM steps WHERE step <= x) AS w FROM d),
-        r AS (SELECT replicate, sum(w * n)::DOUBLE AS n, sum(w * e)::DOUBLE AS e, sum(w * y)::DOUBLE AS y, sum(w * ee)::DOUBLE AS ee FROM w JOIN c USING (g) WHERE w > 0 GROUP BY 1
-          UNION ALL SELECT -1, sum(n)::DOUBLE, sum(e)::DOUBLE, sum(y)::DOUBLE, sum(ee)::DOUBLE FROM c),
-        v AS (SELECT replicate, 'mean_error' AS statistic, e / (n * 100) AS value FROM r UNION ALL SELECT replicate, 'rate', y / n FROM r UNION ALL SELECT replicate, 'brier', ee / (n * 10000) FROM r),
-        l AS (SELECT statistic, any_value(value) FILTER (replicate < 0) AS estimate, list_sort(list(value) FILTER (replicate >= 0)) AS v FROM v GROUP BY 1)
-        SELECT statistic, round(estimate, 9) AS estimate, round(v[5], 9) AS low, round(v[195], 9) AS high, CAST(len(v) AS BIGINT) AS replicates FROM l""",
+    "mass_bins": PRICED.format(step=1) + MASS.format(top=TOP_PRICE) + BINS,
+    "mass_error": f"{PRICED.format(step=1)}{MASS.format(top=TOP_PRICE)} SELECT CAST(sum(n) AS BIGINT) AS n, round(sum(abs(rate - mean_score) * n) / sum(n), 9) AS expected_error, round(max(abs(rate - mean_score)), 9) AS largest_error FROM m",
+    "cluster_bootstrap": ROWS + BOOTSTRAP.format(top=100, steps=poisson_steps()),
+    "quality_isotonic": f"{LENGTHS}{FITTED} {BLOCKS}",
+    "quality_fit": f"{LENGTHS}{FITTED} SELECT count(*) AS n, round(avg((u / 20000.0::DOUBLE - y) ** 2), 9) AS brier, round(avg((fitted - y) ** 2), 9) AS fitted_brier FROM s JOIN f USING (u)",
+    "quality_auc": LENGTHS + AUC.format(key="0", shown=""),
+    "quality_auc_by_source": LENGTHS + AUC.format(key="g", shown="g AS source,"),
+    "quality_mass_bins": LENGTHS + MASS.format(top=TOP_LENGTH) + BINS,
+    "quality_bootstrap": LENGTHS + BOOTSTRAP.format(top=TOP_LENGTH, steps=poisson_steps()),
     "valid_quotes": """WITH v AS (SELECT event_id AS view_id, user_id AS viewer, ts AS valid_from,
         ts + to_seconds(CASE WHEN event_id % 250 < 5 THEN NULL WHEN event_id % 100 < 5 THEN 864000 ELSE floor(value * 360) END) AS valid_to FROM events WHERE event_type = 'view')
         SELECT event_id, user_id, ts, view_id, valid_from, valid_to FROM events e JOIN v ON user_id = viewer AND valid_from <= ts AND (valid_to IS NULL OR ts < valid_to) WHERE event_type = 'purchase'""",

@@ -21,6 +21,18 @@ def scored_lines(spark: SparkSession, folder: str) -> DataFrame:
     return lines.select(units(F.col("l_discount"), 100).alias("units"), outcome(F.col("l_returnflag") == "R").alias("y"), F.col("l_suppkey").alias("cluster"))
 
 
+#: Characters beyond which documents count as equally long.
+TOP_LENGTH = 20_000
+
+
+def scored_documents(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows (units of 1/TOP_LENGTH, y, cluster): lengths of labelled documents as scores of their
+    quality, by source. A crude score, of which the outcomes are real labels."""
+    documents = table(spark, folder, "documents").select("doc_id", F.least(F.col("n_chars"), F.lit(TOP_LENGTH)).alias("units"), F.col("source").alias("cluster"))
+    labels = table(spark, folder, "labels").select("doc_id", F.col("quality").cast("long").alias("y"))
+    return documents.join(labels, "doc_id").select("units", "y", "cluster")
+
+
 #: A price of lineitem that none reaches.
 TOP_PRICE = 105_000
 
