@@ -76,6 +76,8 @@ def test_cutoffs_and_verdicts_by_exact_binomials(spark):
             docs.append((len(docs), text({"fr": 1, None: 4}.get(stratum, 2)), stratum))
             if rng.random() < 0.97:
                 good.add(docs[-1][0])
+            elif rng.random() < 0.7:
+                docs[-1] = (docs[-1][0], docs[-1][1].replace(" ", "#" * 25 + " "), stratum)
     table = spark.createDataFrame(docs, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(i, int(i in good), 0) for i, _, _ in docs], "doc_id long, quality int, toxic int")
     want, cut = kept_by_hand(docs, good)
