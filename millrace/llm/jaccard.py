@@ -40,6 +40,9 @@ LEAF = 4
 BLOCK, BLOCK_BYTES = 250, 16 << 20
 #: Sets of a large cluster that each of its blocks gets besides its own.
 HUBS = 16
+#: Bytes of a set up to which it moves no worse than a signature, and of such sets
+#: that one task compares by their rare shingles.
+SMALL, SMALL_BYTES = 512, 4 << 20
 
 
 #: A set's digest as numpy compares it.
@@ -266,6 +269,37 @@ def tree_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, pe
     return links
 
 
+def rare_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
+    """tree_links for many sets that share something and mostly nothing more: only those
+    that share one of their shingles that are rarest among these sets meet in a tree."""
+    if len(sets) <= BLOCK:
+        return tree_links(sizes, sets, labels, percent)
+    lengths = np.array([len(s) for s in sets])
+    of = np.repeat(np.arange(len(sets)), lengths)
+    _, kind, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    common = count[kind] > 1
+    of, kind = of[common], kind[common]
+    order = np.lexsort((kind, count[kind], of))
+    of, kind = of[order], kind[order]
+    held = np.bincount(of, minlength=len(sets))
+    need = np.array([least_overlaps(int(n), percent)[0] for n in sizes])
+    place = np.arange(len(of)) - np.repeat(np.cumsum(held) - held, held)
+    # Of any held - need + 1 of what a set has in common with others, a partner has one.
+    first = place < (held - need + 1)[of]
+    of, kind = of[first], kind[first]
+    order = np.argsort(kind, kind="stable")
+    lists = np.split(of[order], np.flatnonzero(np.diff(kind[order])) + 1)
+    links, seen, forest = [], set(), Forest(labels)
+    for own in lists:
+        if len(own) > 1 and (name := own.tobytes()) not in seen:
+            seen.add(name)
+            tops = np.array([forest.find(i) for i in own.tolist()])
+            for i, j in tree_links(sizes[own], [sets[k] for k in own], tops, percent):
+                links.append((int(own[i]), int(own[j])))
+                forest.parent[forest.find(links[-1][0])] = forest.find(links[-1][1])
+    return links
+
+
 def joined_units(percent: int, kind: str):
     """The links inside the groups of a unit: rows (group, id, n, shared, label) of sets."""
 
@@ -275,7 +309,7 @@ def joined_units(percent: int, kind: str):
         of = rows["group"].to_numpy()
         order = np.argsort(of, kind="stable")
         for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            for i, j in tree_links(sizes[own], [np.frombuffer(shared[k], kind) for k in own], labels[own], percent):
+            for i, j in rare_links(sizes[own], [np.frombuffer(shared[k], kind) for k in own], labels[own], percent):
                 a.append(ids[own[i]])
                 b.append(ids[own[j]])
         return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
@@ -371,7 +405,9 @@ def unconnected(now: DataFrame, tokens: DataFrame, percent: int, kind: str, scra
     connected already. Each cluster takes the way of fewer rows: few outliers of many
     near copies go by blocks; sets that have passages in common and nothing more, by
     shingles, whose rows grow as the sets do. There signatures go first, an eighth of
-    a usual set, and only sets that may have a partner follow them.
+    a usual set, and only sets that may have a partner follow them. Sets as small as
+    signatures go at once, many to a task, where only those meet that share a shingle
+    which is rare among them.
     """
     per = now.groupBy("cluster", "label").agg(F.count(F.lit(1)).alias("k"), F.first("blocks").alias("blocks"))
     tops = per.groupBy("cluster").agg(F.max(F.struct("k", "label")).alias("top"), F.sum("k").alias("all"), F.first("blocks").alias("blocks"))
@@ -383,7 +419,9 @@ def unconnected(now: DataFrame, tokens: DataFrame, percent: int, kind: str, scra
     groups = held.groupBy("cluster", "token").agg(F.count(F.lit(1)).alias("sets"), F.sum("size").alias("bytes"), F.bit_xor(F.xxhash64("id")).alias("list"), F.max("index").alias("index"), F.min("label").alias("first"), F.max("label").alias("last"))
     # Shingles of the same sets are one group.
     groups = groups.where("index and first <> last").groupBy("cluster", "sets", "list").agg(F.min("token").alias("token"), F.first("bytes").alias("bytes"))
-    groups = scratch.keep(groups.select("cluster", "token", "sets", blocks_of(F.col("sets"), F.col("bytes")).alias("blocks")))
+    small = F.col("bytes") <= SMALL * F.col("sets")
+    blocks = F.when(small, F.ceil(F.col("bytes") / SMALL_BYTES)).otherwise(blocks_of(F.col("sets"), F.col("bytes"))).cast("long")
+    groups = scratch.keep(groups.select("cluster", "token", "sets", small.alias("small"), blocks.alias("blocks")))
     by_tokens = groups.groupBy("cluster").agg(F.sum(F.col("sets") * F.col("blocks")).alias("by_tokens"))
     ways = scratch.keep(tops.join(by_tokens, "cluster", "left").withColumn("tokens", F.coalesce("by_tokens", F.lit(0)) < F.col("by_blocks")).select("cluster", "top", "parts", "tokens"))
 
@@ -392,11 +430,12 @@ def unconnected(now: DataFrame, tokens: DataFrame, percent: int, kind: str, scra
     every = whole.withColumn("part", numbers(F.col("parts")))
 
     taken = groups.join(ways.where("tokens").select("cluster"), "cluster", "left_semi")
-    near = held.select("id", "token").join(taken.select("token", "blocks"), "token").select("id", F.col("token").alias("group"), F.col("blocks").alias("of"))
+    near = held.select("id", "token").join(taken.select("token", "blocks", "small"), "token").select("id", F.col("token").alias("group"), F.col("blocks").alias("of"), "small")
     near = near.withColumn("own", F.pmod(F.xxhash64("id", "group"), F.col("of"))).withColumn("other", numbers(F.col("of")))
-    near = near.select("id", "group", F.col("of").alias("blocks"), F.least("own", "other").alias("block"), F.greatest("own", "other").alias("part"))
+    near = near.select("id", "group", F.col("of").alias("blocks"), F.least("own", "other").alias("block"), F.greatest("own", "other").alias("part"), "small")
     signs = scratch.keep(signed(now.join(ways.where("tokens"), "cluster", "left_semi"), kind))
-    near = scratch.keep(by_unit(near.join(signs, "id")).applyInPandas(open_units(percent), "group long, blocks long, block long, part long, id long"))
+    told = by_unit(near.where("not small").drop("small").join(signs, "id")).applyInPandas(open_units(percent), "group long, blocks long, block long, part long, id long")
+    near = scratch.keep(told.unionByName(near.where("small").drop("small")))
     near = near.join(now.select(*SET), "id")
     return rest.select(*UNIT).unionByName(every.select(*UNIT)).unionByName(near.select(*UNIT))
 
