@@ -77,26 +77,36 @@ class LastQuote(StatefulProcessor):
             for side, t, row in zip(part["side"], part["t"], part["row"], strict=True):
                 new[int(side)].append((int(t), row))
         if new[1]:
+            # A key has a timer for its earliest ask alone.
+            first, known = min(new[1])[0], min(self.asks.get(), default=None)
+            if known is None or first < known[0]:
+                self.handle.registerTimer(first // 1000 + 1)
             self.asks.appendList(new[1])
-            for t in {t // 1000 + 1 for t, _ in new[1]}:
-                self.handle.registerTimer(t)
         if new[0]:
             self.keep(sorted([*self.quotes.get(), *new[0]], key=self.order), timerValues.getCurrentWatermarkInMs(), list(self.asks.get()))
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        asks, until = sorted(self.asks.get()), expiredTimerInfo.getExpiryTimeInMs()
-        due, waiting = [a for a in asks if a[0] // 1000 < until], [a for a in asks if a[0] // 1000 >= until]
-        self.asks.put(waiting) if waiting else self.asks.clear()
+        # A timer answers all asks whose time has passed.
+        watermark, until = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
+        asks = sorted(self.asks.get())
+        passed = lambda t: t // 1000 + 1 < watermark or t // 1000 + 1 <= until
+        due, waiting = [a for a in asks if passed(a[0])], [a for a in asks if not passed(a[0])]
+        if not due:
+            return
+        if waiting:
+            self.asks.put(waiting)
+            self.handle.registerTimer(waiting[0][0] // 1000 + 1)
+        else:
+            self.asks.clear()
         quotes, out, at = list(self.quotes.get()), [], 0
         for t, row in due:
             while at < len(quotes) and quotes[at][0] <= t:
                 at += 1
             out.append((row, *(quotes[at - 1] if at else (None, None))))
         if quotes:
-            self.keep(quotes, timerValues.getCurrentWatermarkInMs(), waiting)
-        if out:
-            yield pd.DataFrame(out, columns=["ask", "quote_t", "quote"]).astype({"quote_t": "Int64", "ask": object, "quote": object})
+            self.keep(quotes, watermark, waiting)
+        yield pd.DataFrame(out, columns=["ask", "quote_t", "quote"]).astype({"quote_t": "Int64", "ask": object, "quote": object})
 
     def close(self) -> None:
         pass
