@@ -16,19 +16,25 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from millrace.llm.common import Scratch, chosen, map_texts, restored, table, without
+from millrace.llm.common import Scratch, chosen, map_texts, restored, table, without, word_count
 from millrace.llm.decontamination import words as letters
 
 #: Bounds of a fit: labelled documents, and pseudo-labelled ones of all that the
 #: other view has handed over, both taken by a hash of their ids.
 LABELLED, POOL = 8000, 8000
+#: Of those, as many as have this many features (of labelled ones: words) together.
+FEATURES = 10_000_000
+#: Log odds beyond which documents count as equally sure, cells of one, and cells of a cell.
+TOP_ODDS, COARSE, FINE = 40, 64, 1 << 14
 #: Rounds, and the share of the documents that a view finds good, and of those that it
 #: finds bad, that it labels for the other in a round, the most confident first.
 #: Documents as confident as the last of them are labelled too.
@@ -196,16 +202,62 @@ def floors(share: float) -> tuple[float, float]:
 
 
 def limits_of(scores: DataFrame, share: float) -> dict[str, list[float]]:
-    """For each view the confidence from which it hands over bad and good documents."""
-    out, least = {}, floors(share)
-    for v in SIZE:
+    """For each view the confidence from which it hands over bad and good documents: that
+    of which 1 - SHARE of those it finds so have less. The log odds of confidences are counted
+    in coarse cells and then, in the cell of each limit, in fine ones; counts don't depend on
+    the order of rows, so reruns agree."""
+    least = floors(share)
+
+    def coded(v: str) -> DataFrame:
         p = F.col(f"{v}_p")
-        rest = scores.where(F.col(f"{v}_given").isNull()).groupBy((p > 0.5).cast("int").alias("good"))
-        found = {r["good"]: r["limit"] for r in rest.agg(F.percentile_approx(F.greatest(p, 1 - p), 1 - SHARE, 10_000).alias("limit")).collect()}
-        out[v] = [max(least[good], found.get(good, 1.0)) for good in (0, 1)]
+        sure = F.greatest(p, 1 - p)
+        odds = F.least(F.coalesce(F.log(F.try_divide(sure, 1 - sure)), F.lit(float(TOP_ODDS))), F.lit(float(TOP_ODDS)))
+        return scores.where(F.col(f"{v}_given").isNull()).select(F.lit(v).alias("view"), (p > 0.5).cast("int").alias("good"), F.floor(odds * COARSE * FINE).alias("code"))
+
+    codes = coded("text").unionAll(coded("page"))
+    found: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in codes.groupBy("view", "good", F.floor(F.col("code") / FINE).alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect():
+        found.setdefault((r["view"], r["good"]), []).append((r["cell"], r["n"]))
+    want, at = {}, {}
+    for k, cells in found.items():
+        left = math.ceil(round((1 - SHARE) * sum(n for _, n in cells), 6))
+        for cell, n in sorted(cells):
+            if left <= n:
+                want[k], at[k] = left, cell
+                break
+            left -= n
+    out = {v: [max(least[good], 1.0) for good in (0, 1)] for v in SIZE}
+    if at:
+        inside = reduce(lambda x, y: x | y, [(F.col("view") == v) & (F.col("good") == g) & (F.floor(F.col("code") / FINE) == cell) for (v, g), cell in at.items()])
+        fine = sorted(codes.where(inside).groupBy("view", "good", "code").agg(F.count(F.lit(1)).alias("n")).collect(), key=lambda r: r["code"])
+        for v, good in at:
+            for r in fine:
+                if (r["view"], r["good"]) == (v, good):
+                    want[v, good] -= r["n"]
+                    if want[v, good] <= 0:
+                        # A hair less, so that all of the cell count as confident.
+                        out[v][good] = max(least[good], (1 - 1e-15) / (1 + math.exp(-r["code"] / (COARSE * FINE))))
+                        break
     return out
 
 
+def bounded(rows: DataFrame, order: Column, size: Column) -> DataFrame:
+    """The ids of rows (doc_id and others, few) in order, as long as their sizes add up to FEATURES at most."""
+    sizes = rows.groupBy("doc_id").agg(F.max(size).alias("size"))
+    so_far = F.sum("size").over(Window.orderBy(order, "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    return sizes.select("doc_id", so_far.alias("so_far")).where(F.col("so_far") <= FEATURES).select("doc_id")
+
+
+def fetched(rows: DataFrame, *names: str) -> list[tuple]:
+    """rows, by Arrow: arrays as numpy's, others as they are."""
+    got = rows.select(*names).toArrow()
+    columns = []
+    for name in names:
+        parts = got.column(name).chunks
+        columns.append([x.values.to_numpy() for part in parts for x in part] if pa.types.is_list(got.schema.field(name).type) else got.column(name).to_pylist())
+    return list(zip(*columns, strict=True))
+
+
 def cotrain(rows: list[tuple[np.ndarray, np.ndarray, int]], features: Callable[[], DataFrame], known: DataFrame, pool: int, scratch: Scratch, n_rounds: int = ROUNDS) -> Judge:
     """Over labelled rows (text features, page features, 1 for good, 0 for bad), and
     the features of all documents, of which those in known have labels.
@@ -242,8 +294,9 @@ def cotrain(rows: list[tuple[np.ndarray, np.ndarray, int]], features: Callable[[
             order = F.xxhash64(F.lit("sample"), "doc_id")
             # At most pool ids and labels: a bounded broadcast.
             taken = F.broadcast(labelled.orderBy(order, "doc_id").limit(pool))
-            found = every.select("doc_id", F.col(f"{other}_features").alias("x")).join(taken, "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("r")).sort(order, "doc_id").select("r.*").collect()
-            given[other] = [(np.array(r["x"], np.int32), r["good"]) for r in found]
+            found = every.select("doc_id", F.col(f"{other}_features").alias("x")).join(taken, "doc_id")
+            found = found.join(F.broadcast(bounded(found, order, F.size("x"))), "doc_id").groupBy("doc_id").agg(F.min(F.struct("x", "good")).alias("r"))
+            given[other] = fetched(found.sort(order, "doc_id").select("r.*"), "x", "good")
     mix = line(np.column_stack([models[v].logits([r[k] for r in last]) for v, k in views.items()]), truth(last))
     judge = Judge(models, mix, 0.5, handed)
     score = judge.scores([r[0] for r in last], [r[1] for r in last])[2]
@@ -285,9 +338,9 @@ def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: in
     order = F.xxhash64(F.lit("sample"), "doc_id")
     # At most labelled ids and flags: a bounded broadcast.
     taught = F.broadcast(known.orderBy(order, "doc_id").limit(labelled))
-    sample = described(docs.join(taught, "doc_id"), ["doc_id", "good"]).groupBy("doc_id").agg(F.min(F.struct("text_features", "page_features", "good")).alias("r"))
-    found = sample.sort(order, "doc_id").select("r.*").collect()
-    rows = [(np.array(r["text_features"], np.int32), np.array(r["page_features"], np.int32), r["good"]) for r in found]
+    taught = F.broadcast(bounded(docs.select("doc_id", "text").join(taught, "doc_id"), order, word_count(F.col("text")))).join(taught, "doc_id")
+    sample = described(docs.join(F.broadcast(taught), "doc_id"), ["doc_id", "good"]).groupBy("doc_id").agg(F.min(F.struct("text_features", "page_features", "good")).alias("r"))
+    rows = fetched(sample.sort(order, "doc_id").select("r.*"), "text_features", "page_features", "good")
     return cotrain(rows, lambda: described(docs.where("doc_id is not null"), ["doc_id"]), known, pool, scratch or Scratch(docs.sparkSession), rounds)
 
 
