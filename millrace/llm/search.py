@@ -168,8 +168,8 @@ def ranked(docs: DataFrame, items: list[tuple], best: int, scratch: Scratch) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         heaps: list[list[tuple]] = [[] for _ in shared.value]
         for batch in batches:
-            for row in batch.to_pylist():
-                window = Opened(row, n_docs, n_terms)
+            for k in range(batch.num_rows):  # one window at a time is unpacked
+                window = Opened({n: batch.column(n)[k].as_py() for n in batch.schema.names}, n_docs, n_terms)
                 for own, heap in zip(shared.value, heaps, strict=True):
                     window.harvest(own, heap, best)
         for k, heap in enumerate(heaps):
