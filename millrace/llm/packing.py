@@ -241,7 +241,8 @@ def pack(docs: DataFrame, tokenizer: str, carry: list[str] | None = None, limit:
     slots = patterns(counts, limit)
     packs = -(-sum(k * n for k, n in counts.items()) // limit)
     base = per.select("rest", "part", (F.sum("n").over(Window.partitionBy("rest").orderBy("part")) - F.col("n")).alias("base"))
-    ranked = rows.join(base, ["rest", "part"])
+    # A row for each part and length: small files, but many rows, so it isn't broadcast.
+    ranked = rows.join(base.hint("merge"), ["rest", "part"])
     ranked = ranked.select(*(["row"] if carry else []), "packed", "n", (F.col("rank") + F.col("base")).alias("rank"), (F.lit(packs) + F.shiftleft("part", 32) + F.col("full")).alias("full"))
     shared = docs.sparkSession.sparkContext.broadcast(slots)
     own = ranked.schema.fields[:-4]
