@@ -73,7 +73,7 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_CHARS
 
 
 def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+    return np.frombuffer(b"".join(map(xxhash.xxh3_64_digest, words)), ">u8").astype(np.uint64)
 
 
 def window_hashes(h: np.ndarray, width: int) -> np.ndarray:
@@ -145,6 +145,10 @@ def arrow_type(kind: str) -> pa.DataType:
     return ARROW[kind]
 
 
+#: Spark deletes the shuffle files of a query at its end.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables in the folder that all executors share. They cut the lineage, so
     that a lost executor costs a read and not the work before it."""
@@ -160,10 +164,15 @@ class Scratch:
         self.made = 0
 
     def keep(self, df: DataFrame) -> DataFrame:
-        """df, written once and read back."""
+        """df, written once and read back. What was shuffled for it is deleted then."""
         self.made += 1
         path = f"{self.root}/{self.made}"
-        df.write.parquet(path)
+        before = self.spark.conf.get(CLEANUP, None)
+        self.spark.conf.set(CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.unset(CLEANUP) if before is None else self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def keep_buckets(self, df: DataFrame, column: str, buckets: int) -> DataFrame:

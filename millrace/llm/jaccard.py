@@ -43,6 +43,10 @@ HUBS = 16
 #: Bytes of a set up to which it moves no worse than a signature, and of such sets
 #: that one task compares by their rare shingles.
 SMALL, SMALL_BYTES = 512, 4 << 20
+#: Sets up to which all pairs of a rare shingle's sets are made at once, beside a tree.
+SHORT = 64
+#: Shingles of pairs that are compared at a time.
+PAIR_SHINGLES = 1 << 20
 
 
 #: A set's digest as numpy compares it.
@@ -269,9 +273,30 @@ def tree_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, pe
     return links
 
 
+def linked(sizes: np.ndarray, sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the pairs (a, b) of positions link, compared exactly and many at once."""
+    lengths = np.array([len(s) for s in sets], np.int64)
+    out = np.minimum(lengths[a], lengths[b]) * (100 + percent) >= percent * (sizes[a] + sizes[b])
+    open_ = np.flatnonzero(out)
+    both = lengths[a[open_]] + lengths[b[open_]]
+    for part in np.split(open_, np.flatnonzero(np.diff(np.cumsum(both) // PAIR_SHINGLES)) + 1):
+        if len(part):
+            x, y = a[part], b[part]
+            flat = np.concatenate([sets[i] for i in np.stack([x, y], axis=1).reshape(-1).tolist()])
+            if flat.itemsize > 4:
+                flat = np.unique(flat, return_inverse=True)[1]
+            pair = np.repeat(np.arange(len(part), dtype=np.uint64), lengths[x] + lengths[y])
+            flat = flat.astype(np.uint64) | (pair << np.uint64(32))
+            flat.sort()
+            common = np.bincount((flat[1:][flat[1:] == flat[:-1]] >> np.uint64(32)).astype(np.int64), minlength=len(part))
+            out[part] = common * (100 + percent) >= percent * (sizes[x] + sizes[y])
+    return out
+
+
 def rare_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, percent: int) -> list[tuple[int, int]]:
     """tree_links for many sets that share something and mostly nothing more: only those
-    that share one of their shingles that are rarest among these sets meet in a tree."""
+    that share one of their shingles that are rarest among these sets meet, the sets of a
+    rare one in pairs, by their signatures first, those of others in a tree."""
     if len(sets) <= BLOCK:
         return tree_links(sizes, sets, labels, percent)
     lengths = np.array([len(s) for s in sets])
@@ -282,21 +307,54 @@ def rare_links(sizes: np.ndarray, sets: list[np.ndarray], labels: np.ndarray, pe
     order = np.lexsort((kind, count[kind], of))
     of, kind = of[order], kind[order]
     held = np.bincount(of, minlength=len(sets))
-    need = np.array([least_overlaps(int(n), percent)[0] for n in sizes])
+    need, most = np.array([least_overlaps(int(n), percent) for n in sizes]).T
     place = np.arange(len(of)) - np.repeat(np.cumsum(held) - held, held)
-    # Of any held - need + 1 of what a set has in common with others, a partner has one.
+    # Of any held - need + 1 of what a set has in common with others, a smaller partner has
+    # one, and one of its size or larger has one of any held - most + 1.
+    index = place < (held - most + 1)[of]
     first = place < (held - need + 1)[of]
-    of, kind = of[first], kind[first]
+    of, kind, index = of[first], kind[first], index[first]
     order = np.argsort(kind, kind="stable")
-    lists = np.split(of[order], np.flatnonzero(np.diff(kind[order])) + 1)
-    links, seen, forest = [], set(), Forest(labels)
-    for own in lists:
-        if len(own) > 1 and (name := own.tobytes()) not in seen:
+    of, kind, index = of[order], kind[order], index[order]
+    starts = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]])) if len(kind) else np.zeros(0, np.int64)
+    many = np.diff(np.concatenate([starts, [len(kind)]]))
+    links, forest = [], Forest(labels)
+
+    def add(i: int, j: int) -> None:
+        x, y = forest.find(i), forest.find(j)
+        if x != y:
+            forest.parent[x] = y
+            links.append((i, j))
+
+    few = np.repeat(many <= SHORT, many)
+    own, token, low, n = of[few], kind[few], index[few], sizes[of[few]]
+    pairs = [np.zeros(0, np.int64)]
+    for d in range(1, SHORT):
+        x, y = slice(0, max(0, len(own) - d)), slice(d, None)
+        meet = (token[x] == token[y]) & ((low[x] & (low[y] | (n[y] > n[x]))) | (low[y] & (n[x] > n[y])))
+        meet &= labels[own[x]] != labels[own[y]]
+        meet = np.flatnonzero(meet)
+        pairs.append(own[meet] * len(sets) + own[meet + d])
+    pairs = np.unique(np.concatenate(pairs))
+    if len(pairs):
+        signs, lengths, slack = signatures(sets)
+        for start in range(0, len(pairs), 1 << 16):
+            part = pairs[start : start + (1 << 16)]
+            a, b = part // len(sets), part % len(sets)
+            both = np.bitwise_count(signs[a] & signs[b]).sum(axis=1).astype(np.int64) + np.minimum(slack[a], slack[b])
+            open_ = both * (100 + percent) >= percent * (sizes[a] + sizes[b])
+            a, b = a[open_], b[open_]
+            yes = linked(sizes, sets, a, b, percent)
+            for i, j in zip(a[yes].tolist(), b[yes].tolist(), strict=True):
+                add(i, j)
+    seen = set()
+    for start, size in zip(starts[many > SHORT].tolist(), many[many > SHORT].tolist(), strict=True):
+        own = of[start : start + size]
+        if index[start : start + size].any() and (name := own.tobytes()) not in seen:
             seen.add(name)
             tops = np.array([forest.find(i) for i in own.tolist()])
             for i, j in tree_links(sizes[own], [sets[k] for k in own], tops, percent):
-                links.append((int(own[i]), int(own[j])))
-                forest.parent[forest.find(links[-1][0])] = forest.find(links[-1][1])
+                add(int(own[i]), int(own[j]))
     return links
 
 
@@ -305,14 +363,29 @@ def joined_units(percent: int, kind: str):
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         ids, sizes, labels = (rows[c].to_numpy() for c in ("id", "n", "label"))
-        shared, a, b = rows["shared"].to_numpy(), [], []
+        sets = [np.frombuffer(x, kind) for x in rows["shared"].to_numpy()]
         of = rows["group"].to_numpy()
         order = np.argsort(of, kind="stable")
-        for own in np.split(order, np.flatnonzero(np.diff(of[order])) + 1):
-            for i, j in rare_links(sizes[own], [np.frombuffer(shared[k], kind) for k in own], labels[own], percent):
-                a.append(ids[own[i]])
-                b.append(ids[own[j]])
-        return pd.DataFrame({"a": a, "b": b}, dtype=np.int64)
+        starts = np.flatnonzero(np.concatenate([[True], np.diff(of[order]) != 0])) if len(of) else np.zeros(0, np.int64)
+        many = np.diff(np.concatenate([starts, [len(of)]]))
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        # The pairs of the smallest groups are compared together.
+        for d in range(1, LEAF):
+            for k in range(d, LEAF):
+                at = starts[(many > k) & (many <= LEAF)]
+                a.append(order[at + k - d])
+                b.append(order[at + k])
+        x, y = np.concatenate(a), np.concatenate(b)
+        apart = labels[x] != labels[y]
+        x, y = x[apart], y[apart]
+        yes = linked(sizes, sets, x, y, percent)
+        a, b = [ids[x[yes]]], [ids[y[yes]]]
+        for start, size in zip(starts[many > LEAF].tolist(), many[many > LEAF].tolist(), strict=True):
+            own = order[start : start + size]
+            found = np.array(rare_links(sizes[own], [sets[k] for k in own], labels[own], percent), np.int64).reshape(-1, 2)
+            a.append(ids[own[found[:, 0]]])
+            b.append(ids[own[found[:, 1]]])
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)}, dtype=np.int64)
 
     return run
 

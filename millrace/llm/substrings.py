@@ -59,7 +59,7 @@ class Paragraphs:
         ends = np.cumsum([0, *[len(h) for h in hashes]])
         flat = np.concatenate([*hashes, np.zeros(LENGTH, np.uint64)])
         self.grams = window_hashes(flat, WIDTH)
-        windows = self.anchored(hashes, ends, flat)
+        windows = self.anchored(ends, flat)
         units = self.own_units([u for _, u in split], ends, flat)
         # Windows before units, in the order of texts.
         of, start, end, content, at = (np.concatenate(x) for x in zip(windows[:5], units[:5], strict=True))
@@ -72,11 +72,10 @@ class Paragraphs:
         by = np.argsort(unit, kind="stable")
         self.unit, self.flat = unit[by], bands[by]
 
-    def anchored(self, hashes: list[np.ndarray], ends: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
-        starts = [anchors(h) for h in hashes]
-        of = np.repeat(np.arange(len(hashes)), [len(s) for s in starts])
-        start = np.concatenate([*starts, np.zeros(0, np.int64)])
-        at = start + ends[of]
+    def anchored(self, ends: np.ndarray, flat: np.ndarray) -> tuple[np.ndarray, ...]:
+        at = anchors(ends, flat)
+        of = np.searchsorted(ends, at, side="right") - 1
+        start = at - ends[of]
         inside = LENGTH - WIDTH + 1
         # Contents: the shingles' hashes summed by position, so order counts.
         places = FACTORS[0] ** np.arange(1, inside + 1, dtype=np.uint64)
@@ -119,13 +118,23 @@ class Paragraphs:
         whole = banded([content[short]], np.full(len(short), 1 << 41, np.uint64), 1, 1)
         return of, start, end, content, at, np.concatenate([np.repeat(long, UNIT_BANDS), short]), np.concatenate([bands.reshape(-1), whole.reshape(-1)])
 
-    def shingles(self, i: int) -> np.ndarray:
-        """32 bits tell the few shingles of two paragraphs apart, but for a
-        chance of about one in ten million. A unit of fewer words than a shingle
-        is one as a whole."""
-        n = int(self.end[i] - self.start[i])
-        own = self.grams[self.at[i] : self.at[i] + n - WIDTH + 1] if n >= WIDTH else self.content[i : i + 1]
-        return np.unique((own >> np.uint64(32)).astype(np.uint32))
+    def shingles(self, which: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The numbers of shingles of these paragraphs, and the sorted shingles one after
+        another, some paragraphs at a time. 32 bits tell the few shingles of two paragraphs
+        apart, but for a chance of about one in ten million. A unit of fewer words than a
+        shingle is one as a whole."""
+        sizes = np.maximum(self.end[which] - self.start[which] - WIDTH + 1, 1)
+        cuts = np.flatnonzero(np.diff(np.cumsum(sizes) // SLICE_CHARS)) + 1
+        for part, n in zip(np.split(which, cuts), np.split(sizes, cuts), strict=True):
+            own = np.repeat(np.arange(len(part)), n)
+            first = np.cumsum(n) - n
+            flat = self.grams[np.repeat(self.at[part] - first, n) + np.arange(len(own))]
+            whole = self.end[part] - self.start[part] < WIDTH
+            flat[first[whole]] = self.content[part[whole]]
+            flat = (flat >> np.uint64(32)) | (own.astype(np.uint64) << np.uint64(32))
+            flat.sort()
+            flat = flat[np.concatenate([flat[:1] == flat[:1], flat[1:] != flat[:-1]])]
+            yield np.bincount((flat >> np.uint64(32)).astype(np.int64), minlength=len(part)), flat.astype(np.uint32)
 
 
 def unit_words(text: str) -> tuple[list[bytes], np.ndarray]:
@@ -148,8 +157,10 @@ def unit_words(text: str) -> tuple[list[bytes], np.ndarray]:
 
 def firsts(of: np.ndarray, content: np.ndarray) -> np.ndarray:
     """Where each text's contents stand first."""
-    pair = np.stack([of.astype(np.uint64), content], axis=1)
-    return np.sort(np.unique(pair, axis=0, return_index=True)[1])
+    order = np.lexsort((content, of))
+    new = np.ones(len(order), bool)
+    new[1:] = (of[order][1:] != of[order][:-1]) | (content[order][1:] != content[order][:-1])
+    return np.sort(order[new])
 
 
 def remixed(grams: np.ndarray, factor: np.uint64) -> np.ndarray:
@@ -174,15 +185,23 @@ def banded(least: list[np.ndarray], seed: np.ndarray, bands: int, rows: int) ->
     return out
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    places = len(h) - LENGTH + 1
-    if places < 1:
-        return np.zeros(0, np.int64)
-    order = window_hashes(h, 3)[:places]
-    if places <= SPACING:
-        return np.array([np.argmin(order)])
-    windows = np.lib.stride_tricks.sliding_window_view(order, SPACING)
-    return np.unique(windows.argmin(axis=1) + np.arange(len(windows)))
+def anchors(ends: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """The places of the anchors among the words flat of texts that end at ends: of any
+    SPACING neighbours the first with the least hash."""
+    order = window_hashes(flat, 3)
+    places = np.diff(ends) - LENGTH + 1
+    best, least, width = np.arange(len(order)), order, 1
+    while width < SPACING:
+        step = min(width, SPACING - width)
+        best = np.where(least[step:] < least[:-step], best[step:], best[:-step])
+        least = np.minimum(least[step:], least[:-step])
+        width += step
+    windows = np.maximum(places - SPACING + 1, 0)
+    windows[(places > 0) & (places <= SPACING)] = 0
+    first = np.cumsum(windows) - windows
+    found = best[np.repeat(ends[:-1] - first, windows) + np.arange(windows.sum())]
+    few = [i + int(np.argmin(order[i : i + n])) for i, n in zip(ends[:-1].tolist(), places.tolist(), strict=True) if 0 < n <= SPACING]
+    return np.unique(np.concatenate([found, np.array(few, np.int64)]))
 
 
 def dealt(docs: DataFrame, ranges: int) -> DataFrame:
@@ -197,15 +216,15 @@ def dealt(docs: DataFrame, ranges: int) -> DataFrame:
                 found = Paragraphs(texts)
                 flat, of = found.flat, found.of[found.unit]
                 prints = (found.content >> np.uint64(32)).astype(np.uint32)[found.unit]
-                where = (((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
+                where = (((flat >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.uint16 if ranges < 1 << 16 else np.int64)
                 by = np.argsort(where, kind="stable")
                 edges = np.searchsorted(where[by], np.arange(ranges + 1))
                 rows = []
                 for r in range(ranges):
                     p = by[edges[r] : edges[r + 1]]
                     if len(p):
-                        who, lengths = np.unique(of[p], return_counts=True)
-                        rows.append((r, keys[who].tobytes(), squeezed(lengths.astype(np.uint32)), flat[p].astype(np.uint32).tobytes(), (flat[p] >> np.uint64(32)).astype(np.uint16).tobytes(), prints[p].tobytes()))
+                        edge = np.flatnonzero(np.concatenate([[True], np.diff(of[p]) > 0, [True]]))
+                        rows.append((r, keys[of[p][edge[:-1]]].tobytes(), squeezed(np.diff(edge).astype(np.uint32)), flat[p].astype(np.uint32).tobytes(), (flat[p] >> np.uint64(32)).astype(np.uint16).tobytes(), prints[p].tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], pa.binary() if i else pa.int32()) for i in range(len(names))], names=names)
 
     return docs.select("key", "text").mapInArrow(run, "range int, " + ", ".join(f"{n} binary" for n in names[1:]))
@@ -240,34 +259,65 @@ def shared_bands(buckets: int):
     return run
 
 
-def repeated(docs: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+#: What repeated finds.
+FOUND = "doc_id long, start long, end long, content long, bands array<long>, n long, shingles binary"
+FOUND_ARROW = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("content", pa.int64()), ("bands", pa.list_(pa.int64())), ("n", pa.int64()), ("shingles", pa.binary())])
+
+
+def repeated(docs: pa.Table, rows: pa.Table) -> pa.Table:
     """The candidates among a bucket's documents; bands and shingles only of
     those that meet other contents."""
-    out = []
-    if len(rows):
-        keys = np.concatenate([spread(x, "i8") for x in rows["keys"]])
-        bands = np.frombuffer(b"".join(rows["bands"]), np.uint64)
+    out = [FOUND_ARROW.empty_table()]
+    if rows.num_rows and docs.num_rows:
+        keys = np.concatenate([spread(x, "i8") for x in rows.column("keys").to_pylist()])
+        bands = np.frombuffer(b"".join(rows.column("bands").to_pylist()), np.uint64)
         by = np.argsort(keys, kind="stable")
         keys, bands = keys[by], bands[by]
-        docs = docs[np.isin(docs["key"].to_numpy(), keys)]
-        text_ends = np.cumsum(docs["chars"].to_numpy(np.int64))
-        for _, part in docs.groupby(text_ends // SLICE_CHARS, sort=False):
-            found = Paragraphs([unpacked_text(x) for x in part["packed"]])
-            edges = np.searchsorted(found.of, np.arange(len(part) + 1))
-            for i, (key, doc_id) in enumerate(zip(part["key"], part["doc_id"], strict=True)):
-                a, z = np.searchsorted(keys, key, "left"), np.searchsorted(keys, key, "right")
-                own = bands[a:z]
-                shared, near = np.unique(own & np.uint64(LOW)), np.unique(own[own >> np.uint64(63) > 0] & np.uint64(LOW))
-                first, last = np.searchsorted(found.unit, edges[i : i + 2])
-                mine, unit = found.flat[first:last], found.unit[first:last]
-                low = mine & np.uint64(LOW)
-                hit, differs = np.isin(low, shared), np.isin(low, near)
-                for k in np.unique(unit[hit]).tolist():
-                    x, y = np.searchsorted(unit, [k, k + 1])
-                    meets = mine[x:y][differs[x:y]].view(np.int64).tolist() or None
-                    sh = found.shingles(k) if meets else None
-                    out.append((doc_id, int(found.start[k]), int(found.end[k]), int(found.content[k].view(np.int64)), meets, None if sh is None else len(sh), None if sh is None else sh.tobytes()))
-    return pd.DataFrame(out, columns=["doc_id", "start", "end", "content", "bands", "n", "shingles"]).astype({"start": "int64", "end": "int64", "content": "int64"})
+        docs = docs.take(np.flatnonzero(np.isin(docs.column("key").to_numpy(), keys)))
+        # Parts have fewer than 2^16 documents.
+        weights = np.cumsum(docs.column("chars").to_numpy() + 32) // SLICE_CHARS
+        cuts = [0, *(np.flatnonzero(np.diff(weights)) + 1).tolist(), docs.num_rows]
+        for start, stop in zip(cuts, cuts[1:], strict=False):
+            out += repeated_of_part(docs.slice(start, stop - start), keys, bands)
+    return pa.concat_tables(out)
+
+
+def repeated_of_part(docs: pa.Table, keys: np.ndarray, bands: np.ndarray) -> Iterator[pa.Table]:
+    """The same of some documents, the bands being sorted by document."""
+    own = docs.column("key").to_numpy()
+    first = np.searchsorted(keys, own, "left")
+    sizes = np.searchsorted(keys, own, "right") - first
+    place = np.cumsum(sizes) - sizes
+    mine = bands[np.repeat(first - place, sizes) + np.arange(sizes.sum())]
+    marked = (mine & np.uint64(LOW)) | (np.repeat(np.arange(len(own)), sizes).astype(np.uint64) << np.uint64(48))
+    found = Paragraphs([unpacked_text(x) for x in docs.column("packed").to_pylist()])
+    flat = (found.flat & np.uint64(LOW)) | (found.of[found.unit].astype(np.uint64) << np.uint64(48))
+    hit = np.zeros(len(found.start), bool)
+    hit[found.unit[among(flat, marked)]] = True
+    differs = among(flat, marked[mine >> np.uint64(63) > 0])
+    meets = np.bincount(found.unit[differs], minlength=len(hit))
+    which = np.flatnonzero(hit)
+    apart = meets[which] > 0
+    none = pa.array(~apart)
+    counts, shingles = [np.zeros(0, np.int64)], []
+    for n, values in found.shingles(which[apart]):
+        counts.append(n)
+        shingles.append(values.tobytes())
+    n = np.zeros(len(which), np.int64)
+    n[apart] = np.concatenate(counts)
+    offsets = np.concatenate([[0], np.cumsum(n)]) * 4
+    lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(meets[which])]), pa.int32()), pa.array(found.flat[differs].view(np.int64)), mask=none)
+    sets = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(which), [pa.array(apart).buffers()[1], pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(b"".join(shingles))]).cast(pa.binary())
+    columns = [docs.column("doc_id").to_numpy()[found.of[which]], found.start[which], found.end[which], found.content[which].view(np.int64), lists, pa.array(n, mask=~apart), sets]
+    yield pa.Table.from_arrays([pa.array(c) for c in columns], schema=FOUND_ARROW)
+
+
+def among(values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which values are among those wanted."""
+    wanted = np.unique(wanted)
+    if not len(wanted):
+        return np.zeros(len(values), bool)
+    return wanted[np.minimum(np.searchsorted(wanted, values), len(wanted) - 1)] == values
 
 
 def dedup_substrings(docs: DataFrame, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
@@ -291,7 +341,7 @@ def dedup_substrings(docs: DataFrame, percent: int = PERCENT, scratch: Scratch |
     keyed = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("key", F.xxhash64("doc_id", "text"))
     bands = dealt(keyed, parts).groupBy("range").applyInPandas(shared_bands(parts), "bucket long, keys binary, bands binary")
     bucketed = packed_texts(keyed.withColumn("chars", F.char_length("text")), ["key", "doc_id", "chars"]).withColumn("bucket", F.pmod("key", F.lit(parts).cast("long")))
-    found = bucketed.groupBy("bucket").cogroup(bands.groupBy("bucket")).applyInPandas(repeated, "doc_id long, start long, end long, content long, bands array<long>, n long, shingles binary")
+    found = bucketed.groupBy("bucket").cogroup(bands.groupBy("bucket")).applyInArrow(repeated, FOUND)
     inner = Scratch(spark)  # deleted once the clusters are written
     found = inner.keep(found)
     sets = found.where("bands is not null").groupBy("content").agg(F.first("n").alias("n"), F.flatten(F.collect_set("bands")).alias("prefix"), F.first("shingles").alias("shared")).withColumnRenamed("content", "id").withColumn("index", F.size("prefix"))
