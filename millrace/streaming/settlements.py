@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import json
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState
 from pyspark.sql.types import StructType
 
 
@@ -49,88 +50,81 @@ def appended(stream: DataFrame, folder: str) -> DataFrame:
     return spark.read.option("basePath", f"{folder}/rows").schema(stream.schema).parquet(f"{folder}/rows").select(*stream.columns)
 
 
-class LastQuote(StatefulProcessor):
-    """Of each key: quotes that may still be asked for, and asks whose time the watermark
-    hasn't passed, both as (microseconds, row in JSON)."""
-
-    def __init__(self, held: StructType, values: list[str]):
-        self.held, self.values = held, values
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.asks = handle.getListState("asks", self.held)
-        self.quotes = handle.getListState("quotes", self.held)
-
-    def order(self, quote: tuple) -> tuple:
-        row = json.loads(quote[1])
-        return quote[0], [(row.get(v) is not None, row.get(v)) if row.get(v) is not None else (False,) for v in self.values]
-
-    def keep(self, quotes: list[tuple], watermark: int, waiting: list[tuple]) -> None:
-        """Stores the quotes from the last on that all asks to come can see."""
-        oldest = min([watermark * 1000, *[t for t, _ in waiting]])
-        seen = sum(t <= oldest for t, _ in quotes)
-        self.quotes.put(quotes[max(0, seen - 1) :])
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new: tuple[list, list] = ([], [])
-        for part in rows:
-            for side, t, row in zip(part["side"], part["t"], part["row"], strict=True):
-                new[int(side)].append((int(t), row))
-        if new[1]:
-            # A key has a timer for its earliest ask alone.
-            first, known = min(new[1])[0], min(self.asks.get(), default=None)
-            if known is None or first < known[0]:
-                self.handle.registerTimer(first // 1000 + 1)
-            self.asks.appendList(new[1])
-        if new[0]:
-            self.keep(sorted([*self.quotes.get(), *new[0]], key=self.order), timerValues.getCurrentWatermarkInMs(), list(self.asks.get()))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        # A timer answers all asks whose time has passed.
-        watermark, until = timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs()
-        asks = sorted(self.asks.get())
-        passed = lambda t: t // 1000 + 1 < watermark or t // 1000 + 1 <= until
-        due, waiting = [a for a in asks if passed(a[0])], [a for a in asks if not passed(a[0])]
-        if not due:
-            return
+#: State of a group of keys: asks whose time the watermark hasn't passed, and quotes that may
+#: still be asked for; keys and rows in JSON, times in microseconds.
+WAITING = "asks array<struct<t:long,k:string,row:string>>, quotes array<struct<t:long,k:string,row:string>>"
+
+
+def last_quotes(values: list[str]):
+    """Answers a group's asks that the watermark has passed; its state comes and goes with the rows."""
+
+    def order(row: str) -> list[tuple]:
+        own = json.loads(row)
+        return [(True, own[v]) if own.get(v) is not None else (False,) for v in values]
+
+    def run(group, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        asks, quotes = state.get if state.exists else ([], [])
+        waiting, last = [tuple(a) for a in asks], {}
+        for t, k, row in quotes:
+            last.setdefault(k, {})[t] = row
+        if not state.hasTimedOut:
+            for part in parts:
+                for side, t, k, row in zip(*(part[c].tolist() for c in ("side", "t", "k", "row")), strict=True):
+                    if side:
+                        waiting.append((t, k, row))
+                        continue
+                    own = last.setdefault(k, {})
+                    if t not in own or (row != own[t] and order(row) > order(own[t])):
+                        own[t] = row
+        until = max(state.getCurrentWatermarkMs(), 0) * 1000
+        waiting.sort()
+        due = bisect_left(waiting, (until,))
+        times, out, first = {k: sorted(own) for k, own in last.items()}, [], {}
+        for t, k, row in waiting[:due]:
+            known = times.get(k, [])
+            at = bisect_right(known, t)
+            out.append((row, known[at - 1], last[k][known[at - 1]]) if at else (row, None, None))
+        waiting = waiting[due:]
+        for t, k, _ in waiting:
+            first.setdefault(k, t)
+        kept = []
+        for k, known in times.items():
+            # Asks to come are later than the watermark.
+            seen = bisect_right(known, min(until, first.get(k, until)))
+            kept += [(t, k, last[k][t]) for t in known[max(0, seen - 1) :]]
+        if waiting or kept:
+            state.update((waiting, kept))
+        elif state.exists:
+            state.remove()
         if waiting:
-            self.asks.put(waiting)
-            self.handle.registerTimer(waiting[0][0] // 1000 + 1)
-        else:
-            self.asks.clear()
-        quotes, out, at = list(self.quotes.get()), [], 0
-        for t, row in due:
-            while at < len(quotes) and quotes[at][0] <= t:
-                at += 1
-            out.append((row, *(quotes[at - 1] if at else (None, None))))
-        if quotes:
-            self.keep(quotes, watermark, waiting)
-        yield pd.DataFrame(out, columns=["ask", "quote_t", "quote"]).astype({"quote_t": "Int64", "ask": object, "quote": object})
-
-    def close(self) -> None:
-        pass
+            state.setTimeoutTimestamp(max(waiting[0][0] // 1000, 1))
+        if out:
+            yield pd.DataFrame(out, columns=["ask", "quote_t", "quote"], dtype=object)
+
+    return run
 
 
 #: JSON's times with all their digits.
 TIMES = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
 
 
-def asof_stream(asks: DataFrame, quotes: DataFrame, key: str, time: str, values: list[str], late: str = "10 minutes") -> DataFrame:
+def asof_stream(asks: DataFrame, quotes: DataFrame, key: str, time: str, values: list[str], late: str = "10 minutes", groups: int = 1024) -> DataFrame:
     """asks' columns with values of the last of quotes of the same key whose time isn't later, and its
     time as <time>_right; nulls where there is none. As operators.asof_join, but asks and quotes are streams.
 
     An ask is answered once the watermark (`late` behind the latest time of both) has passed its time, so
     quotes may come later than asks by that much; rows later than the watermark are dropped, and the last asks
     of a stream wait. Of quotes of one time the largest counts, by values in their order. Rows with a null key or time
-    are left out. A key's state has its waiting asks and the quotes since the last before the watermark. Needs
-    a state store that is RocksDB's (spark.sql.streaming.stateStore.providerClass).
+    are left out. A key's state has its waiting asks and the quotes since the last before the watermark. Keys are dealt
+    by hash into groups, each with one state, which goes to Python with the group's rows and is written again with
+    each batch that has some: choose as many groups as leave some hundred keys to each. A stream keeps its number of
+    groups. Any state store will do; RocksDB's keeps states off the heap (spark.sql.streaming.stateStore.providerClass).
     """
     known = lambda df: df.where(F.col(key).isNotNull() & F.col(time).isNotNull())
-    side = lambda df, cols, n: known(df).select(F.col(key).alias("k"), F.lit(n).alias("side"), F.col(time).cast("timestamp").alias("at"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.to_json(F.struct(*cols), TIMES).alias("row"))
+    own_key = lambda df: F.col(key) + F.lit(0).cast(df.schema[key].dataType) if df.schema[key].dataType.typeName() in ("float", "double") else F.col(key)  # noqa: E731  # one zero
+    side = lambda df, cols, n: known(df).select(F.to_json(F.struct(own_key(df).alias("k")), TIMES).alias("k"), F.lit(n).alias("side"), F.col(time).cast("timestamp").alias("at"), F.unix_micros(F.col(time).cast("timestamp")).alias("t"), F.to_json(F.struct(*cols), TIMES).alias("row"))
     both = side(quotes, values, 0).unionAll(side(asks, asks.columns, 1)).withWatermark("at", late)
-    held = StructType().add("t", "long").add("row", "string")
-    answered = both.groupBy("k").transformWithStateInPandas(LastQuote(held, values), "ask string, quote_t long, quote string", "Append", "EventTime")
+    answered = both.withColumn("group", F.pmod(F.xxhash64("k"), F.lit(groups))).groupBy("group").applyInPandasWithState(last_quotes(values), "ask string, quote_t long, quote string", WAITING, "append", "EventTimeTimeout")
     kinds = {f.name: f.dataType for f in quotes.schema.fields}
     quote = F.from_json("quote", StructType([quotes.schema[v] for v in values]), TIMES)
     own = F.from_json("ask", asks.schema, TIMES)

@@ -86,3 +86,14 @@ def test_asof_of_streams(spark, tmp_path, parts):
     watermark = max(r["ts"] for r in scores.select("ts").unionAll(settlements.select("ts")).collect() if r["ts"]) - datetime.timedelta(minutes=10)
     assert got == [r for r in batch if r[2] < watermark]
     assert any(r[3] is None for r in got) or parts == 1
+
+
+def test_asof_of_streams_whose_keys_share_a_state(spark, tmp_path):
+    """In any state store: a group's state goes with its rows."""
+    scores, settlements = tables(spark, 6)
+    scores, settlements = scores.withColumnRenamed("scored", "ts"), settlements.withColumnRenamed("settled", "ts")
+    asks, quotes = written(scores, "ts", str(tmp_path / "l"), 3), written(settlements, "ts", str(tmp_path / "r"), 3)
+    got = rows(appended(asof_stream(asks, quotes, "k", "ts", ["v"], groups=1), str(tmp_path / "out")))
+    batch = [r for r in rows(asof_join(scores, settlements, "k", "ts", ["v"])) if r[1] is not None and r[2] is not None]
+    watermark = max(r["ts"] for r in scores.select("ts").unionAll(settlements.select("ts")).collect() if r["ts"]) - datetime.timedelta(minutes=10)
+    assert got == [r for r in batch if r[2] < watermark] and got
