@@ -11,10 +11,10 @@ takes is then found for each document by its rank among those of its length.
 from __future__ import annotations
 
 import heapq
+import json
 import os
-import re
 from collections.abc import Iterator
-from itertools import chain, repeat
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,90 +30,158 @@ from millrace.llm.common import SLICE_CHARS, Scratch, chosen, restored, slices,
 LIMIT = 4096
 #: The id that ends a document.
 END = 2
-#: Pieces of text whose ids a Python worker remembers; all are forgotten beyond that.
-REMEMBERED = 300_000
+#: Pieces of text whose ids a Python worker remembers, and their bytes with these ids;
+#: all are forgotten beyond that.
+REMEMBERED, REMEMBERED_BYTES = 800_000, 100_000_000
 
 MADE = ("start", "length", "doc_tokens", "sequence_id", "offset", "ids")
 
-#: The small letters of Latin-1.
-SMALL = "a-zß-öø-ÿ"
-#: A word of them.
-PLAIN = re.compile(f"[{SMALL}]+")
-#: A mark between such a word and white space: it is a piece of its own.
-MARK = re.compile(rf"(?<=[{SMALL}])([.,;:!?])(?=\s)")
+#: Kinds of UTF-8 bytes. White space, letters (the lead byte of Latin-1's
+#: are among them), digits, marks, and all others.
+SPACE, LETTER, DIGIT, MARK, OTHER = range(5)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[0x21:0x7F] = MARK
+for _kind, _bytes in ((SPACE, b"\t\n\v\f\r "), (DIGIT, b"0123456789"), (LETTER, bytes([*range(65, 91), *range(97, 123), 0xC3]))):
+    KINDS[list(_bytes)] = _kind
+#: ASCII bytes in lower case.
+LOWER = np.frombuffer(bytes(range(256)).lower(), np.uint8)
+#: The tokenizer that Encoder cuts words for.
+NORMALIZER = [("NFC", None), ("Replace", {"Regex": r"\s+"}), ("Lowercase", None)]
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def cuts_words(path: str) -> bool:
+    """Whether a tokenizer file lower-cases, then cuts words as pieces() does, ends each
+    piece with a token in </w>, and has no special strings but those that begin with <|."""
+    with open(path, encoding="utf-8") as f:
+        d = json.load(f)
+    normal, cut, model = d["normalizer"] or {}, d["pre_tokenizer"] or {}, d["model"]
+    cuts = [(c["type"], c.get("pattern"), c.get("behavior"), c.get("invert"), c.get("add_prefix_space"), c.get("use_regex")) for c in cut.get("pretokenizers", [])]
+    return (
+        [(c["type"], c.get("pattern")) for c in normal.get("normalizers", [])] == NORMALIZER
+        and cuts == [("Split", {"Regex": SPLIT}, "Removed", True, None, None), ("ByteLevel", None, None, None, False, False)]
+        and (model["type"], model["end_of_word_suffix"], model["dropout"]) == ("BPE", "</w>", None)
+        and all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"]) for t in d["added_tokens"])
+    )
+
+
+def pieces(texts: list[str], cut: bool) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(pieces of texts as dictionary of bytes, which entries of it are as written, and
+    pieces of each text). Texts are cut at white space; if cut, words of ASCII and Latin-1
+    letters also as SPLIT does, in lower case. Words with other characters, or with what
+    may be a special string, stay whole and as written."""
+    encoded = [t.encode("utf-8") for t in texts]
+    # White space around, so that each byte has neighbours.
+    data = b"".join((b"\n", b"\n".join(encoded), b"\n\n\n"))
+    raw = np.frombuffer(data, np.uint8)
+    kind, low = KINDS[raw], LOWER[raw]
+    lead = np.flatnonzero(raw == 0xC3)
+    follow = raw[lead + 1]
+    letter = (follow != 0x97) & (follow != 0xB7)  # not the signs of times and division
+    kind[lead[~letter]] = OTHER
+    kind[lead[letter] + 1] = LETTER
+    low[lead[letter & (follow < 0x9F)] + 1] += 0x20
+    if not cut:
+        kind[kind != SPACE] = OTHER
+    if b"<|" in data:
+        kind[np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))] = OTHER
+    if (other := np.flatnonzero(kind == OTHER)).size:
+        edges = np.flatnonzero((kind[1:] != SPACE) != (kind[:-1] != SPACE)) + 1
+        words = np.unique(np.searchsorted(edges, other, "right") - 1)
+        sizes = edges[words + 1] - edges[words]
+        own = np.repeat(edges[words] - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        kind[own], low[own] = OTHER, raw[own]
+    start = np.zeros(len(raw), bool)
+    start[1:] = kind[1:] != kind[:-1]
+    start |= kind == DIGIT
+    start &= kind != SPACE
+    # 's and the like: only where the mark comes first among marks.
+    mark = np.flatnonzero((raw == ord("'")) & (kind == MARK) & start)
+    mark = mark[kind[mark + 1] == LETTER]
+    one, two = low[mark + 1], low[mark + 2]
+    short = np.isin(one, list(b"stmd"))
+    long = (np.isin(one, list(b"rv")) & (two == ord("e"))) | ((one == ord("l")) & (two == ord("l")))
+    start[mark[short | long] + 1] = False
+    for after in (mark[short] + 2, mark[long] + 3):
+        start[after[kind[after] == LETTER]] = True
+    held = kind != SPACE
+    at, body = np.flatnonzero(start), low[held]
+    offsets = np.append(np.flatnonzero(start[held]), len(body)).astype(np.int32)
+    found = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(body)]).dictionary_encode()
+    written = np.zeros(len(found.dictionary), bool)
+    written[found.indices.to_numpy()[kind[at] == OTHER]] = True
+    ends = np.cumsum([len(e) + 1 for e in encoded], dtype=np.int64)
+    return found, written, np.diff(np.searchsorted(at, ends, "right"), prepend=0)
 
 
 class Encoder:
-    """Ids of texts by a tokenizer file whose tokens never reach over white space, nor
-    from a word to a mark behind it: such pieces are encoded once and remembered."""
+    """Ids of texts by a tokenizer file whose tokens never reach over white space. Each
+    piece of texts is encoded once and remembered."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
+        from tokenizers.pre_tokenizers import ByteLevel, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        # How the tokenizer writes the bytes of the letters beyond ASCII.
+        self.cut = cuts_words(path)
+        # For pieces that are cut: the model alone. They are told apart by its tokens in </w>.
+        self.bare = Tokenizer(self.tokenizer.model)
+        self.bare.pre_tokenizer = WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocab.values()) + 1, bool)
+        self.last[[n for t, n in vocab.items() if t.endswith("</w>")]] = True
+        # How the tokenizer writes the bytes of such pieces, by UTF-8's letters of two bytes.
         level = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.written = {k: level.pre_tokenize_str(chr(k))[0][0] for k in range(128, 256) if PLAIN.fullmatch(chr(k))}
+        self.written = np.arange(256, dtype="<u4")
+        for k in range(0x80, 0xC0):
+            lead, follow = level.pre_tokenize_str(chr(0xC0 | k & 0x3F))[0][0]
+            self.written[[0xC3, k]] = ord(lead), ord(follow)
         self.forget()
 
     def forget(self) -> None:
-        self.number: dict[str, int] = {}
-        self.starts, self.sizes, self.pool = (np.zeros(0, np.int64) for _ in range(3))
-
-    def learn(self, pieces: list[str]) -> None:
-        """Ids of pieces that aren't known, each once. A plain word needs none of the
-        tokenizer's changes of texts, which take most of its time."""
-        plain = [p for p in pieces if PLAIN.fullmatch(p)]
-        rest = [p for p in pieces if not PLAIN.fullmatch(p)]
-        ids = [[t.id for t in self.model.tokenize(p if p.isascii() else p.translate(self.written))] for p in plain]
-        ids += [e.ids for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.number.update(zip([*plain, *rest], range(len(self.number), len(self.number) + len(ids)), strict=True))
-        self.starts = np.append(self.starts, len(self.pool) + np.cumsum(sizes) - sizes)
-        self.sizes = np.append(self.sizes, sizes)
-        self.pool = np.append(self.pool, np.fromiter(chain.from_iterable(ids), np.uint32, int(sizes.sum()))).astype(np.uint32, copy=False)
+        self.known: dict[bytes, bytes] = {}
+        self.bytes = 0
+
+    def learn(self, keys: list[bytes], written: list[bool]) -> None:
+        """Ids of pieces that aren't known, each once; of those as written by the whole
+        tokenizer, whose changes of texts take most of its time."""
+        plain = [k for k, w in zip(keys, written, strict=True) if not w]
+        rest = [k for k, w in zip(keys, written, strict=True) if w]
+        joined = self.written[np.frombuffer(b" ".join(plain), np.uint8)].tobytes().decode("utf-32-le")
+        ids = np.array(self.bare.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
+        ends = np.append(0, np.flatnonzero(self.last[ids]) + 1)
+        if len(ends) != len(plain) + 1 or ends[-1] != len(ids):
+            raise ValueError("a piece has not one token in </w>, at its end")
+        cuts, data = (4 * ends).tolist(), ids.tobytes()
+        self.known.update(zip(plain, [data[a:b] for a, b in pairwise(cuts)], strict=True))
+        own = self.tokenizer.encode_batch_fast([k.decode("utf-8") for k in rest], add_special_tokens=False)
+        self.known.update((k, np.array(e.ids, "<u4").tobytes()) for k, e in zip(rest, own, strict=True))
+        self.bytes += len(joined) + len(data) + sum(len(k) + len(self.known[k]) for k in rest)
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text."""
-        parts = [(i, part) for i, text in enumerate(texts) for part in portions(text)]
-        flat, counts, direct = [], [], {}
-        if len(self.number) > REMEMBERED:
+        short = iter(self.encode_all([t for t in texts if len(t) <= SLICE_CHARS]))
+        return [next(short) if len(t) <= SLICE_CHARS else np.concatenate([self.encode_all([p])[0] for p in portions(t)]) for t in texts]
+
+    def encode_all(self, texts: list[str]) -> list[np.ndarray]:
+        """The same, of texts that are worked on at once."""
+        if len(self.known) > REMEMBERED or self.bytes > REMEMBERED_BYTES:
             self.forget()
-        for k, (_, part) in enumerate(parts):
-            if "<|" in part or any(c in part for c in "\x1c\x1d\x1e\x1f"):
-                # Special strings, and characters that Python takes for white space.
-                direct[k] = np.array(self.tokenizer.encode(part, add_special_tokens=False).ids, np.uint32)
-                counts.append(0)
-                continue
-            own = MARK.sub(r" \1", part.lower() if latin(part) else part).split()
-            counts.append(len(own))
-            flat += own
-        at = np.fromiter(map(self.number.get, flat, repeat(-1)), np.int64, len(flat))
-        if (unknown := np.flatnonzero(at < 0)).size:
-            self.learn(list(dict.fromkeys(flat[j] for j in unknown.tolist())))
-            at[unknown] = [self.number[flat[j]] for j in unknown.tolist()]
-        sizes = self.sizes[at]
-        ends = np.cumsum(sizes)
-        ids = self.pool[np.repeat(self.starts[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        cuts = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-        out: list[list[np.ndarray]] = [[] for _ in texts]
-        for k, (i, _) in enumerate(parts):
-            out[i].append(direct[k] if k in direct else ids[cuts[k] : cuts[k + 1]])
-        return [p[0] if len(p) == 1 else np.concatenate([*p, np.zeros(0, np.uint32)]) for p in out]
-
-
-def latin(text: str) -> bool:
-    """Whether lower() changes the text as the tokenizer does: character by character."""
-    if text.isascii():
-        return True
-    try:
-        text.encode("latin-1")
-    except UnicodeEncodeError:
-        return False
-    return True
+        found, written, counts = pieces(texts, self.cut)
+        if not len(found):
+            return [np.zeros(0, "<u4") for _ in texts]
+        keys = found.dictionary.to_numpy(zero_copy_only=False).tolist()
+        ids = list(map(self.known.get, keys))
+        if unknown := [j for j, i in enumerate(ids) if i is None]:
+            self.learn([keys[j] for j in unknown], written[unknown].tolist())
+            for j in unknown:
+                ids[j] = self.known[keys[j]]
+        # Ids as bytes, so that Arrow puts them in a row.
+        row = pa.array(ids, pa.large_binary()).take(found.indices)
+        _, offsets, data = row.buffers()
+        ends = np.frombuffer(offsets, np.int64)[: len(row) + 1][np.cumsum(counts)] // 4
+        return np.split(np.frombuffer(data, "<u4")[: ends[-1]], ends[:-1])
 
 
 def portions(text: str) -> Iterator[str]:

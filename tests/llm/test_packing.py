@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 
@@ -34,6 +35,51 @@ def test_encoder_gives_the_tokenizer_s_ids(monkeypatch):
             assert [x.tolist() for x in encoder.encode(part)] == [whole(tokenizer, t) for t in part]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_pieces_of_words_give_the_tokenizer_s_ids(seed):
+    rng = random.Random(seed)
+    alphabet = ["'", "'", *"stmdrevlLSRE", "é", "É", "ß", "ÿ", "Þ", "×", "÷", "µ", "¿", "ﬁ", "́", *"07$#<|>/w", "<|", "<|endoftext|>", "</w>", " ", "\n", "\xa0", "\0", "\x1f", "\x7f"][: rng.choice([19, 26, 99])]
+    cases = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(1500)]
+    tokenizer = Tokenizer.from_file(PATH)
+    assert [x.tolist() for x in packing.Encoder(PATH).encode(cases)] == [whole(tokenizer, t) for t in cases]
+
+
+def test_words_with_marks_need_no_tokenizer_of_their_own():
+    encoder = packing.Encoder(PATH)
+    asked, tokenizer = [], encoder.tokenizer
+
+    class Asked:
+        def encode_batch_fast(self, texts, **more):
+            asked.extend(texts)
+            return tokenizer.encode_batch_fast(texts, **more)
+
+    encoder.tokenizer = Asked()
+    text = "thhe### lyhare$$$ It's L'ÉCOLE, d'été! a@mail1.example.com 22.210.186.51 (x)"
+    assert encoder.encode([text, text + " «oui» x÷y"])[1].tolist() == whole(tokenizer, text + " «oui» x÷y")
+    assert sorted(asked) == ["x÷y", "«oui»"]
+
+
+def test_what_is_remembered_is_bounded(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED_BYTES", 10_000)
+    encoder, tokenizer = packing.Encoder(PATH), Tokenizer.from_file(PATH)
+    for seed in range(4):
+        cases = ["語" * 2000 + str(seed), *texts(seed)]
+        assert [x.tolist() for x in encoder.encode(cases)] == [whole(tokenizer, t) for t in cases]
+        assert cases[0].encode() in encoder.known and len(encoder.known) < 1000
+
+
+def test_tokenizers_that_cut_otherwise(tmp_path):
+    with open(PATH, encoding="utf-8") as f:
+        file = json.load(f)
+    file["normalizer"]["normalizers"].pop()  # capitals stay
+    path = str(tmp_path / "capitals.json")
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(file, f)
+    assert packing.cuts_words(PATH) and not packing.cuts_words(path)
+    tokenizer, cases = Tokenizer.from_file(path), texts(4)
+    assert [x.tolist() for x in packing.Encoder(path).encode(cases)] == [whole(tokenizer, t) for t in cases]
+
+
 @pytest.mark.parametrize("seed", range(30))
 def test_patterns_hold_each_document_once(seed):
     rng = random.Random(seed)
